@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiprint.llm.sharding import shard_documents
 from lexiprint.llm.simhash import simhash_digest
 from lexiprint.llm.sstable import token_shards
+from lexiprint.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
+    return lambda spark, sf_dir: operator(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
 
 
 QUERIES: dict[str, Query] = {
-    "op8_sstable": _over("documents", token_shards),
-    "op9_simhash": _over("documents", simhash_digest),
-    "op10_minimax_shards": _over("documents", shard_documents),
+    "op7_toxicity": _over(toxicity, "documents", "labels"),
+    "op8_sstable": _over(token_shards, "documents"),
+    "op9_simhash": _over(simhash_digest, "documents"),
+    "op10_minimax_shards": _over(shard_documents, "documents"),
 }
 
 ORACLES: dict[str, str] = {}
