@@ -38,8 +38,8 @@ from lexiprint.llm.common import fresh_dir
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"LXSST001"
-_FOOTER = struct.Struct("<QQQQQQI4x8s")  # index at, its length, bloom at, its length, rows, ids, hashes, magic
-_INDEX = struct.Struct("<9sQIQI")  # first key, offset, length, ids before, rows
+_FOOTER = "<QQQQQQI4x8s"  # index at, its length, bloom at, its length, rows, ids, hashes, magic
+_INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 #: Uncompressed bytes at which a block is closed; a longer document has a block of its own.
 BLOCK = 1 << 18
 BLOOM_BITS = 10
@@ -76,7 +76,7 @@ def write_table(out, rows: Iterable[tuple[int | None, bytes]], block: int = BLOC
         if started:
             data = packer.compress(b"".join(buffer))
             out.write(data)
-            index.append(_INDEX.pack(first, at, len(data), before, started))
+            index.append(struct.pack(_INDEX, first, at, len(data), before, started))
             at += len(data)
         buffer, held, last, started = [], 0, b"", 0
 
@@ -102,7 +102,7 @@ def write_table(out, rows: Iterable[tuple[int | None, bytes]], block: int = BLOC
     for i in range(hashes):
         marks[(pair[:, 0] + np.uint64(i) * pair[:, 1]) % np.uint64(bits)] = True
     bloom = np.packbits(marks, bitorder="little").tobytes()
-    out.write(table + bloom + _FOOTER.pack(at, len(table), at + len(table), len(bloom), n_rows, n_ids, hashes, MAGIC))
+    out.write(table + bloom + struct.pack(_FOOTER, at, len(table), at + len(table), len(bloom), n_rows, n_ids, hashes, MAGIC))
     return n_rows, n_ids
 
 
@@ -112,11 +112,11 @@ class Table:
     def __init__(self, stream) -> None:
         self.stream = stream
         end = stream.seek(0, 2)
-        stream.seek(end - _FOOTER.size)
-        at, size, self.bloom_at, self.bloom_size, self.rows, self.ids, self.hashes, magic = _FOOTER.unpack(stream.read(_FOOTER.size))
+        stream.seek(end - struct.calcsize(_FOOTER))
+        at, size, self.bloom_at, self.bloom_size, self.rows, self.ids, self.hashes, magic = struct.unpack(_FOOTER, stream.read(struct.calcsize(_FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        self.index = list(_INDEX.iter_unpack(self._read(at, size)))
+        self.index = list(struct.iter_unpack(_INDEX, self._read(at, size)))
         self.firsts = [x[0] for x in self.index]
         self._bloom: bytes | None = None
 
