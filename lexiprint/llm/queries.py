@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiprint.llm.decontaminate import leaks
 from lexiprint.llm.sharding import shard_documents
 from lexiprint.llm.simhash import simhash_digest
 from lexiprint.llm.sstable import token_shards
@@ -19,6 +20,7 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": _over(leaks, "documents", "benchmark"),
     "op7_toxicity": _over(toxicity, "documents", "labels"),
     "op8_sstable": _over(token_shards, "documents"),
     "op9_simhash": _over(simhash_digest, "documents"),
