@@ -4,29 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprint.llm import simhash, sstable
+from lexiprint.llm import decontaminate, mixing, simhash, sstable, toxicity
 from lexiprint.llm.common import fresh_dir
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score toxic for their language go."""
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated so that expected domain totals match the targets; none goes."""
+    return mixing.mix(docs, _table(spark, sf_dir, "labels"))
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of what is left, and their digest."""
+    """Token shards of the mixture, and the digest read back from them."""
     return sstable.token_shards(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("token_output", token_output)]
+STAGES = [("toxicity", toxic), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token_output", token_output)]
 
-#: Training and tokenizing have no SQL; tests hold the stages against plain Python.
+#: Training and tokenizing have no SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = fresh_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -21,8 +21,10 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,8 +45,10 @@ _INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 #: Uncompressed bytes at which a block is closed; a longer document has a block of its own.
 BLOCK = 1 << 18
 BLOOM_BITS = 10
-#: Cached pieces of text a worker keeps at most.
-CACHE = 300_000
+#: Pieces of text in a generation of a worker's cache; it keeps two.
+CACHE = 400_000
+#: Marks that are runs of their own behind a letter and before a space.
+_ENDS = tuple(".,;:!?")
 #: White space in which a cut at a space would part what the tokenizer reads as one run.
 _RUNS = re.compile(r"\s \s")
 
@@ -173,18 +177,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.limit = cache
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make all ``pieces`` known: from the generation before, or encoded anew.
+
+        A last comma, full stop or the like after a letter is a run of its
+        own, so the piece before it serves with any of them.
+        """
+        missing = pieces.difference(self.known)
+        old = missing.intersection(self.before)
+        self.known.update((p, self.before[p]) for p in old)
+        missing -= old
+        ended = {p for p in missing if p[-1:] in _ENDS and "a" <= p[-2:-1].lower() < "\u0250" and p[-2].isalpha()}
+        plain = (missing - ended) | {p[:-1] for p in ended}.difference(self.known) | {p[-1] for p in ended}.difference(self.known)
+        plain = list(plain)
+        self.known.update(zip(plain, self._encode(plain)))
+        self.known.update((p, self.known[p[:-1]] + self.known[p[-1]]) for p in ended)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [None if "  " in t or _RUNS.search(t) else t.split(" ") for t in texts]
         pieces = [s and [s[0], *map(" ".__add__, s[1:])] for s in split]
         if len(self.known) > self.limit:
-            self.known = {}
-        missing = list({x for s in pieces if s for x in s}.difference(self.known))
-        self.known.update(zip(missing, self._encode(missing)))
+            self.before, self.known = self.known, {}
+        self._learn(set(chain.from_iterable(s for s in pieces if s)))
         whole = iter(self._encode([t for t, s in zip(texts, pieces) if s is None]))
         get = self.known.__getitem__
         return [next(whole) if s is None else b"".join(map(get, s)) for s in pieces]
