@@ -17,14 +17,12 @@ order and nulls come first.  Numbers are little endian.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,10 +45,10 @@ BLOCK = 1 << 18
 BLOOM_BITS = 10
 #: Pieces of text in a generation of a worker's cache; it keeps two.
 CACHE = 400_000
-#: Marks that are runs of their own behind a letter and before a space.
+#: Marks that are runs of their own behind a letter and before white space.
 _ENDS = tuple(".,;:!?")
-#: White space in which a cut at a space would part what the tokenizer reads as one run.
-_RUNS = re.compile(r"\s \s")
+#: Pieces encoded together.
+_LINES = 20_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -166,48 +164,75 @@ class Table:
 class Encoder:
     """Texts to little-endian id bytes by the tokenizers library, with a bounded cache.
 
-    The byte-level rule never joins characters across a single space between
-    two other characters, so such texts are encoded piece by piece and equal
-    pieces once.  Texts with longer runs of white space that hold a space are
-    encoded as a whole.
+    In a text whose white space is single spaces and single line breaks, the
+    byte-level rule never joins characters across them: a space belongs to the
+    word behind it, a line break is a run and an id of its own.  Such texts are
+    cut there and equal pieces are encoded once, many at a time with a line
+    each, since the id of the break parts them again.  Other texts are encoded
+    as a whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.head = struct.pack("<I", self.line)
+        self.ends = dict(zip(_ENDS, self.whole(list(_ENDS))))
+        self.known: dict[str, bytes] = {}  # piece without its leading space -> ids
         self.before: dict[str, bytes] = {}
         self.limit = cache
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, pieces: list[str], lead: str) -> Iterator[bytes]:
+        """Ids of each piece behind ``lead``, which is a space or nothing."""
+        for at in range(0, len(pieces), _LINES):
+            text = lead + f"\n{lead}".join(pieces[at : at + _LINES])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            data, ends = ids.tobytes(), np.append(np.nonzero(ids == self.line)[0], len(ids)) * 4
+            yield from map(data.__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist()))
+
     def _learn(self, pieces: set[str]) -> None:
         """Make all ``pieces`` known: from the generation before, or encoded anew.
 
-        A last comma, full stop or the like after a letter is a run of its
-        own, so the piece before it serves with any of them.
+        A last comma, full stop or the like behind a Latin letter is a run of
+        its own, so the piece before it serves with any of them.
         """
-        missing = pieces.difference(self.known)
-        old = missing.intersection(self.before)
-        self.known.update((p, self.before[p]) for p in old)
-        missing -= old
-        ended = {p for p in missing if p[-1:] in _ENDS and "a" <= p[-2:-1].lower() < "\u0250" and p[-2].isalpha()}
-        plain = (missing - ended) | {p[:-1] for p in ended}.difference(self.known) | {p[-1] for p in ended}.difference(self.known)
-        plain = list(plain)
-        self.known.update(zip(plain, self._encode(plain)))
-        self.known.update((p, self.known[p[:-1]] + self.known[p[-1]]) for p in ended)
+        known, before = self.known, self.before
+        old = pieces.intersection(before)
+        known.update((p, before[p]) for p in old)
+        new = pieces - old
+        ended = [p for p in new if p[-1:] in _ENDS and "A" <= p[-2:-1] < "\u0250" and p[-2].isalpha()]
+        stems = {p[:-1] for p in ended}.difference(known)
+        old = stems.intersection(before)
+        known.update((p, before[p]) for p in old)
+        new = new.difference(ended) | (stems - old)
+        broken = [p for p in new if p[:1] == "\n"]
+        spaced = list(new.difference(broken))
+        known.update(zip(spaced, self._lines(spaced, " ")))
+        filled = [p for p in broken if p != "\n"]
+        known.update(zip(filled, map(self.head.__add__, self._lines([p[1:] for p in filled], ""))))
+        known["\n"] = self.head
+        known.update((p, known[p[:-1]] + self.ends[p[-1]]) for p in ended)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t or _RUNS.search(t) else t.split(" ") for t in texts]
-        pieces = [s and [s[0], *map(" ".__add__, s[1:])] for s in split]
         if len(self.known) > self.limit:
             self.before, self.known = self.known, {}
-        self._learn(set(chain.from_iterable(s for s in pieces if s)))
-        whole = iter(self._encode([t for t, s in zip(texts, pieces) if s is None]))
+        missing: set[str] = set()
+        cut = []
+        for t in texts:
+            if " ".join(t.split()) != t.replace("\n", " "):  # longer runs, other white space, or some at an end
+                cut.append(None)
+            else:  # a break before the text keeps its first word from being one with a space
+                pieces = f"\n{t}".replace("\n", " \n").split(" ")[1:]
+                cut.append(pieces)
+                missing |= set(pieces).difference(self.known)
+        self._learn(missing)
+        whole = iter(self.whole([t for t, pieces in zip(texts, cut) if pieces is None]))
         get = self.known.__getitem__
-        return [next(whole) if s is None else b"".join(map(get, s)) for s in pieces]
+        return [next(whole) if pieces is None else b"".join(map(get, pieces))[4:] for pieces in cut]
 
 
 def _open_dir(uri: str):
