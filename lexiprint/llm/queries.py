@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiprint.llm.decontaminate import leaks
+from lexiprint.llm.lsh import nearest
 from lexiprint.llm.mixing import mixing_rates
 from lexiprint.llm.sharding import shard_documents
 from lexiprint.llm.simhash import simhash_digest
@@ -23,6 +24,7 @@ def _over(operator: Callable[..., DataFrame], *tables: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _over(leaks, "documents", "benchmark"),
     "op3_mixing": _over(mixing_rates, "documents", "labels"),
+    "op6_cross_polytope": _over(nearest, "embeddings"),
     "op7_toxicity": _over(toxicity, "documents", "labels"),
     "op8_sstable": _over(token_shards, "documents"),
     "op9_simhash": _over(simhash_digest, "documents"),
