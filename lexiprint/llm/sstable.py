@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -44,7 +46,7 @@ _INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 BLOCK = 1 << 18
 BLOOM_BITS = 10
 #: Pieces of text in a generation of a worker's cache; it keeps two.
-CACHE = 400_000
+CACHE = 300_000
 #: Marks that are runs of their own behind a letter and before white space.
 _ENDS = tuple(".,;:!?")
 #: Pieces encoded together.
@@ -235,6 +237,18 @@ class Encoder:
         return [next(whole) if pieces is None else b"".join(map(get, pieces))[4:] for pieces in cut]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The process's encoder for ``path``, so that a worker's later tasks find its cache warm.
+
+    Functions sent by value have no module of their own in the worker; a module
+    made for the purpose holds the encoder.
+    """
+    kept = sys.modules.setdefault("_lexiprint_worker", types.ModuleType("_lexiprint_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def _open_dir(uri: str):
     files, path = pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
     return files, path.rstrip("/")
@@ -260,7 +274,7 @@ def _writer(uri: str, tokenizer: str, end: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, path = _open_dir(uri)
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         seen: list = []
 
         def rows():
