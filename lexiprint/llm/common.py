@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds more than this share of the rows, so there are never more than 1,000.
 HEAVY_SHARE = 1e-3
+#: Rows with whole texts that a task hands to Python at once.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches bounded for rows that hold whole texts.
+
+    Spark's default of 10,000 rows would keep hundreds of megabytes of long
+    texts in a Python worker.  A smaller setting of the session is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return docs
+
+
 def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join of ``rows`` with ``lookup``, which has one row per ``key`` and in ``count`` the key's rows.
 

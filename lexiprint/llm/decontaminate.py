@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiprint.llm.common import with_texts
+
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must reach in a window to be retrieved.
 THRESHOLD = 0.5
@@ -304,7 +306,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     from at most ``index_chars`` characters, and a larger benchmark is matched
     part after part.
     """
-    need = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    need = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for index in _indexes(benchmark, threshold, index_chars):
 
@@ -330,5 +332,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = {n for n, *_ in matcher.match(list(b["text"]))}
                 yield b[[n not in found for n in range(len(b))]]
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = with_texts(docs).mapInPandas(run, docs.schema)
     return docs

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import cut
+from lexiprint.llm.common import cut, with_texts
 
 #: Domains of the labelled table and the wanted share of tokens of each.
 TARGETS = {"good": 0.9, "poor": 0.1}
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, domains: DataFrame, names: list[str]) -> Classifier | N
         part = domains.filter(F.col("domain") == name).orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
     # at most len(names) * SAMPLE rows of an identifier and a name
-    texts = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("domain"), docs["text"].cast("string").alias("text"))
+    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("domain"), docs["text"].cast("string").alias("text"))
     got = texts.mapInPandas(_encode, "domain string, buckets binary, weights binary, shape binary").toPandas()
     if got["domain"].nunique() < 2:
         return None
@@ -171,7 +171,7 @@ def _posteriors(model: Classifier | None, names: list[str]):
 def posteriors(docs: DataFrame, model: Classifier | None, names: list[str]) -> DataFrame:
     """``doc_id, tokens, p_<domain>...`` of every whole text; without a model all domains are equally likely."""
     schema = ", ".join(["doc_id long", "tokens long", *(f"p_{n} double" for n in names)])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_posteriors(model, names), schema)
+    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_posteriors(model, names), schema)
 
 
 @dataclass
@@ -289,4 +289,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             times = np.floor(rate).astype(int) + (luck < rate % 1)
             yield b.iloc[np.repeat(np.arange(len(b)), times)]
 
-    return docs.mapInPandas(run, docs.schema)
+    return with_texts(docs).mapInPandas(run, docs.schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import attach, cut
+from lexiprint.llm.common import attach, cut, with_texts
 
 SEED = 42
 BITS = 64
@@ -65,7 +65,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, fp`` (a signed long with the 64 bits) of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_fingerprints(words), "doc_id long, fp long")
+    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_fingerprints(words), "doc_id long, fp long")
 
 
 def embed(fp: np.ndarray, segment: int = SEGMENT) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiprint.llm.common import fresh_dir
+from lexiprint.llm.common import fresh_dir, with_texts
 
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -315,7 +315,7 @@ def write_shards(docs: DataFrame, uri: str, shards: int, tokenizer: str | None =
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     files, place = _open_dir(uri)
     files.create_dir(place, recursive=True)
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     written = ranged.mapInPandas(_writer(uri, path, end), "file string, first_key binary, n_rows long, n_ids long")
     written.write.mode("overwrite").parquet(f"{uri}/manifest")
     manifest = docs.sparkSession.read.parquet(f"{uri}/manifest")
