@@ -7,7 +7,7 @@ from lexiprint.llm import mixing
 
 def test_stages_on_planted_cases(spark, tmp_path):
     """Planted toxic documents, copies and leaks go; clean documents stay through every stage."""
-    item = words(40, 77)
+    item = words(40, 7777)
     rows, labels = [], []
     for i in range(1200):
         bad = i % 8 == 0
