@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiprint.plans import features
+from lexiprint.plans import features, models
 
-MODULES = [features]
+MODULES = [features, models]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
