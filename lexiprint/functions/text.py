@@ -155,6 +155,18 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """A 64-bit hash of every n neighbouring words: counts need no strings to be built or compared."""
+    last = F.size(words) - n
+    at = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n)))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def hashes(words: Column) -> Column:
+    """A 64-bit hash of every word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def runs(ordered: Column) -> Column:
     """Lengths of the runs of equal elements of a sorted array, which must be a column, not an expression."""
     n = F.size(ordered)

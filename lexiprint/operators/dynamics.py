@@ -21,7 +21,7 @@ def prepare(df: DataFrame) -> DataFrame:
     size = F.greatest(F.floor(F.col("n_alpha") / CHUNKS).cast("int"), F.lit(1))
     df = df.withColumns({f"chunk{k}": F.slice("alpha", size * k + 1, size if k < CHUNKS - 1 else F.greatest(F.col("n_alpha"), F.lit(1))) for k in range(CHUNKS)})
     heads = {f"head{k}": F.slice("alpha", F.lit(1), F.floor(F.col("n_alpha") * p).cast("int")) for k, p in enumerate(PREFIXES)}
-    df = T.with_counts(df, **{f"chunk{k}_c": F.col(f"chunk{k}") for k in range(CHUNKS)}, **{f"{k}_c": v for k, v in heads.items()})
+    df = T.with_counts(df, **{f"chunk{k}_c": T.hashes(F.col(f"chunk{k}")) for k in range(CHUNKS)}, **{f"{k}_c": T.hashes(v) for k, v in heads.items()})
     dense = lambda c: T.ratio(F.size(c) - T.among(F.col(c), L.FUNCTION_WORDS), F.size(c))
     df = df.withColumn("points", _rescaled_points()).withColumn("spreads", F.filter(F.array(*(_spread(k) for k in (1, 2, 4))), lambda v: v.isNotNull()))
     df = df.withColumn("long", F.filter("alpha", lambda w: F.length(w) >= 5))

@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from lexiprint.functions import text as T
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt over all cores where the input has fewer splits than the cluster has cores.
+
+    Feature work is far heavier than reading; large inputs have splits enough
+    and stay where they are.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def with_parts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the parts of ``text``; null texts are empty."""
-    df = docs.select("doc_id", T.text_of("text").alias("text"))
+    df = spread(docs.select("doc_id", T.text_of("text").alias("text")))
     df = df.withColumns({"low": F.lower("text"), "ws": T.ws_words(F.col("text")), "alpha": T.alpha_words(F.col("text")), "sents": T.sentences(F.col("text")), "paras": T.pieces(F.col("text"), "\n\n")})
     df = df.withColumns({"n_ws": F.size("ws"), "n_alpha": F.size("alpha"), "n_sents": F.size("sents"), "sent_words": F.transform("sents", T.ws_words), "para_len": F.transform("paras", lambda p: F.size(T.ws_words(p)).cast("double")), "alpha_len": F.transform("alpha", lambda w: F.length(w).cast("double"))})
     df = df.withColumns({"per_sent": F.greatest("n_sents", F.lit(1)), "sent_len": F.transform("sent_words", lambda w: F.size(w).cast("double"))})

@@ -12,19 +12,24 @@ from lexiprint.operators import lexicons as L
 COMMON = sorted({*L.COMMON, *L.FUNCTION_WORDS})
 
 
-def _hits(text: Column, patterns: list[str]) -> Column:
-    return T.matches(text, [f"(?iU){p}" for p in patterns])
+def _hits(plain: Column, patterns: list[str]) -> Column:
+    """Matches in a lower-case text whose letters and digits beyond ASCII are underscores.
+
+    The patterns are ASCII; an underscore is a word character like the letter
+    it stands for, so word boundaries are where they were.
+    """
+    return T.matches(plain, patterns)
 
 
 def alignment() -> dict[str, Column]:
-    low, n, s = F.col("low"), F.col("n_alpha"), F.col("per_sent")
-    coda = F.lower(F.expr("substring(text, cast(floor(length(text) * 0.75) as int) + 1)"))
+    low, n, s = F.col("plain"), F.col("n_alpha"), F.col("per_sent")
+    coda = F.expr("substring(plain, cast(floor(length(text) * 0.75) as int) + 1)")
     moral, moral_end = _hits(low, L.MORALIZING_PATTERNS), _hits(coda, L.MORALIZING_PATTERNS)
     premise, conclusion = _hits(low, L.PREMISE_PATTERNS), _hits(low, L.CONCLUSION_PATTERNS)
     tells = T.among(F.col("alpha"), L.TELLS_STRONG) * 2.0 + T.among(F.col("alpha"), L.TELLS_MEDIUM) * 0.5
     starts = F.size("first_raw_c") / F.col("n_sents")
     even = 0.5 * F.greatest(F.lit(0.0), 1 - T.cv_of(F.col("sent_len"))) + 0.2 * F.greatest(F.lit(0.0), 1 - 2 * T.cv_of(F.col("alpha_len"))) + 0.3 * (1 - starts)
-    flaws = _hits(F.col("text"), L.HUMAN_PATTERNS) + _hits(F.col("text"), L.TYPO_PATTERNS)
+    flaws = _hits(low, L.HUMAN_PATTERNS) + _hits(low, L.TYPO_PATTERNS)
     out = {
         "benevolence_score": F.least((_hits(low, L.BENEVOLENT_PATTERNS) + 0.3 * _hits(low, L.HEDGE_PATTERNS)) / s, F.lit(2.0)),
         "neutrality_bias": F.least(100 * _hits(low, L.NEUTRALITY_PATTERNS) / n, F.lit(5.0)),
@@ -57,8 +62,8 @@ def prepare(df: DataFrame) -> DataFrame:
         gap_c=F.transform(F.regexp_extract_all("text", F.lit(r"[ \t]+"), F.lit(0)), F.length),
         mark_c=F.regexp_extract_all("text", F.lit(r"[.,;:!?'\"()\[\]{}]+"), F.lit(0)),
         end_c=F.regexp_extract_all("text", F.lit(r"[.!?]+"), F.lit(0)),
-        name_c=names,
-        content_c=content,
+        name_c=T.hashes(names),
+        content_c=T.hashes(content),
     )
 
 
