@@ -19,7 +19,7 @@ def spread(docs: DataFrame) -> DataFrame:
     and stay where they are.
     """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs if docs.isStreaming or docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def with_parts(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ grouped by document, so it shares no logic with the array expressions.
 from __future__ import annotations
 
 from lexiprint.operators import lexicons as L
-from lexiprint.operators import style
+from lexiprint.operators import layers, style
 from lexiprint.operators.registry import GROUPS, extract
 
 DIGITS = 6
@@ -363,7 +363,113 @@ joined as (select * from b left join hu using (doc_id) left join mf using (doc_i
 {_rounded(columns, "joined", "len(text) >= 200 and n_alpha >= 50")}"""
 
 
-_SQL = {"statistical": _statistical, "lexical": _lexical, "structural": _structural, "punctuation": _punctuation, "connectors": _connectors, "epistemic": _epistemic, "transitions": _transitions, "rhythm": _rhythm, "lightweight": _lightweight, "alignment": _alignment, "noise": _noise, "tokenization": _tokenization, "echo": _echo, "dynamics": _dynamics, "fractal": _fractal}
+def _plain(titles: str, more: str = "") -> str:
+    """Sentences that end in a mark and white space, without lookbehind: a sentinel stands behind each end."""
+    kept = rf"regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])({titles})\.\s', '\1\2' || chr(1) || ' ', 'g')"
+    if more:
+        kept = rf"regexp_replace({kept}, '(^|[^\p{{L}}\p{{N}}_])({more})\.\s', '\1\2' || chr(1) || ' ', 'g')"
+    return rf"select doc_id, k, s, len(regexp_split_to_array(s, '\s+'))::double as n from (select doc_id, k, regexp_replace(replace(s, chr(1), '.'), '^\s+|\s+$', '', 'g') as s from (select doc_id, unnest(p) as s, generate_subscripts(p, 1) as k from (select doc_id, string_split(regexp_replace({kept}, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)) as p from d))) where s <> ''"
+
+
+def _layer_e() -> str:
+    columns = {
+        "sentence_length_cv": "case when es > 1 then ed / em else 0 end",
+        "paragraph_length_cv": "case when pn > 1 then pd / pm else 0 end",
+        "type_token_ratio": "case when n_alpha > 0 then v / n_alpha else 0 end",
+        "list_marker_rate": r"len(regexp_extract_all(text, '(?m)^[\s]*[-*•]\s|^\s*\d+\.\s')) / len(string_split(text, chr(10)))",
+        "hapax_legomena_ratio": "n1 / v",
+        "sentence_initial_entropy": "eh",
+        "avg_word_length": "len_mean",
+        "punctuation_diversity": "(" + " + ".join(f"(contains(text, '{c.replace(chr(39), chr(39) * 2)}'))::int" for c in layers.MARKS) + f") / {len(layers.MARKS)}",
+        "question_ratio": f"{_count('?')} / es",
+    }
+    return rf"""with {BASE},
+se as ({_plain("Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Jr|Sr|vs")}),
+e1 as (select doc_id, count(*)::double as es, avg(n) as em, stddev_pop(n) as ed from se group by doc_id),
+{_entropy(r"(select doc_id, lower(regexp_split_to_array(s, '\s+')[1]) as f from se)", "f", "ef")},
+pe as (select doc_id, count(*)::double as pn, avg(n) as pm, stddev_pop(n) as pd from (select doc_id, len(regexp_split_to_array(p, '\s+'))::double as n from (select doc_id, regexp_replace(unnest(regexp_split_to_array(text, '\n\s*\n|\n{{2,}}')), '^\s+|\s+$', '', 'g') as p from d) where p <> '') group by doc_id),
+voc as (select doc_id, count(*)::double as v, sum((c = 1)::int)::double as n1 from (select doc_id, w, count(*) as c from aw group by all) group by doc_id),
+joined as (select b.*, es, em, ed, ef.h as eh, pn, pm, pd, voc.v as v, n1 from b left join e1 using (doc_id) left join ef using (doc_id) left join pe using (doc_id) left join voc using (doc_id))
+{_rounded(columns, "joined", "coalesce(es, 0) >= 2")}"""
+
+
+def _layer_b() -> str:
+    names = {"phonetic": "p", "structural": "s", "semantic": "m", "overall": "o"}
+    columns = {f"{n}_{f}": f"{c}_{f}" for n, c in names.items() for f in ("mean", "std", "max")}
+    columns |= {"geometric_mean": "geo", "cooccurrence_rate": "0", "burstiness": "case when o_mean > 0 then o_std / o_mean else 0 end"}
+    aggregates = ", ".join(f"avg({c}) as {c}_mean, stddev_pop({c}) as {c}_std, max({c}) as {c}_max" for c in names.values())
+    beats = lambda w: f"greatest(len(regexp_extract_all(lower({w}), '[aeiou]+')), 1)"
+    return rf"""with {BASE},
+pr as (select doc_id, k, n, lead(n) over o as n2, {beats("sw[len(sw)]")} as e, lead({beats("sw[1]")}) over o as st2, list_distinct(list_transform(sw, lambda x: lower(x))) as w, lead(list_distinct(list_transform(sw, lambda x: lower(x)))) over o as w2 from sl window o as (partition by doc_id order by k)),
+sc as (select doc_id, 1 - abs(e - st2) / greatest(e, st2) as p, least(n, n2) / greatest(n, n2) as s, len(list_intersect(w, w2)) / len(list_distinct(list_concat(w, w2))) as m from pr where n2 is not null),
+k as (select doc_id, {aggregates}, avg(pow(greatest(p * s * m, 0.001), 1.0::double / 3)) as geo from (select *, (p + s + m) / 3 as o from sc) group by doc_id),
+joined as (select * from b left join k using (doc_id))
+{_rounded(columns, "joined", "n_sents >= 2")}"""
+
+
+def _layer_d() -> str:
+    columns = {
+        "clause_length_mean": "cm",
+        "clause_length_std": "cs",
+        "clause_rhythm_autocorr": "ac",
+        "sentence_complexity": "cn / sn",
+        "comma_density": f"{_count(',')} / n_ws * 100",
+        "semicolon_rate": f"{_count(';')} / sn",
+        "parenthetical_rate": f"({_count('(')} + {_count('—')} + {_count('–')}) / sn",
+    }
+    # cuts that keep the mark before them get a sentinel first
+    cut = r"string_split(regexp_replace(regexp_replace(s, '([,;:])\s+', '\1' || chr(2), 'g'), '(?i)\s*[—–]\s*|\s+(?:but|and|or|yet|so|because|although|while|if|when|since|unless)\s+', chr(2), 'g'), chr(2))"
+    return rf"""with {BASE},
+sd as ({_plain("Mr|Mrs|Ms|Dr|Prof|Sr|Jr", "e[.]g|i[.]e|etc")}),
+cut as (select doc_id, k, n, list_filter(list_transform({cut}, lambda c: len(list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> ''))), lambda x: x >= 2) as c from sd),
+cl as (select doc_id, k * 1000000 + i as k, c::double as n from (select doc_id, k, unnest(case when len(c) > 0 then c else [n::bigint] end) as c, generate_subscripts(case when len(c) > 0 then c else [n::bigint] end, 1) as i from cut)),
+sn as (select doc_id, count(*)::double as sn from sd group by doc_id),
+cs as (select doc_id, avg(n) as cm, stddev_pop(n) as cs, count(*)::double as cn from cl group by doc_id),
+lagged as (select doc_id, case when max(m) > 2 and max(v) > 1e-9 then sum((n - mu) * (nxt - mu)) / max(v * m) else 0 end as ac from (select doc_id, n, lead(n) over (partition by doc_id order by k) as nxt, avg(n) over (partition by doc_id) as mu, var_pop(n) over (partition by doc_id) as v, count(*) over (partition by doc_id) as m from cl) group by doc_id),
+joined as (select b.*, cm, cs.cs, cn, ac, sn from b left join sn using (doc_id) left join cs using (doc_id) left join lagged using (doc_id))
+{_rounded(columns, "joined", "n_ws >= 10 and cn > 0")}"""
+
+
+def _version_two() -> str:
+    columns = {
+        "hapax_rate": "n1 / n_alpha",
+        "sentence_initial_entropy": "case when n_sents >= 2 then fh / log2(n_sents) else 0 end",
+        "function_word_cv": "fs / nullif(fm, 0)",
+        "punctuation_entropy": "case when mn >= 5 then mh else 0 end",
+        "paragraph_length_cv": "case when n_paras < 2 then case when ln > 1 then ld / lm else 0 end else para_std / para_mean end",
+        "sentence_length_cv": "case when n_sents > 1 then sent_std / sent_mean else 0 end",
+        "list_marker_rate": "listed / lines",
+        "type_token_ratio": "v / n_alpha",
+        "em_dash_rate": f"case when n_ws > 0 then ({_count('—')} + {_count('--')} + {_count('–')}) / n_ws * 100 else 0 end",
+    }
+    return rf"""with {BASE}, {FIRSTS}, {_entropy("f", "first_raw", "ef")},
+{_entropy(f"(select doc_id, unnest(regexp_extract_all(text, '{layers.V_MARKS.replace(chr(39), chr(39) * 2)}')) as m from d)", "m", "em")},
+voc as (select doc_id, count(*)::double as v, sum((c = 1)::int)::double as n1 from (select doc_id, w, count(*) as c from aw group by all) group by doc_id),
+fw as (select unnest([{", ".join(f"'{w}'" for w in layers.V_FUNCTION_WORDS)}]) as w),
+fc as (select doc_id, avg(c) as fm, stddev_pop(c) as fs from (select d.doc_id, fw.w, coalesce(x.c, 0)::double as c from d cross join fw left join (select doc_id, w, count(*) as c from aw group by all) x on x.doc_id = d.doc_id and x.w = fw.w) group by doc_id),
+li as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') as l from d),
+lc as (select doc_id, count(*)::double as lines, sum((regexp_matches(l, '^([-*•]|\d+[.)])'))::int)::double as listed from li group by doc_id),
+lp as (select doc_id, count(*)::double as ln, avg(n) as lm, stddev_pop(n) as ld from (select doc_id, len(regexp_split_to_array(l, '\s+'))::double as n from li where l <> '') group by doc_id),
+joined as (select b.*, ef.h as fh, em.h as mh, em.n as mn, voc.v as v, n1, fm, fs, lines, listed, ln, lm, ld from b left join ef using (doc_id) left join em using (doc_id) left join voc using (doc_id) left join fc using (doc_id) left join lc using (doc_id) left join lp using (doc_id))
+{_rounded(columns, "joined", "true")}"""
+
+
+def _micro() -> str:
+    words = ("and", "but", "or", "because", "although", "while", "if")
+    first = {w: rf"len(regexp_extract_all(low, '(?:^|\. ){w}[,\s]'))" for w in layers.INITIAL}
+    marks = {"semicolon": _count(";"), "colon": _count(":"), "em_dash": f"({_count('—')} + {_count('--')})", "parenthetical": _count("("), "ellipsis": f"({_count('...')} + {_count('…')})", "exclamation": _count("!"), "question": _count("?")}
+    columns = {f"conn_{w}_rate": f"coalesce(c_{w}, 0) / s" for w in words}
+    columns |= {f"trans_{w}_rate": f"{first[w]} / s" for w in layers.INITIAL[:6]}
+    columns |= {"trans_initial_total_rate": f"({' + '.join(first.values())}) / s", "conn_and_but_ratio": "coalesce(c_and, 0) / (coalesce(c_but, 0) + 1)", "conn_coord_subord_ratio": "coalesce(c_and + c_but + c_or, 0) / (coalesce(c_because + c_although + c_while + c_if, 0) + 1)"}
+    columns |= {f"punct_{k}_rate": f"{v} / s" for k, v in marks.items()}
+    columns |= {f"punct_{k}_per_100": f"{marks[k]} / greatest(n_ws, 100) * 100" for k in ("semicolon", "em_dash")}
+    return f"""with {BASE},
+{_agg_cte("k", "runs", {f"c_{w}": _among([w]) for w in words})},
+joined as (select *, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as s from b left join k using (doc_id))
+{_rounded(columns, "joined", "true")}"""
+
+
+_SQL = {"statistical": _statistical, "lexical": _lexical, "structural": _structural, "punctuation": _punctuation, "connectors": _connectors, "epistemic": _epistemic, "transitions": _transitions, "rhythm": _rhythm, "lightweight": _lightweight, "alignment": _alignment, "noise": _noise, "tokenization": _tokenization, "echo": _echo, "dynamics": _dynamics, "fractal": _fractal, "layer_e": _layer_e, "layer_b": _layer_b, "layer_d": _layer_d, "version_two": _version_two, "micro": _micro}
 
 
 def _query(group: str):
