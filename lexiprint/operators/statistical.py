@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lexiprint.functions import text as T
 from lexiprint.operators import lexicons as L
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gzip_ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Size of the gzipped text over the size of the text; 0 for an empty text."""
     for texts in batches:
@@ -22,7 +23,7 @@ def gzip_ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([len(gzip.compress(b, 9)) / len(b) if b else 0.0 for b in raw])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def zlib_ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Size of the deflated text over the size of the text; 0 for an empty text."""
     for texts in batches:

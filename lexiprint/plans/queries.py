@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiprint.plans import features, models
+from lexiprint.plans import corpus, features, models
 
-MODULES = [features, models]
+MODULES = [features, models, corpus]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
