@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprint.operators import dynamics, layers, statistical, style, structure
+from lexiprint.operators import dynamics, layers, stance, statistical, style, structure
 from lexiprint.operators.parts import with_parts
 
 Prepare = Callable[[DataFrame], DataFrame]
@@ -53,6 +53,8 @@ for _group in (
     Group("layer_e", layers.layer_e, (layers.prepare_e,)),
     Group("layer_e_compression", layers.layer_e_compression, (layers.prepare_e,), arrow=True),
     Group("layer_b", layers.layer_b, (layers.prepare_b,)),
+    Group("layer_c1", stance.layer_c1, (structure.prepare, stance.prepare)),
+    Group("layer_c2", stance.layer_c2, (structure.prepare, stance.prepare)),
     Group("layer_d", layers.layer_d, (layers.prepare_d,)),
     Group("version_two", layers.version_two, (layers.prepare_v,)),
     Group("micro", layers.micro, (structure.prepare,)),

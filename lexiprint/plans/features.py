@@ -7,7 +7,7 @@ grouped by document, so it shares no logic with the array expressions.
 from __future__ import annotations
 
 from lexiprint.operators import lexicons as L
-from lexiprint.operators import layers, style
+from lexiprint.operators import layers, stance, style
 from lexiprint.operators.registry import GROUPS, extract
 
 DIGITS = 6
@@ -469,7 +469,55 @@ joined as (select *, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as s f
 {_rounded(columns, "joined", "true")}"""
 
 
-_SQL = {"statistical": _statistical, "lexical": _lexical, "structural": _structural, "punctuation": _punctuation, "connectors": _connectors, "epistemic": _epistemic, "transitions": _transitions, "rhythm": _rhythm, "lightweight": _lightweight, "alignment": _alignment, "noise": _noise, "tokenization": _tokenization, "echo": _echo, "dynamics": _dynamics, "fractal": _fractal, "layer_e": _layer_e, "layer_b": _layer_b, "layer_d": _layer_d, "version_two": _version_two, "micro": _micro}
+_ASCII = "regexp_replace({}, '[À-ÖØ-öø-ɏͰ-῿]', '_', 'g')"
+
+
+def _layer_c1() -> str:
+    quoted = lambda v: stance.pattern(v).replace("'", "''")
+    cuts = " union all ".join(rf"select doc_id, {i} as cat, string_split(regexp_replace(plain, '({quoted(v)})', chr(1) || '\1' || chr(1), 'g'), chr(1)) as p from t" for i, v in enumerate(stance.HEDGES.values()))
+    hits = lambda v: f"len(regexp_extract_all(s, '{quoted(v)}'))"
+    columns = {
+        "hedge_density": "coalesce(hn, 0) / n_ws * 100",
+        "hedge_clustering": "case when hn >= 2 then least((10 * sq / hn - hn) / (hn * 9), 1) else 0 end",
+        "hedge_position_bias": "coalesce(bias, 0.5)",
+        "confidence_mean": "coalesce(cm, 0.5)",
+        "confidence_variance": "case when cn > 1 then cv else 0 end",
+        "confidence_arc": "case when cn >= 3 then greatest(-1, least(1, slope * cn / 2)) else 0 end",
+    }
+    few = {k: (0.5 if k in ("hedge_position_bias", "confidence_mean") else 0) for k in columns}
+    inner = ", ".join(f"round(case when n_ws >= 5 then coalesce({v}, 0) else {few[k]} end + 1e-10, {DIGITS}) as {k}" for k, v in columns.items())
+    return rf"""with {BASE},
+t as (select doc_id, text, {_ASCII.format("low")} as plain from d),
+cut as ({cuts}),
+piece as (select doc_id, cat, i, sum(len(x)) over (partition by doc_id, cat order by i) - len(x) as start_at from (select doc_id, cat, unnest(p) as x, generate_subscripts(p, 1) as i from cut)),
+hp as (select doc_id, start_at / len(text) as pos from piece join t using (doc_id) where i % 2 = 0),
+hb as (select doc_id, sum(c) as hn, sum(c * c) as sq from (select doc_id, least(floor(pos * 10), 9) as bin, count(*)::double as c from hp group by all) group by doc_id),
+hm as (select doc_id, avg(pos) as bias from hp group by doc_id),
+se as (select doc_id, s, row_number() over (partition by doc_id order by k) - 1 as i from (select doc_id, unnest(p) as s, generate_subscripts(p, 1) as k from (select doc_id, string_split(regexp_replace(plain, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)) as p from t)) where regexp_replace(s, '\s', '', 'g') <> ''),
+sc as (select doc_id, i, {hits(stance.CONFIDENCE["high"])} as a, {hits(stance.CONFIDENCE["medium"])} as b, {hits(stance.CONFIDENCE["low"])} as c, {" + ".join(hits(v) for v in stance.HEDGES.values())} as h from se),
+sv as (select doc_id, i, case when a + b + c + h > 0 then greatest(0, least(1, (a + 0.6 * b + 0.3 * c - 0.3 * h) / (a + b + c + h))) else 0.5 end::double as x from sc),
+ca as (select doc_id, count(*) as cn, avg(x) as cm, var_pop(x) as cv, regr_slope(x, i) as slope from sv group by doc_id),
+joined as (select * from b left join hb using (doc_id) left join hm using (doc_id) left join ca using (doc_id))
+select doc_id, {inner} from joined"""
+
+
+def _layer_c2() -> str:
+    moved = "plain"
+    for k, v in enumerate(stance.TRANSITIONS.values()):
+        moved = f"regexp_replace({moved}, '{stance.pattern(v, longest_first=True).replace(chr(39), chr(39) * 2)}', chr({0xE000 + k}), 'g')"
+    names = list(stance.TRANSITIONS)
+    columns = {f"{n}_rate": f"case when n > 0 then n{k} / n else 0 end" for k, n in enumerate(names)}
+    columns |= {"transition_density": "n / n_ws * 100", "flow_entropy": "h"}
+    return rf"""with {BASE},
+t as (select doc_id, {_ASCII.format("low")} as plain from d),
+mv as (select doc_id, unnest(m) as m, generate_subscripts(m, 1) as i from (select doc_id, regexp_extract_all({moved}, '[' || chr({0xE000}) || '-' || chr({0xE000 + len(names) - 1}) || ']') as m from t)),
+mc as (select doc_id, count(*)::double as n, {", ".join(f"sum((m = chr({0xE000 + k}))::int)::double as n{k}" for k in range(len(names)))} from mv group by doc_id),
+{_entropy("(select doc_id, a, b from (select doc_id, m as a, lead(m) over (partition by doc_id order by i) as b from mv) where b is not null)", "a, b", "fe")},
+joined as (select b.*, mc.* exclude (doc_id), fe.h as h from b left join mc using (doc_id) left join fe using (doc_id))
+{_rounded(columns, "joined", "n_ws >= 10")}"""
+
+
+_SQL = {"statistical": _statistical, "lexical": _lexical, "structural": _structural, "punctuation": _punctuation, "connectors": _connectors, "epistemic": _epistemic, "transitions": _transitions, "rhythm": _rhythm, "lightweight": _lightweight, "alignment": _alignment, "noise": _noise, "tokenization": _tokenization, "echo": _echo, "dynamics": _dynamics, "fractal": _fractal, "layer_e": _layer_e, "layer_b": _layer_b, "layer_c1": _layer_c1, "layer_c2": _layer_c2, "layer_d": _layer_d, "version_two": _version_two, "micro": _micro}
 
 
 def _query(group: str):
