@@ -25,10 +25,13 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -46,9 +49,13 @@ _INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 BLOCK = 1 << 18
 BLOOM_BITS = 10
 #: Pieces of text in a generation of a worker's cache; it keeps two.
-CACHE = 300_000
+CACHE = 500_000
 #: Marks that are runs of their own behind a letter and before white space.
 _ENDS = tuple(".,;:!?")
+#: White space that is no single space or line break, or stands at an end.
+_ODD = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n\n| \n|\n |^[ \n]|[ \n]$"
+#: Bytes of text encoded in one go.
+AT_ONCE = 8 << 20
 #: Pieces encoded together.
 _LINES = 20_000
 
@@ -164,14 +171,14 @@ class Table:
 
 
 class Encoder:
-    """Texts to little-endian id bytes by the tokenizers library, with a bounded cache.
+    """Texts to ids by the tokenizers library, with a bounded cache.
 
     In a text whose white space is single spaces and single line breaks, the
     byte-level rule never joins characters across them: a space belongs to the
     word behind it, a line break is a run and an id of its own.  Such texts are
-    cut there and equal pieces are encoded once, many at a time with a line
-    each, since the id of the break parts them again.  Other texts are encoded
-    as a whole.
+    cut there by Arrow, which also numbers their distinct pieces; a piece new
+    to the worker is encoded once, many at a time with a line each, since the
+    id of the break parts them again.  Other texts are encoded as a whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
@@ -181,7 +188,7 @@ class Encoder:
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.head = struct.pack("<I", self.line)
         self.ends = dict(zip(_ENDS, self.whole(list(_ENDS))))
-        self.known: dict[str, bytes] = {}  # piece without its leading space -> ids
+        self.known = {"": b"", "\n": self.head}  # piece without its leading space -> ids
         self.before: dict[str, bytes] = {}
         self.limit = cache
 
@@ -216,25 +223,37 @@ class Encoder:
         known.update(zip(spaced, self._lines(spaced, " ")))
         filled = [p for p in broken if p != "\n"]
         known.update(zip(filled, map(self.head.__add__, self._lines([p[1:] for p in filled], ""))))
-        known["\n"] = self.head
         known.update((p, known[p[:-1]] + self.ends[p[-1]]) for p in ended)
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str] | pa.StringArray) -> list[bytes]:
+        """Little-endian id bytes of each text, none of them null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out: list[bytes] = [b""] * len(texts)
+        odd = pc.match_substring_regex(texts, pattern=_ODD)
+        if whole := pc.indices_nonzero(odd).to_pylist():
+            for n, data in zip(whole, self.whole([texts[n].as_py() for n in whole])):
+                out[n] = data
+        rest = pc.indices_nonzero(pc.invert(odd))
+        if not len(rest):
+            return out
+        # a break before the text keeps its first word from being one with a space
+        lined = pc.replace_substring(pc.binary_join_element_wise("\n", texts.take(rest), ""), pattern="\n", replacement=" \n")
+        cut = pc.split_pattern(lined, pattern=" ")
+        coded = cut.flatten().dictionary_encode()
+        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.known) > self.limit:
-            self.before, self.known = self.known, {}
-        missing: set[str] = set()
-        cut = []
-        for t in texts:
-            if " ".join(t.split()) != t.replace("\n", " "):  # longer runs, other white space, or some at an end
-                cut.append(None)
-            else:  # a break before the text keeps its first word from being one with a space
-                pieces = f"\n{t}".replace("\n", " \n").split(" ")[1:]
-                cut.append(pieces)
-                missing |= set(pieces).difference(self.known)
-        self._learn(missing)
-        whole = iter(self.whole([t for t, pieces in zip(texts, cut) if pieces is None]))
-        get = self.known.__getitem__
-        return [next(whole) if pieces is None else b"".join(map(get, pieces))[4:] for pieces in cut]
+            self.before, self.known = self.known, {"": b"", "\n": self.head}
+        self._learn(set(pieces).difference(self.known))
+        found = list(map(self.known.__getitem__, pieces))
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        pool, start = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        count = size[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = pool[np.repeat(start[which] - ends[:-1], count) + np.arange(ends[-1])]
+        edges = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        for n, a, b in zip(rest.to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+            out[n] = ids[a + 1 : b].tobytes()
+        return out
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -254,52 +273,35 @@ def _open_dir(uri: str):
     return files, path.rstrip("/")
 
 
-def _batched(batches: Iterator[pd.DataFrame], size: int = 4 << 20) -> Iterator[tuple[list, list]]:
-    """Identifiers and texts in lists of about ``size`` characters."""
-    ids, texts, held = [], [], 0
+def _parts(batches: Iterator[pa.RecordBatch], size: int = AT_ONCE) -> Iterator[tuple[list, pa.StringArray]]:
+    """Identifiers and texts in parts of about ``size`` bytes; null texts are empty."""
     for b in batches:
-        for i, t in zip(b["doc_id"], b["text"]):
-            ids.append(None if pd.isna(i) else int(i))
-            texts.append(t or "")
-            held += len(texts[-1])
-            if held >= size:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+        texts = pc.fill_null(b.column("text"), "")
+        ids = b.column("doc_id").to_pylist()
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
+        cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(ids)]
+        for x, y in zip(cuts, cuts[1:]):
+            if y > x:
+                yield ids[x:y], texts.slice(x, y - x)
 
 
 def _writer(uri: str, tokenizer: str, end: int):
     tail = struct.pack("<I", end)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _open_dir(uri)
         encoder = worker_encoder(tokenizer)
-        seen: list = []
-
-        def rows():
-            for ids, texts in _batched(batches):
-                for i, data in zip(ids, encoder.batch(texts)):
-                    seen.append(i)
-                    if len(seen) > 2:
-                        del seen[1]
-                    yield i, data + tail
-
-        first = next(source := rows(), None)
+        rows = ((i, data + tail) for ids, texts in _parts(batches) for i, data in zip(ids, encoder.batch(texts)))
+        first = next(rows, None)
         if first is None:
             return
-
-        def again():
-            yield first
-            yield from source
-
         temp = f"{path}/_{uuid.uuid4().hex}"
         with files.open_output_stream(temp) as out:
-            n_rows, n_ids = write_table(out, again())
+            n_rows, n_ids = write_table(out, chain([first], rows))
         # an attempt's file counts only if its row reaches the manifest
         name = f"{uuid.uuid4().hex}.sst"
         files.move(temp, f"{path}/{name}")
-        yield pd.DataFrame({"file": [name], "first_key": [key_of(seen[0])], "n_rows": [n_rows], "n_ids": [n_ids]})
+        yield pa.RecordBatch.from_pydict({"file": [name], "first_key": [key_of(first[0])], "n_rows": [n_rows], "n_ids": [n_ids]})
 
     return run
 
@@ -316,7 +318,7 @@ def write_shards(docs: DataFrame, uri: str, shards: int, tokenizer: str | None =
     files, place = _open_dir(uri)
     files.create_dir(place, recursive=True)
     ranged = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = ranged.mapInPandas(_writer(uri, path, end), "file string, first_key binary, n_rows long, n_ids long")
+    written = ranged.mapInArrow(_writer(uri, path, end), "file string, first_key binary, n_rows long, n_ids long")
     written.write.mode("overwrite").parquet(f"{uri}/manifest")
     manifest = docs.sparkSession.read.parquet(f"{uri}/manifest")
     return manifest.selectExpr("*", "sum(n_ids) over (order by first_key) - n_ids as start")
