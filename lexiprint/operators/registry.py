@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprint.operators import dynamics, layers, stance, statistical, style, structure
+from lexiprint.operators import complete, dynamics, layers, stance, statistical, style, structure
 from lexiprint.operators.parts import with_parts
 
 Prepare = Callable[[DataFrame], DataFrame]
@@ -57,6 +57,10 @@ for _group in (
     Group("layer_c2", stance.layer_c2, (structure.prepare, stance.prepare)),
     Group("layer_d", layers.layer_d, (layers.prepare_d,)),
     Group("version_two", layers.version_two, (layers.prepare_v,)),
+    Group("complete_punctuation", complete.punctuation, (structure.prepare, complete.prepare)),
+    Group("complete_structural", complete.structural, (structure.prepare, complete.prepare)),
+    Group("complete_connectors", complete.connectors, (structure.prepare, complete.prepare)),
+    Group("complete_rhythm", complete.rhythm, (structure.prepare, complete.prepare)),
     Group("micro", layers.micro, (structure.prepare,)),
 ):
     register(_group)

@@ -42,24 +42,27 @@ LIST_MARK_L = r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s"
 
 
 def structural() -> dict[str, Column]:
+    return _guard(structural_free())
+
+
+def structural_free() -> dict[str, Column]:
+    """The structural features without the guard against short texts."""
     several = F.col("n_sents") > 1
     line = F.split("text", "\n")
     trimmed = lambda x: T.strip(x)
     header = lambda x: (trimmed(x) != "") & (trimmed(x).startswith("#") | ((F.size(T.ws_words(x)) <= 8) & trimmed(x).endswith(":")) | ((x == F.upper(x)) & (x != F.lower(x))))
-    return _guard(
-        {
-            "sentence_length_cv": T.zero_unless(several, T.cv_of(F.col("sent_len"))),
-            "sentence_length_mean": F.col("sent_mean"),
-            "sentence_length_std": T.zero_unless(several, T.std_of(F.col("sent_len"))),
-            "paragraph_length_cv": T.cv_of(F.col("para_len")),
-            "paragraph_count_norm": F.size("paras") / (F.col("n_ws") / 1000),
-            "list_marker_rate": F.regexp_count("text", F.lit(LIST_MARK)) / F.col("per_sent"),
-            "header_rate": F.size(F.filter(line, header)) / F.greatest(F.size("paras"), F.lit(1)),
-            "sentence_initial_entropy": T.entropy(F.col("first_c")),
-            "sentence_final_entropy": T.entropy(F.col("last_c")),
-            "quote_rate": F.regexp_count("text", F.lit("[\"'].*?[\"']")) / F.col("per_sent"),
-        }
-    )
+    return {
+        "sentence_length_cv": T.zero_unless(several, T.cv_of(F.col("sent_len"))),
+        "sentence_length_mean": F.col("sent_mean"),
+        "sentence_length_std": T.zero_unless(several, T.std_of(F.col("sent_len"))),
+        "paragraph_length_cv": T.cv_of(F.col("para_len")),
+        "paragraph_count_norm": F.size("paras") / (F.col("n_ws") / 1000),
+        "list_marker_rate": F.regexp_count("text", F.lit(LIST_MARK)) / F.col("per_sent"),
+        "header_rate": F.size(F.filter(line, header)) / F.greatest(F.size("paras"), F.lit(1)),
+        "sentence_initial_entropy": T.entropy(F.col("first_c")),
+        "sentence_final_entropy": T.entropy(F.col("last_c")),
+        "quote_rate": F.regexp_count("text", F.lit("[\"'].*?[\"']")) / F.col("per_sent"),
+    }
 
 
 def punctuation() -> dict[str, Column]:

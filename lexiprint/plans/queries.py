@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiprint.plans import corpus, echoes, features, models
+from lexiprint.plans import complete, corpus, echoes, features, models
 
-MODULES = [features, models, corpus, echoes]
+MODULES = [features, models, corpus, echoes, complete]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
