@@ -274,15 +274,21 @@ def _open_dir(uri: str):
 
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int = AT_ONCE) -> Iterator[tuple[list, pa.StringArray]]:
-    """Identifiers and texts in parts of about ``size`` bytes; null texts are empty."""
+    """Identifiers and texts in parts of about ``size`` bytes, or one longer text; null texts are empty."""
+    ids, held, total = [], [], 0
     for b in batches:
-        texts = pc.fill_null(b.column("text"), "")
-        ids = b.column("doc_id").to_pylist()
-        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // size
-        cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(ids)]
-        for x, y in zip(cuts, cuts[1:]):
-            if y > x:
-                yield ids[x:y], texts.slice(x, y - x)
+        texts, names, at = pc.fill_null(b.column("text"), ""), b.column("doc_id").to_pylist(), 0
+        for n, length in enumerate(pc.binary_length(texts).to_pylist(), 1):
+            total += length
+            if total >= size or n == len(names):
+                ids += names[at:n]
+                held.append(texts.slice(at, n - at))
+                at = n
+            if total >= size:
+                yield ids, pa.concat_arrays(held)
+                ids, held, total = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(held)
 
 
 def _writer(uri: str, tokenizer: str, end: int):
