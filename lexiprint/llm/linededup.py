@@ -40,11 +40,6 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def normal(line: Column) -> Column:
-    """The form in which lines are compared."""
-    return F.trim(F.lower(F.regexp_replace(line, r"[ \t\r\f]+", " ")))
-
-
 def site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host, n, lines``: pages of each host and hashes of its boilerplate lines.
 
@@ -62,7 +57,8 @@ def site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``page_id, host, n_lines, n_dropped, text`` of every row of ``pages`` (``page_id, url, html``).
 
-    Lines are trimmed and blank ones left out.  Pages without a host, or of
+    Lines are trimmed, white space in them is one space, and blank ones are
+    left out; they are compared without case.  Pages without a host, or of
     hosts with fewer than ``least_pages`` pages holding a line, keep that line.
     A null page has no lines and the text ''.  Repeated rows are pages of their
     own.  A page of a hot host is dealt like any other: the host's few lines go
@@ -70,7 +66,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     """
     lines = F.filter(F.transform(F.split(html_text(F.col("html")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))), lambda x: x != "")
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), lines.alias("all_lines"))
-    hashed = split.withColumn("hashes", F.transform("all_lines", lambda x: F.xxhash64(normal(x))))
+    hashed = split.withColumn("hashes", F.transform("all_lines", lambda x: F.xxhash64(F.lower(x))))
     boiler = cut(site_lines(hashed.select("host", "hashes"), ratio, least_pages))
     size = boiler.agg(F.sum(F.size("lines")), F.sum("n")).first()
     if (size[0] or 0) <= SENT_LINES:
