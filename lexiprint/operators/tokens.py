@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lexiprint.functions import text as T
 
@@ -45,6 +45,67 @@ def mean_depth(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([0.0 if h is None else depth(h) for h in heads])
 
 
+def _small_world(linked: np.ndarray, edges: int) -> float:
+    """Clustering over path length, each against its random counterpart; 0.5 without paths.
+
+    Paths are measured from the ten nodes mentioned first.
+    """
+    n, a = len(linked), linked.astype(np.int64)
+    degree = a.sum(axis=1)
+    many = degree >= 2
+    closed = np.einsum("ij,jk,ki->i", a, a, a)[many] / (degree[many] * (degree[many] - 1))
+    clustering = float(closed.mean()) if many.any() else 0.0
+    reached = np.eye(n, dtype=bool)[:10]
+    front, total, pairs, steps = reached.copy(), 0, 0, 0
+    while front.any():
+        steps += 1
+        front = (front.astype(np.int64) @ a > 0) & ~reached
+        reached |= front
+        total, pairs = total + steps * int(front.sum()), pairs + int(front.sum())
+    if not pairs:
+        return 0.5
+    by_chance = np.log(n) / np.log(max(2 * edges / n, 2))
+    return min(clustering / 0.5 / (total / pairs / by_chance) / 2, 1.0)
+
+
+def _modularity(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> float:
+    """Up to ten greedy merges of the communities whose edge gains most, then modularity + 0.5 within 0 and 1."""
+    total = weight.sum()
+    degree = np.bincount(x, weight, n) + np.bincount(y, weight, n)
+    own = np.arange(n)
+    gain = weight / total - degree[x] * degree[y] / (2 * total**2)
+    for _ in range(min(n // 2, 10)):
+        open_gain = np.where(own[x] != own[y], gain, 0.0)
+        best = int(open_gain.argmax())
+        if open_gain[best] <= 0:
+            break
+        own[own == own[y[best]]] = own[x[best]]
+    inside = own[x] == own[y]
+    value = float(((weight - degree[x] * degree[y] / (2 * total)) / total)[inside].sum())
+    return max(0.0, min(1.0, value + 0.5))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def graph(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Small-world coefficient and modularity of a graph of n nodes with edges from a to b, repeats being weight."""
+
+    def of(n, a, b) -> list[float]:
+        if n is None or n < 5 or a is None or not len(a):
+            return [0.0, 0.0]
+        pairs = np.stack([np.asarray(a), np.asarray(b)], axis=1)
+        keys, first, weight = np.unique(pairs[:, 0] * int(n) + pairs[:, 1], return_index=True, return_counts=True)
+        if len(keys) < 3:
+            return [0.0, 0.0]
+        order = np.argsort(first)  # edges as they come up in the text, which settles ties
+        x, y, w = keys[order] // int(n), keys[order] % int(n), weight[order].astype(float)
+        linked = np.zeros((int(n), int(n)), dtype=bool)
+        linked[x, y] = linked[y, x] = True
+        return [_small_world(linked, len(keys)), _modularity(x, y, w, int(n))]
+
+    for sizes, a, b in batches:
+        yield pd.Series([of(*row) for row in zip(sizes, a, b)])
+
+
 def prepare(docs: DataFrame) -> DataFrame:
     """``doc_id, tokens`` with tags, words, nouns and their neighbour pairs."""
     df = docs.select("doc_id", "tokens").withColumn("tokens", F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t["text"].alias("text"), t["lemma"].alias("lemma"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["head"].alias("head"), t["sent"].alias("sent"), t["ent"].alias("ent"))))
@@ -111,10 +172,14 @@ def information() -> dict[str, Column]:
 
 
 def topology() -> dict[str, Column]:
-    """Of the pairs of nouns that stand near each other, the share whose first mentions are far apart."""
+    """Graph of nouns that stand near each other: small world, modularity, and the share of edges between far first mentions."""
     pairs = F.array_distinct("edges")
     far = F.filter(pairs, lambda e: F.abs(F.element_at("places", e["a"]) - F.element_at("places", e["b"])) > FAR)
-    return {"long_range_edge_density": T.zero_unless((F.size("nouns") >= 5) & (F.size(pairs) >= 3), F.size(far) / F.size(pairs))}
+    names = F.map_keys("places")
+    at = lambda side: F.transform("edges", lambda e: F.array_position(names, e[side]) - 1)
+    shape = graph(F.size("places"), at("a"), at("b"))
+    enough = F.size("nouns") >= 5
+    return {"small_world_coefficient": T.zero_unless(enough, F.get(shape, F.lit(0))), "graph_modularity": T.zero_unless(enough, F.get(shape, F.lit(1))), "long_range_edge_density": T.zero_unless((F.size("nouns") >= 5) & (F.size(pairs) >= 3), F.size(far) / F.size(pairs))}
 
 
 def token_features(docs: DataFrame, groups: tuple[str, ...] = ("pos", "dependency", "information", "topology")) -> DataFrame:

@@ -42,3 +42,32 @@ def test_features_of_a_small_parse(spark):
     assert abs(two["information_propositional_density"] - 2 / 3 / 3) < 1e-9 and two["information_named_entity_velocity"] == 1
     assert two["topology_long_range_edge_density"] == 0
     assert all(v == 0 for i in (3, 4) for k, v in got[i].items() if k != "doc_id")
+
+
+def test_graph_against_plain_loops(spark):
+    import random
+
+    r = random.Random(3)
+    words = [r.choice("abcdefghijkl") * 3 for _ in range(60)]
+    toks = [(w, w, "NOUN" if r.random() < 0.7 else "VERB", "ROOT", i, 0, None) for i, w in enumerate(words)]
+    got = token_features(spark.createDataFrame([(1, toks)], SCHEMA), ("topology",)).first()
+    nouns = [(t[0], i) for i, t in enumerate(toks) if t[2] == "NOUN"]
+    nodes = list(dict.fromkeys(w for w, _ in nouns))
+    edges = Counter()
+    for k, (a, i) in enumerate(nouns):
+        for b, j in nouns[k + 1 :]:
+            if j - i <= 5 and a != b:
+                edges[tuple(sorted((a, b)))] += 1
+    near = {n: {b for e in edges for b in e if n in e and b != n} for n in nodes}
+    parts = [sum(y in near[x] for x in near[n] for y in near[n]) / (len(near[n]) * (len(near[n]) - 1)) for n in nodes if len(near[n]) > 1]
+    total = pairs = 0
+    for s in nodes[:10]:
+        seen, front, d = {s}, {s}, 0
+        while front:
+            d, front = d + 1, {y for x in front for y in near[x]} - seen
+            seen |= front
+            total, pairs = total + d * len(front), pairs + len(front)
+    chance = math.log(len(nodes)) / math.log(max(2 * len(edges) / len(nodes), 2))
+    want = min(sum(parts) / len(parts) / 0.5 / (total / pairs / chance) / 2, 1)
+    assert abs(got["topology_small_world_coefficient"] - want) < 1e-9
+    assert 0 < got["topology_graph_modularity"] <= 1
