@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprint.llm import linededup, warc
+from lexiprint.llm import linededup, quotes, warc
 from lexiprint.llm.decontaminate import leaks
 from lexiprint.llm.lsh import nearest
 from lexiprint.llm.mixing import mixing_rates
-from lexiprint.llm.quotes import link_quotes
 from lexiprint.llm.sharding import shard_documents
 from lexiprint.llm.simhash import simhash_digest
 from lexiprint.llm.sstable import token_shards
@@ -28,7 +27,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": _over(linededup.drop_boilerplate, "pages"),
     "op3_mixing": _over(mixing_rates, "documents", "labels"),
     "op4_warc_revisits": _over(warc.page_revisits, "pages"),
-    "op5_quote_linking": _over(link_quotes, "conversations"),
+    "op5_quote_linking": _over(quotes.link_quotes, "conversations"),
     "op6_cross_polytope": _over(nearest, "embeddings"),
     "op7_toxicity": _over(toxicity, "documents", "labels"),
     "op8_sstable": _over(token_shards, "documents"),
@@ -39,4 +38,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": linededup.SQL,
     "op4_warc_revisits": warc.SQL,
+    "op5_quote_linking": quotes.SQL,
 }

@@ -139,3 +139,42 @@ def _positions(rows: DataFrame) -> DataFrame:
     before = counts.selectExpr("conv_id as c", "part as p", "first", "sum(n) over (partition by conv_id order by part) - n as before")
     joined = ordered.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.shiftright("at", 33) == F.col("p")))
     return joined.withColumn("position", F.col("before") + F.col("at") - F.col("first"))
+
+
+_NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_LONG = rf"len(regexp_split_to_array(trim(body, ' '), '\s+')) >= {LINE_WORDS}"
+
+#: DuckDB SQL of ``link_quotes`` over ``conversations``; texts stand where hashes do.
+SQL = rf"""
+with recursive m as (select conv_id, turn, role, text, row_number() over () as id from (select distinct conv_id, turn, role, text from conversations)),
+l0 as (select id, unnest(a) as line, generate_subscripts(a, 1) as i from (select id, regexp_split_to_array(coalesce(text, ''), '\r?\n') as a from m)),
+l as (select id, i, len(regexp_replace(regexp_extract(line, '{MARK}', 0), '[^>]', '', 'g')) as level, regexp_replace(line, '{MARK}', '') as body from l0),
+f as (select *, (lag(level) over w is null or level <> lag(level) over w or trim(body, ' ') = '' or trim(lag(body) over w, ' ') = '')::int as starts, lead(level) over w as next_level from l window w as (partition by id order by i)),
+r as (select *, sum(starts) over (partition by id order by i) as run from f),
+runs as (select id, run, level, string_agg(body, ' ' order by i) as body from r group by id, run, level having trim(string_agg(body, ' ' order by i), ' ') <> ''),
+kept as (select r.* from r join runs using (id, run)),
+own as (
+    select id, {_NORM.format("body")} as h from runs where level = 0
+    union select id, {_NORM.format("body")} from kept where level = 0 and {_LONG}
+    union select id, {_NORM.format("string_agg(body, ' ' order by i)")} from kept where level = 0 group by id),
+asks as (
+    select id, level, {_NORM.format("body")} as h from runs where level > 0
+    union select id, level, {_NORM.format("body")} from kept where level > 0 and {_LONG}
+    union select id, level, {_NORM.format("string_agg(body, ' ' order by i)")} from kept where level > 0 group by id, level),
+written as (select conv_id, h, min(turn) as origin from own join m using (id) where conv_id is not null and turn is not null group by conv_id, h),
+found as (select asks.id, asks.level, asks.h, case when origin < turn then origin end as origin from asks join m using (id) left join written on written.conv_id = m.conv_id and written.h = asks.h where m.conv_id is not null and turn is not null),
+links as (select id, count(distinct h) as quoted, count(distinct h) filter (origin is not null) as linked, arg_min(origin, level * 1000000000 - origin) filter (origin is not null) as reply_to from found group by id),
+parents as (select conv_id, turn, max(reply_to) as up from links join m using (id) where reply_to is not null group by conv_id, turn),
+chain as (
+    select conv_id, turn, up, 1 as depth from parents
+    union all select c.conv_id, c.turn, p.up, c.depth + 1 from chain c join parents p on p.conv_id = c.conv_id and p.turn = c.up),
+threads as (select conv_id, turn, arg_max(up, depth) as thread, max(depth) as depth from chain group by conv_id, turn),
+body as (
+    select id, trim(regexp_replace(string_agg(body, chr(10) order by i), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as text
+    from f where level = 0 and not (coalesce(next_level, 0) > 0 and regexp_matches(body, '{SAID}')) group by id),
+deepest as (select id, max(level)::int as levels from l group by id),
+out as (
+    select m.conv_id, m.turn, m.role, reply_to, case when reply_to is null then m.turn else thread end as thread, case when reply_to is null then 0 else t.depth end as depth, levels, coalesce(quoted, 0) as quoted, coalesce(linked, 0) as linked, coalesce(body.text, '') as text
+    from m left join links using (id) left join threads t on t.conv_id = m.conv_id and t.turn = m.turn left join body using (id) left join deepest using (id))
+select *, row_number() over (partition by conv_id order by thread nulls first, turn nulls first, role nulls first, text) - 1 as position from out
+"""

@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
 from data import words
 
 from lexiprint.llm import quotes
@@ -99,6 +101,11 @@ def test_matches_brute_force(spark):
         keys = [(r["thread"] if r["thread"] is not None else -1, r["turn"] if r["turn"] is not None else -1) for r in rs]
         assert keys == sorted(keys)
     assert not any(">" in r["text"] or "wrote:" in r["text"] for r in got)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    columns = ["conv_id", "turn", "role", "reply_to", "thread", "depth", "levels", "quoted", "linked", "text"]
+    told = con.sql(f"select {', '.join(columns)} from ({quotes.SQL})").limit(100_000).fetchall()
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(map(tuple, told), key=repr)
 
 
 def test_nested_levels_and_text(spark):
