@@ -19,10 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (local tests) a temporary folder is set.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lexiprint-')}"
-        spark.sparkContext.setCheckpointDir(named)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lexiprint-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
