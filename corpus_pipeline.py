@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprint.llm import decontaminate, mixing, simhash, sstable, toxicity
+from lexiprint.llm import decontaminate, mixing, nearcopies, sstable, toxicity
 from lexiprint.llm.common import fresh_dir
 
 
@@ -18,8 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, by five-word shingles of similarity 0.8, stays."""
+    return nearcopies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
