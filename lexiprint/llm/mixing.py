@@ -13,6 +13,7 @@ one pass of partial sums over a small table and no state per document is kept.
 
 from __future__ import annotations
 
+import logging
 import string
 import zlib
 from collections.abc import Iterator
@@ -31,13 +32,18 @@ TARGETS = {"good": 0.9, "poor": 0.1}
 SAMPLE = 3000
 BUCKETS = 1 << 14
 EPOCHS = 6
-#: Bounds of the rates: every document is kept, none is repeated more than this.
-LOWEST, HIGHEST = 1.0, 4.0
+#: Bounds of the rates: every document is kept, and repeated as often as the targets need.
+LOWEST, HIGHEST = 1.0, float("inf")
 STEPS = 40
+#: The shares may miss their targets by so much; else a budget larger by LARGER is tried, BUDGETS times at most.
+MISS, BUDGETS, LARGER = 5e-3, 12, 1.25
 #: Pull of the rates towards 1, against the misfit of the shares.
 RIDGE = 1e-3
 AT_ONCE, CACHE = 400_000, 300_000
 SHAPES = 12
+#: Rows that the mixture hands on at once, whatever the rates.
+ROWS = 1000
+_log = logging.getLogger(__name__)
 _EDGE = string.punctuation + "“”‘’«»„¡¿…–—"
 _SYMBOLS = "%&*#$@^~<>=+{}[]|\\/_"
 
@@ -183,6 +189,11 @@ class Plan:
     target: np.ndarray
     shares: np.ndarray
 
+    @property
+    def miss(self) -> float:
+        """Largest distance of a reached share from its target; not a number without tokens."""
+        return float(np.abs(self.shares - self.target).max())
+
     def rates(self, posterior: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates of documents with these posteriors (n, domains) after all steps; ``ahead``: where the next step starts.
 
@@ -214,11 +225,11 @@ def _sums(rows: DataFrame, plan: Plan, ahead: bool = True) -> np.ndarray:
     return np.array([found[c] or 0.0 for c in columns])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS) -> Plan:
+def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, budget: float = 1.0) -> Plan:
     """Projected gradient over ``rows`` (``tokens, p_<domain>...``) until the totals match or stand still.
 
-    The wanted totals are the target shares of the least budget that cuts no
-    domain below what it has at rate 1.  The misfit of a domain counts in
+    The wanted totals are the target shares of ``budget`` times the least
+    budget that cuts no domain below what it has at rate 1.  The misfit of a domain counts in
     proportion to its share, with which the squared error's curvature is at
     most 1 and a step of 1 never overshoots.
     """
@@ -230,7 +241,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS) ->
     if not total:
         return plan
     natural = mass = _sums(rows, plan) / total
-    wanted = target * (natural / np.maximum(target, 1e-12))[target > 0].max()
+    wanted = budget * target * (natural / np.maximum(target, 1e-12))[target > 0].max()
     for _ in range(steps):
         gap = (mass - wanted) / np.maximum(natural, 1e-9)
         if np.abs(gap).max() < 1e-4 or plan.residuals and np.abs(gap - plan.residuals[-1]).max() < 2e-5:
@@ -242,11 +253,32 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS) ->
     return plan
 
 
+def meet_targets(rows: DataFrame, targets: dict[str, float]) -> Plan:
+    """The plan of the least budget tried whose shares come within ``MISS`` of the targets, or of the least miss.
+
+    With soft posteriors a wanted document brings tokens of the other domains
+    too and none may fall below its floor, so the least budget can be too
+    small.  Budgets grow while that helps; targets against shares are logged,
+    as a warning where no budget met them.
+    """
+    best = fit_rates(rows, targets)
+    for n in range(1, BUDGETS + 1):
+        if not best.miss > MISS:
+            break
+        plan = fit_rates(rows, targets, budget=LARGER**n)
+        if not plan.miss < 0.95 * best.miss:
+            break
+        best = plan
+    said = ", ".join(f"{n} {s:.4f} (target {t:.4f})" for n, s, t in zip(best.names, best.shares, best.target))
+    _log.log(logging.WARNING if best.miss > MISS else logging.INFO, "shares reached: %s", said)
+    return best
+
+
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, tokens, p_<domain>..., rate`` of every row of ``docs``.
 
     ``rate`` is the expected number of times the document stands in the
-    mixture.  Null and empty texts have no tokens and the rate of their
+    mixture, 1 at least and as much as the targets need (``meet_targets``).  Null and empty texts have no tokens and the rate of their
     posterior.  Without labels of two domains all posteriors are equal and
     the rates stay 1.  Repeated rows come back repeated.
     """
@@ -254,9 +286,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     names = list(targets)
     model = fit(docs, domain_of(labels), names)
     rows = cut(posteriors(docs, model, names))
-    plan = fit_rates(rows, targets)
     if model is None:
         return rows.withColumn("rate", F.lit(1.0))
+    plan = meet_targets(rows, targets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -278,7 +310,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit(docs, domain_of(labels), names)
     if model is None:
         return docs
-    plan = fit_rates(cut(posteriors(docs, model, names)), targets)
+    plan = meet_targets(cut(posteriors(docs, model, names)), targets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scored = _posteriors(model, names)
@@ -287,6 +319,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             rate = plan.rates(got[[f"p_{n}" for n in names]].to_numpy())
             luck = np.array([zlib.crc32(f"mix {i}".encode()) / 2**32 for i in b["doc_id"]])
             times = np.floor(rate).astype(int) + (luck < rate % 1)
-            yield b.iloc[np.repeat(np.arange(len(b)), times)]
+            places = np.repeat(np.arange(len(b)), times)
+            for at in range(0, len(places), ROWS):
+                yield b.iloc[places[at : at + ROWS]]
 
     return with_texts(docs).mapInPandas(run, docs.schema)

@@ -71,3 +71,32 @@ def test_awkward_documents(spark, labelled):
     assert got.count() == docs.count() and got.filter("rate is null").count() == 0
     assert mixing.mix(docs, labels).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert mixing.mixing_rates(empty(spark), labels).count() == 0 and mixing.mix(empty(spark), labels).count() == 0
+
+
+def test_default_targets_are_met_with_a_third_poor(spark):
+    """Soft posteriors, and documents of a corpus whose poor source holds a third of the tokens."""
+    r = np.random.default_rng(4)
+    good = r.random(1500) < 2 / 3
+    p = np.where(good, r.beta(20, 1, 1500), r.beta(1, 20, 1500))
+    tokens = r.integers(20, 500, 1500)
+    frame = spark.createDataFrame([(int(t), float(q), float(1 - q)) for t, q in zip(tokens, p)], "tokens long, p_good double, p_poor double")
+    plan = mixing.meet_targets(frame, mixing.TARGETS)
+    both = np.stack([p, 1 - p], axis=1)
+    mass = (tokens * plan.rates(both)) @ both
+    np.testing.assert_allclose(mass / mass.sum(), plan.shares, rtol=1e-9)
+    assert plan.miss <= mixing.MISS and plan.rates(both).min() >= mixing.LOWEST
+
+    rows = table(spark)
+    poor = sum(len(t.split()) for _, t, q in rows if not q) / sum(len(t.split()) for _, t, _ in rows)
+    assert poor > 0.31
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows if r[0] % 2], "doc_id long, quality int, toxic int")
+    got = mixing.mixing_rates(docs, labels).collect()
+    mass = {n: sum(g["rate"] * g["tokens"] * g[f"p_{n}"] for g in got) for n in mixing.TARGETS}
+    assert abs(mass["good"] / sum(mass.values()) - 0.9) <= mixing.MISS
+
+
+def test_targets_out_of_reach_are_said(spark, caplog):
+    frame = spark.createDataFrame([(10, 0.6, 0.4), (30, 0.2, 0.8)], "tokens long, p_good double, p_poor double")
+    assert mixing.meet_targets(frame, mixing.TARGETS).miss > 0.2
+    assert "target 0.9" in caplog.text
