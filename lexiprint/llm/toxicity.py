@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import with_texts
+from lexiprint.llm.common import cut, with_texts
 
 #: At most so many labelled documents of each label are learned from, those of least hash.
 SAMPLE = {1: 3000, 0: 6000}
@@ -39,6 +39,8 @@ THRESHOLD = 0.3
 LEAST_POSITIVES = 15
 #: Rows with this remainder of crc32(doc_id) modulo 4 are never learned from.
 HELD_OUT = 2
+#: Labels of at most so many documents are sent to every task.
+SENT = 1_000_000
 #: Words whose filter shares a worker keeps, and words scored in one go.
 KEPT, AT_ONCE = 120_000, 200_000
 _STRIP = string.punctuation + "“”‘’«»„¡¿…–—"
@@ -181,24 +183,36 @@ def _logits(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str | None]) -> dict[str, float]:
-    """Thresholds of best F1 by language, the middle of the best gap; '' holds for languages with few positives."""
+def best_threshold(bins: list[tuple[int, int, float, float]]) -> float:
+    """Threshold of best F1 over ``(toxic rows, rows, least score, largest score)`` of each bin, the middle of the gap below it."""
+    bins = sorted(bins, key=lambda x: -x[2])
+    toxic = np.array([x[0] for x in bins], dtype=np.float64)
+    rows = np.array([x[1] for x in bins], dtype=np.float64)
+    at = int((2 * np.cumsum(toxic) / (np.cumsum(rows) + toxic.sum())).argmax())
+    below = bins[at + 1][3] if at + 1 < len(bins) else 0.0
+    return float((bins[at][2] + below) / 2)
 
-    def best(s: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-s)
-        s, y = s[order], y[order]
-        f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
-        at = int(f1.argmax())
-        below = s[at + 1] if at + 1 < len(s) else 0.0
-        return float((s[at] + below) / 2)
 
-    names = np.array([x or "" for x in langs], dtype=object)
-    found = {"": best(scores, labels) if labels.sum() >= LEAST_POSITIVES else THRESHOLD}
-    for name in sorted(set(names) - {""}):
-        mine = names == name
-        if labels[mine].sum() >= LEAST_POSITIVES:
-            found[name] = best(scores[mine], labels[mine])
-    return found
+def calibrate(scored: DataFrame) -> dict[str, float]:
+    """Thresholds of best F1 by language of all rows of ``lang, score, toxic``; '' holds for languages with few positives.
+
+    The scores are counted in bins of a 64th of a logit, of which each keeps
+    its least and largest score, so the driver sees counts only.
+    """
+    logit = F.log(F.greatest(F.col("score"), F.lit(1e-15)) / F.greatest(1 - F.col("score"), F.lit(1e-15)))
+    binned = scored.select(F.coalesce("lang", F.lit("")).alias("lang"), "score", "toxic", F.floor(logit * 64).alias("bin"))
+    # at most about 4,400 bins a language
+    got = binned.groupBy("lang", "bin").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()
+    whole: dict[int, tuple[int, int, float, float]] = {}
+    own: dict[str, list[tuple[int, int, float, float]]] = {}
+    for r in got:
+        one = (r["toxic"], r["n"], r["low"], r["high"])
+        t, n, low, high = whole.get(r["bin"], (0, 0, 1.0, 0.0))
+        whole[r["bin"]] = t + one[0], n + one[1], min(low, one[2]), max(high, one[3])
+        own.setdefault(r["lang"], []).append(one)
+    enough = lambda bins: sum(x[0] for x in bins) >= LEAST_POSITIVES
+    found = {"": best_threshold(list(whole.values())) if enough(whole.values()) else THRESHOLD}
+    return found | {name: best_threshold(own[name]) for name in sorted(own) if name and enough(own[name])}
 
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,38 +221,62 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"words": rows, "toxic": b["toxic"], "lang": b["lang"], "fold": b["fold"]})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Train and calibrate on ``labels.toxic`` of rows that are not held out; None without both labels.
+def _known(labels: DataFrame) -> DataFrame:
+    """``_id, _toxic`` of the labelled documents that are not held out; repeated labels count once, the larger."""
+    known = labels.filter(f"doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 <> {HELD_OUT}")
+    return known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+
 
-    At most ``SAMPLE`` documents of each label are used, those whose
-    identifiers have the least hash; a fifth of them sets the thresholds.
+def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame | None]:
+    """The trained network, and ``_id, _toxic`` of all labelled documents that it neither saw nor are held out.
+
+    At most ``SAMPLE`` documents of each label, those whose identifiers have
+    the least hash, are trained on, less a fifth.
     """
-    known = labels.filter(f"doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 <> {HELD_OUT}")
-    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+    known = _known(labels)
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     if len(sizes) < 2:
-        return None
+        return None, None
     chosen = None
     for y, most in SAMPLE.items():
         part = known.filter(F.col("_toxic") == y).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    # at most sum(SAMPLE) rows of two numbers
-    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(docs["text"].cast("string").alias("text"), F.col("_toxic").alias("toxic"), docs["lang"].cast("string").alias("lang"), F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)).cast("int").alias("fold"))
+    # at most sum(SAMPLE) rows of three numbers
+    chosen = cut(chosen.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)).cast("int")))
+    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(docs["text"].cast("string").alias("text"), F.col("_toxic").alias("toxic"), docs["lang"].cast("string").alias("lang"), F.col("_fold").alias("fold"))
     rows = texts.mapInPandas(_encode, "words binary, toxic int, lang string, fold int").toPandas()
     if rows["toxic"].nunique() < 2:
-        return None
+        return None, None
     data = [np.frombuffer(w, dtype="<i4").reshape(-1, PARTS) for w in rows["words"]]
     y = rows["toxic"].to_numpy()
     fitted = (rows["fold"] != 0).to_numpy()
+    seen = chosen.filter("_fold <> 0")
     if len(set(y[fitted])) < 2:
         fitted[:] = True
+        seen = chosen
     weights = np.array([sizes[int(v)] / max(1, (y == v).sum()) for v in y])
     weights = np.minimum(weights / weights.mean(), 10).astype(np.float32)
     at = np.nonzero(fitted)[0]
     model = train([data[i] for i in at], y[at], weights[at])
-    rest = np.nonzero(~fitted)[0]
-    if len(rest):
-        model.thresholds = calibrate(1 / (1 + np.exp(-_logits(model, [data[i] for i in rest]))), y[rest], [rows["lang"].iloc[i] for i in rest])
+    return model, known.join(F.broadcast(seen.select(F.col("_id").alias("_seen"))), F.col("_id") == F.col("_seen"), "left_anti")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Train on a bounded sample and calibrate on all other labelled rows that are not held out; None without both labels."""
+    model, rest = _fit(docs, labels)
+    if model is None:
+        return None
+    rest = cut(rest)
+    sent = F.broadcast(rest) if rest.count() <= SENT else rest
+    need = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    mine = need.join(sent, F.col("doc_id") == F.col("_id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield pd.DataFrame({"lang": b["lang"], "score": scorer.score(list(b["text"])), "toxic": b["toxic"]})
+
+    model.thresholds = calibrate(mine.select("text", "lang", F.col("_toxic").alias("toxic")).mapInPandas(run, "lang string, score double, toxic int"))
     return model
 
 
@@ -327,12 +365,13 @@ def _score(model: Model):
     return run
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | None, rest: DataFrame | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted, lang_threshold, toxic`` of every row.
 
     ``predicted`` compares with 0.3; ``toxic`` with the threshold calibrated
     for the row's language, or the one for all where its language has none.
     Null texts score like empty ones.  Without a model every score is 0.
+    With ``rest`` (``_id, _toxic``) the thresholds are first set on its scores.
     """
     need = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     if model is None:
@@ -340,6 +379,9 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
         thresholds = {"": THRESHOLD}
     else:
         scored = need.mapInPandas(_score(model), "doc_id long, lang string, score double")
+        if rest is not None:
+            scored = cut(scored)
+            model.thresholds = calibrate(scored.join(rest, F.col("doc_id") == F.col("_id")).select("lang", "score", F.col("_toxic").alias("toxic")))
         thresholds = model.thresholds or {"": THRESHOLD}
     limit = F.lit(thresholds[""])
     for name, t in thresholds.items():
@@ -350,8 +392,8 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled rows and score every document."""
-    return score_documents(docs, fit(docs, labels))
+    """Fit on the labelled rows and score every document, once."""
+    return score_documents(docs, *_fit(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

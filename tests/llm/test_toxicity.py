@@ -74,3 +74,30 @@ def test_awkward_documents(spark):
     none = tox.toxicity(docs, labels.filter("toxic = 0"))
     assert none.count() == docs.count() and none.filter("predicted = 1").count() == 0
     assert tox.drop_toxic(docs, labels).columns == docs.columns
+
+
+def test_thresholds_cover_all_labels_beyond_the_sample(spark, monkeypatch):
+    """With clean labels far beyond the sample, thresholds are those of best F1 over every labelled row not trained on."""
+    monkeypatch.setattr(tox, "SAMPLE", {1: 100, 0: 100})
+    r = random.Random(8)
+    rows = []
+    for i, text, lang, bad in corpus(spark, 1500):
+        # one clean text in five holds a bad word as well, so scores overlap
+        rows.append((i, text + (" " + r.choice(BAD) if not bad and r.random() < 0.2 else ""), lang, bad))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows], "doc_id long, toxic int")
+    _, rest = tox._fit(docs, labels)
+    used = {x["_id"] for x in rest.collect()}
+    assert len(used) > 800 and not any(zlib.crc32(str(i).encode()) % 4 == tox.HELD_OUT for i in used)
+    got = {x["doc_id"]: x for x in tox.toxicity(docs, labels).collect()}
+    for lang in ("en", "fr"):
+        mine = [(got[i]["score"], bad) for i, _, x, bad in rows if x == lang and i in used]
+
+        def f1(limit):
+            hit = sum(y for s, y in mine if s >= limit)
+            return 2 * hit / (sum(s >= limit for s, _ in mine) + sum(y for _, y in mine))
+
+        limit = next(got[i]["lang_threshold"] for i, _, x, _ in rows if x == lang)
+        assert f1(limit) >= max(f1(s) for s, _ in mine) - 0.01
+    model = tox.fit(docs, labels)
+    assert all(abs(model.thresholds[x] - next(got[i]["lang_threshold"] for i, _, y, _ in rows if y == x)) < 1e-6 for x in ("en", "fr"))
