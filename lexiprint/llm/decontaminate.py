@@ -267,7 +267,7 @@ class Matcher:
 
 def _indexes(benchmark: DataFrame, threshold: float, chars: int) -> Iterator[Index]:
     """Indexes over parts of the items of at most about ``chars`` characters, with statistics of all items."""
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     if not size[0]:
         return
@@ -282,7 +282,7 @@ def _indexes(benchmark: DataFrame, threshold: float, chars: int) -> Iterator[Ind
     stats = items.mapInPandas(counted, "term string, size long").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("size").alias("longest")).cache()
     n, words, longest = stats.filter("term is null").select("n", "size", "longest").first()
     for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         if parts == 1:
             df = {r["term"]: r["n"] for r in stats.filter("term is not null").collect()}
         else:
@@ -302,7 +302,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
     Null and empty texts hold nothing; items without words are never found.  An
     item without a separate answer is verified on its question.  Repeated
-    documents come back repeated.  The index goes to every task; it is built
+    documents come back repeated.  Items without an identifier are found like
+    any other, with a null item_id.  The index goes to every task; it is built
     from at most ``index_chars`` characters, and a larger benchmark is matched
     part after part.
     """
@@ -315,7 +316,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
             for b in batches:
                 ids = b["doc_id"].tolist()
                 rows = [(None if pd.isna(ids[n]) else int(ids[n]), *rest) for n, *rest in matcher.match(list(b["text"]))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = need.mapInPandas(run, OUT)
         out = part if out is None else out.unionByName(part)

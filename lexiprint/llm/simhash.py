@@ -205,27 +205,45 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     Links are sought between distinct fingerprints; equal ones share a row, so
     copies cost nothing however many there are.  Null and empty texts have the
     fingerprint zero and link like any other.  Repeated rows come back repeated.
-    A null doc_id is no candidate for a component's name; a component without
-    any doc_id has a null name.  An empty table gives an empty result.
+    A null doc_id links like any other but is no candidate for a component's
+    name; a component without any doc_id has a null name.  An empty table gives
+    an empty result.
     """
     prints = cut(fingerprints(docs, words))
-    grouped = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = cut(grouped)
-    found = components(links(nodes.filter("node is not null"), radius, segment))
-    named = nodes.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    named = _named(prints, radius, segment).select("fp", "n", "component_id")
     return attach(prints, named, "fp", "n", prints.count())
 
 
+def _named(prints: DataFrame, radius: int, segment: int) -> DataFrame:
+    """``fp, n, component, component_id``: the fingerprint itself is the node, the least doc_id only the name."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    found = components(links(nodes.withColumn("node", F.col("fp")), radius, segment))
+    parts = cut(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "n", "doc_id", F.coalesce("component", "fp").alias("component")))
+    names = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    named = attach(parts.drop("doc_id"), names, "component", "_n", parts.count())
+    return named.select("fp", "n", "component", "component_id")
+
+
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """The operator's rows with the fingerprint as 16 hexadecimal digits."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """``docs`` without near copies: of every component the document of the smallest doc_id stays.
+    """``docs`` without near copies: of every component the row of the smallest doc_id stays, null last.
 
-    Rows that repeat a kept doc_id are reduced to one.
+    Of several such rows it is the one whose text has the least hash.  A row is
+    known by the hash of its identifier and text, so rows without an identifier
+    stay unless they are copies, and different texts under one doc_id are
+    different documents.
     """
-    kept = near_duplicates(docs, radius, words).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), F.col("text").cast("string")))
+    # the row's key takes the identifier's place, so it comes back beside the fingerprint
+    prints = cut(fingerprints(keyed.withColumns({"doc_id": F.col("_row")}), words).withColumnRenamed("doc_id", "row"))
+    ids = cut(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    rows = cut(prints.distinct().join(ids, "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    least = rows.groupBy("fp").agg(first)
+    groups = _named(rows.select("doc_id", "fp"), radius, SEGMENT).select("fp", "component").join(least, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    single = keyed.join(groups.select(F.col("first.row").alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi")
+    return single.dropDuplicates(["_row"]).drop("_row")

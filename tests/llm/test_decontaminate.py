@@ -89,3 +89,11 @@ def test_empty_tables(spark):
     assert dc.leaks(empty(spark), bench).count() == 0
     assert dc.leaks(documents(spark), bench.limit(0)).count() == 0
     assert dc.drop_leaks(documents(spark), bench.limit(0)).count() == documents(spark).count()
+
+
+def test_items_without_identifier_are_found(spark):
+    item = words(40, 7777)
+    docs = spark.createDataFrame([(1, f"{words(50, 1)} {item} {words(50, 2)}"), (2, words(90, 3))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (8, words(40, 8))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.leaks(docs, benchmark).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in dc.drop_leaks(docs, benchmark).collect()] == [2]

@@ -84,3 +84,14 @@ def test_keep_one(spark):
     assert kept[0].asDict().keys() == set(docs.columns)
     ids = sorted(r["doc_id"] for r in kept)
     assert len(ids) == len(set(ids)) and 20 in ids and 21 not in ids and 0 in ids and 1 not in ids and 100 in ids
+
+
+def test_rows_without_identifier_link_and_stay(spark):
+    base = 0x0123456789ABCDEF
+    far = [base, base ^ 0b1111, base ^ 0b11111111]  # the ends meet through the middle only
+    prints = spark.createDataFrame([(5, far[0]), (None, far[1]), (9, far[2])], "doc_id long, fp long")
+    assert {r["component_id"] for r in simhash._named(prints, 4, simhash.SEGMENT).collect()} == {5}
+    a, b, c, d = (words(60, n) for n in range(4))
+    rows = [(None, a), (None, b), (None, b), (4, c), (4, d), (None, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, a), (None, b), (4, c), (4, d)], key=str)
