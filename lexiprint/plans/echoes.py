@@ -15,8 +15,9 @@ def _docs(build):
 
 
 def _forest(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select("id", (F.col("label") % 2).alias("y"), *(F.get("vec", F.lit(i)).alias(f"x{i}") for i in range(16)))
-    return learning.cross_validated(v, [f"x{i}" for i in range(16)], "y", "id", k=3)
+    v = _vectors(spark, sf_dir)
+    columns = [f"x{i}" for i in range(v.agg(F.max(F.size("vec"))).first()[0] or 0)]
+    return learning.cross_validated(v.select("id", (F.col("label") % 2).alias("y"), *(F.get("vec", F.lit(i)).alias(c) for i, c in enumerate(columns))), columns, "y", "id")
 
 
 QUERIES = {

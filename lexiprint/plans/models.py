@@ -41,6 +41,7 @@ QUERIES = {
     "profile_components": _q(P.components),
     "profile_centroids": _q(lambda v: P.centroids(v).select("model", "n", F.posexplode("centroid").alias("dim", "mean"))),
     "profile_covariance": _q(lambda v: P.covariance(v.withColumn("vec", F.slice("vec", 1, 8)))),
+    "profile_covariance_whole": _q(P.covariance),
     "identify": _q(lambda v: P.identify(v, P.centroids(v))),
     "verify_claim": _q(lambda v: P.verify(v.withColumn("claim", F.concat(F.lit("m"), (F.col("id") % 11).cast("string"))), P.centroids(v))),
     "effect_sizes": _q(lambda v: P.effect_sizes(v.withColumn("is_human", F.col("label") % 2 == 0))),
