@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds more than this share of the rows, so there are never more than 1,000.
 HEAVY_SHARE = 1e-3
+#: So many rows of one key a task joins without help.
+LIGHT = 100_000
 #: Rows with whole texts that a task hands to Python at once.
 TEXT_ROWS = 1000
 
@@ -17,10 +20,15 @@ TEXT_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where the session names none a temporary folder is set for a local master;
+    on a cluster it would be another folder for each executor, so that fails.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lexiprint-')}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='lexiprint-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -50,6 +58,11 @@ def with_texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def beside(batch: pa.RecordBatch, kept: list[str], **more: pa.Array) -> pa.RecordBatch:
+    """The ``kept`` columns of ``batch`` as they are, identifiers and nulls to the last bit, and ``more`` behind them."""
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more.values()], names=[*kept, *more])
+
+
 def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Left join of ``rows`` with ``lookup``, which has one row per ``key`` and in ``count`` the key's rows.
 
@@ -65,3 +78,15 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int)
     found = with_heavy.filter("_heavy").drop("_heavy")
     rest = with_heavy.filter("_heavy is null").drop("_heavy", *values)
     return found.unionByName(rest.join(light, rest[key] == F.col("_k"), "left").drop("_k"))
+
+
+def attach_any(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``lookup`` (one row per ``key``), whose keys may be as heavy as they like in ``rows``.
+
+    Both are read twice, so they are to be cheap to read.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    most, total = counts.agg(F.max("_rows"), F.sum("_rows")).first()
+    if (most or 0) <= LIGHT:
+        return rows.join(lookup, key, "left")
+    return attach(rows, lookup.join(counts, key), key, "_rows", total)
