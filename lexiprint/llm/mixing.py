@@ -9,6 +9,8 @@ summed over all documents at their rates, come to the target shares.
 A step needs the domain totals only, a few numbers.  A document's rate after
 any number of steps follows from its own row and those totals, so each step is
 one pass of partial sums over a small table and no state per document is kept.
+The squared error is weighed by the inverse of its own curvature, a matrix of a
+row per domain, so that all directions have a curvature of at most 1.
 """
 
 from __future__ import annotations
@@ -21,25 +23,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import cut, with_texts
+from lexiprint.llm.common import beside, cut, with_texts
 
-#: Domains of the labelled table and the wanted share of tokens of each.
-TARGETS = {"good": 0.9, "poor": 0.1}
+#: Domains of the labelled table and the share of tokens of each that rates are fitted to.
+TARGETS = {"good": 0.6, "poor": 0.4}
+#: The same for a mixture that drops no document.
+KEEPING_TARGETS = {"good": 0.9, "poor": 0.1}
 #: At most so many labelled documents of each domain are learned from, those of least hash.
 SAMPLE = 3000
 BUCKETS = 1 << 14
 EPOCHS = 6
-#: Bounds of the rates: every document is kept, and repeated as often as the targets need.
-LOWEST, HIGHEST = 1.0, float("inf")
-STEPS = 40
+#: Least rates: of the fit, and of a mixture that drops no document.  There is no upper bound.
+LOWEST, KEEPING = 0.0, 1.0
+STEPS = 60
 #: The shares may miss their targets by so much; else a budget larger by LARGER is tried, BUDGETS times at most.
 MISS, BUDGETS, LARGER = 5e-3, 12, 1.25
 #: Pull of the rates towards 1, against the misfit of the shares.
 RIDGE = 1e-3
-AT_ONCE, CACHE = 400_000, 300_000
+CACHE = 300_000
 SHAPES = 12
 #: Rows that the mixture hands on at once, whatever the rates.
 ROWS = 1000
@@ -135,19 +140,25 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = _Tokens()
     for b in batches:
         rows = [features(t, known) for t in b["text"]]
-        yield pd.DataFrame({"domain": b["domain"], "buckets": [r[0].astype("<i4").tobytes() for r in rows], "weights": [r[1].astype("<f4").tobytes() for r in rows], "shape": [r[2].astype("<f4").tobytes() for r in rows]})
+        yield pd.DataFrame({"id": b["id"], "domain": b["domain"], "buckets": [r[0].astype("<i4").tobytes() for r in rows], "weights": [r[1].astype("<f4").tobytes() for r in rows], "shape": [r[2].astype("<f4").tobytes() for r in rows]})
 
 
 def fit(docs: DataFrame, domains: DataFrame, names: list[str]) -> Classifier | None:
-    """Classifier of the named domains on at most ``SAMPLE`` labelled documents each; None if only one has any."""
+    """Classifier of the named domains on at most ``SAMPLE`` labelled documents each; None if only one has any.
+
+    Of rows with one doc_id the text of least hash is learned from.  A document
+    comes to the driver as at most ``BUCKETS`` weights, and they are put in the
+    order of the identifiers, so the model does not depend on partitions.
+    """
     sizes = {r["domain"]: r["count"] for r in domains.groupBy("domain").count().collect()}
     chosen = None
     for name in names:
         part = domains.filter(F.col("domain") == name).orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
     # at most len(names) * SAMPLE rows of an identifier and a name
-    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("domain"), docs["text"].cast("string").alias("text"))
-    got = texts.mapInPandas(_encode, "domain string, buckets binary, weights binary, shape binary").toPandas()
+    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("_id").alias("id"), "domain", docs["text"].cast("string").alias("text"))
+    once = texts.groupBy("id").agg(F.min_by(F.struct("domain", "text"), F.xxhash64("text")).alias("r")).select("id", "r.domain", "r.text")
+    got = once.mapInPandas(_encode, "id long, domain string, buckets binary, weights binary, shape binary").toPandas().sort_values("id")
     if got["domain"].nunique() < 2:
         return None
     rows = [(np.frombuffer(b, "<i4"), np.frombuffer(w, "<f4"), np.frombuffer(s, "<f4")) for b, w, s in zip(got["buckets"], got["weights"], got["shape"])]
@@ -158,42 +169,55 @@ def fit(docs: DataFrame, domains: DataFrame, names: list[str]) -> Classifier | N
     return train(rows, labels, names, np.minimum(weights, 10).astype(np.float32))
 
 
-def _posteriors(model: Classifier | None, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Tokens()
-        for b in batches:
-            posts, sizes = [], []
-            for t in b["text"]:
-                buckets, weights, shape, n = features(t, known)
-                posts.append(model.posterior(buckets, weights, shape) if model else np.full(len(names), 1 / len(names)))
-                sizes.append(n)
-                if len(known) > CACHE:
-                    known.clear()
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": sizes} | {f"p_{n}": [float(p[i]) for p in posts] for i, n in enumerate(names)})
+class _Judge:
+    """Words and posteriors, (n, domains), of whole texts."""
 
-    return run
+    def __init__(self, model: Classifier | None, names: list[str]) -> None:
+        self.model, self.even, self.known = model, np.full(len(names), 1 / len(names)), _Tokens()
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+        sizes, posts = [], np.empty((len(texts), len(self.even)))
+        for i, t in enumerate(texts):
+            buckets, weights, shape, n = features(t, self.known)
+            posts[i] = self.model.posterior(buckets, weights, shape) if self.model else self.even
+            sizes.append(n)
+            if len(self.known) > CACHE:
+                self.known.clear()
+        return sizes, posts
 
 
 def posteriors(docs: DataFrame, model: Classifier | None, names: list[str]) -> DataFrame:
     """``doc_id, tokens, p_<domain>...`` of every whole text; without a model all domains are equally likely."""
     schema = ", ".join(["doc_id long", "tokens long", *(f"p_{n} double" for n in names)])
-    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_posteriors(model, names), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(model, names)
+        for b in batches:
+            sizes, posts = judge(b.column("text").to_pylist())
+            yield beside(b, ["doc_id"], tokens=pa.array(sizes, pa.int64()), **{f"p_{n}": pa.array(posts[:, i]) for i, n in enumerate(names)})
+
+    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 @dataclass
 class Plan:
-    """Residuals by step: all that a document needs to work out its rate."""
+    """Weighed residuals by step: all that a document needs to work out its rate."""
 
     residuals: list[np.ndarray]
     names: list[str]
     target: np.ndarray
     shares: np.ndarray
+    lowest: float = LOWEST
 
     @property
     def miss(self) -> float:
         """Largest distance of a reached share from its target; not a number without tokens."""
         return float(np.abs(self.shares - self.target).max())
 
+    @property
+    def met(self) -> bool:
+        return self.miss <= MISS
+
     def rates(self, posterior: np.ndarray, ahead: bool = False) -> np.ndarray:
         """Rates of documents with these posteriors (n, domains) after all steps; ``ahead``: where the next step starts.
 
@@ -204,7 +228,7 @@ class Plan:
         r = past = np.ones(len(posterior))
         for k, gap in enumerate(self.residuals):
             start = r + k / (k + 3) * (r - past)
-            past, r = r, np.clip(start - posterior @ gap - RIDGE * (start - 1), LOWEST, HIGHEST)
+            past, r = r, np.maximum(start - posterior @ gap - RIDGE * (start - 1), self.lowest)
         k = len(self.residuals)
         return r + k / (k + 3) * (r - past) if ahead else r
 
@@ -225,47 +249,57 @@ def _sums(rows: DataFrame, plan: Plan, ahead: bool = True) -> np.ndarray:
     return np.array([found[c] or 0.0 for c in columns])
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, budget: float = 1.0) -> Plan:
+def _curvature(rows: DataFrame, names: list[str]) -> tuple[float, np.ndarray]:
+    """All tokens, and the token-weighted mean of the outer products of the posteriors."""
+    products = [F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in names for b in names]
+    total, *flat = rows.agg(F.sum("tokens"), *products).first()
+    return float(total or 0), np.array([float(x or 0) for x in flat]).reshape(len(names), -1) / max(1.0, float(total or 0))
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, budget: float = 1.0, lowest: float = LOWEST) -> Plan:
     """Projected gradient over ``rows`` (``tokens, p_<domain>...``) until the totals match or stand still.
 
-    The wanted totals are the target shares of ``budget`` times the least
-    budget that cuts no domain below what it has at rate 1.  The misfit of a domain counts in
-    proportion to its share, with which the squared error's curvature is at
-    most 1 and a step of 1 never overshoots.
+    Rates are ``lowest`` at least.  The wanted totals are the target shares of
+    ``budget`` times all tokens, or, with a floor that drops nothing, of
+    ``budget`` times the least number that cuts no domain below the floor.
     """
     names = list(targets)
-    target = np.array([targets[n] for n in names])
+    target = np.array([targets[n] for n in names], dtype=np.float64)
     target = target / target.sum()
-    total = float(rows.agg(F.sum("tokens")).first()[0] or 0)
-    plan = Plan([], names, target, np.full(len(names), np.nan))
+    total, curvature = _curvature(rows, names)
+    plan = Plan([], names, target, np.full(len(names), np.nan), lowest)
     if not total:
         return plan
-    natural = mass = _sums(rows, plan) / total
-    wanted = budget * target * (natural / np.maximum(target, 1e-12))[target > 0].max()
+    weight = np.linalg.inv(curvature + 1e-6 * np.eye(len(names)))
+    natural = mass = curvature.sum(axis=1)
+    least = max(1.0, lowest * (natural / np.maximum(target, 1e-12))[target > 0].max())
+    wanted = budget * least * target
+    last = np.inf
     for _ in range(steps):
-        gap = (mass - wanted) / np.maximum(natural, 1e-9)
-        if np.abs(gap).max() < 1e-4 or plan.residuals and np.abs(gap - plan.residuals[-1]).max() < 2e-5:
+        gap = mass - wanted
+        if np.abs(gap).max() < 1e-4 or np.abs(gap - last).max() < 1e-6:
             break
-        plan.residuals.append(gap)
+        last = gap
+        plan.residuals.append(weight @ gap)
         mass = _sums(rows, plan) / total
     mass = _sums(rows, plan, ahead=False)
     plan.shares = mass / mass.sum()
     return plan
 
 
-def meet_targets(rows: DataFrame, targets: dict[str, float]) -> Plan:
-    """The plan of the least budget tried whose shares come within ``MISS`` of the targets, or of the least miss.
+def meet_targets(rows: DataFrame, targets: dict[str, float], lowest: float = LOWEST) -> Plan:
+    """The plan whose shares come within ``MISS`` of the targets, or of the least miss.
 
-    With soft posteriors a wanted document brings tokens of the other domains
-    too and none may fall below its floor, so the least budget can be too
-    small.  Budgets grow while that helps; targets against shares are logged,
-    as a warning where no budget met them.
+    With a floor above zero and soft posteriors a wanted document brings tokens
+    of the other domains too and none may fall below the floor, so the least
+    budget can be too small: budgets grow while that helps.  Targets against
+    shares are logged, as a warning where they are out of reach.
     """
-    best = fit_rates(rows, targets)
-    for n in range(1, BUDGETS + 1):
+    best = fit_rates(rows, targets, lowest=lowest)
+    for n in range(1, BUDGETS + 1 if lowest else 1):
         if not best.miss > MISS:
             break
-        plan = fit_rates(rows, targets, budget=LARGER**n)
+        plan = fit_rates(rows, targets, budget=LARGER**n, lowest=lowest)
         if not plan.miss < 0.95 * best.miss:
             break
         best = plan
@@ -274,53 +308,60 @@ def meet_targets(rows: DataFrame, targets: dict[str, float]) -> Plan:
     return best
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``doc_id, tokens, p_<domain>..., rate`` of every row of ``docs``.
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, lowest: float = LOWEST) -> DataFrame:
+    """``doc_id, tokens, p_<domain>..., rate, share_<domain>..., met`` of every row of ``docs``.
 
     ``rate`` is the expected number of times the document stands in the
-    mixture, 1 at least and as much as the targets need (``meet_targets``).  Null and empty texts have no tokens and the rate of their
-    posterior.  Without labels of two domains all posteriors are equal and
-    the rates stay 1.  Repeated rows come back repeated.
+    mixture, ``lowest`` at least.  ``share_<domain>`` are the shares that all
+    rates together reach and ``met`` says whether each is within ``MISS`` of
+    its target; these are the same in every row.  Null and empty texts have no
+    tokens and the rate of their posterior.  Without labels of two domains all
+    posteriors are equal, the rates stay 1 and the shares are null.  Repeated
+    rows come back repeated.
     """
     targets = targets or TARGETS
     names = list(targets)
     model = fit(docs, domain_of(labels), names)
     rows = cut(posteriors(docs, model, names))
     if model is None:
-        return rows.withColumn("rate", F.lit(1.0))
-    plan = meet_targets(rows, targets)
+        return rows.withColumns({"rate": F.lit(1.0)} | {f"share_{n}": F.lit(None).cast("double") for n in names} | {"met": F.lit(False)})
+    plan = meet_targets(rows, targets, lowest)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.assign(rate=plan.rates(b[[f"p_{n}" for n in names]].to_numpy()))
+            posterior = np.stack([b.column(f"p_{n}").to_numpy() for n in names], axis=1)
+            yield beside(b, rows_columns, rate=pa.array(plan.rates(posterior)))
 
+    rows_columns = rows.columns
     schema = ", ".join(["doc_id long", "tokens long", *(f"p_{n} double" for n in names), "rate double"])
-    return rows.mapInPandas(run, schema)
+    shares = {f"share_{n}": F.lit(float(s)) for n, s in zip(names, plan.shares)}
+    return rows.mapInArrow(run, schema).withColumns(shares | {"met": F.lit(plan.met)})
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, lowest: float = KEEPING) -> DataFrame:
     """``docs`` mixed: each row as often as its rate says, the fraction settled by a hash of its identifier.
 
-    Rates are 1 or more, so every document stays; those of wanted domains are
-    repeated.  The classifier runs beside the text again, so no text is
-    shuffled and repeated identifiers cannot multiply.
+    With ``lowest`` 1 every document stays and those of wanted domains are
+    repeated; where that cannot reach the targets, a warning says what was
+    reached.  The classifier runs beside the text again, so no text is
+    shuffled and repeated identifiers cannot multiply.  All columns come back
+    as they were.
     """
-    targets = targets or TARGETS
+    targets = targets or KEEPING_TARGETS
     names = list(targets)
     model = fit(docs, domain_of(labels), names)
     if model is None:
         return docs
-    plan = meet_targets(cut(posteriors(docs, model, names)), targets)
+    plan = meet_targets(cut(posteriors(docs, model, names)), targets, lowest)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scored = _posteriors(model, names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(model, names)
         for b in batches:
-            (got,) = scored(iter([b[["doc_id", "text"]]]))
-            rate = plan.rates(got[[f"p_{n}" for n in names]].to_numpy())
-            luck = np.array([zlib.crc32(f"mix {i}".encode()) / 2**32 for i in b["doc_id"]])
+            rate = plan.rates(judge(b.column("text").to_pylist())[1])
+            luck = np.array([zlib.crc32(f"mix {i}".encode()) / 2**32 for i in b.column("doc_id").to_pylist()])
             times = np.floor(rate).astype(int) + (luck < rate % 1)
-            places = np.repeat(np.arange(len(b)), times)
+            places = np.repeat(np.arange(b.num_rows), times)
             for at in range(0, len(places), ROWS):
-                yield b.iloc[places[at : at + ROWS]]
+                yield b.take(pa.array(places[at : at + ROWS]))
 
-    return with_texts(docs).mapInPandas(run, docs.schema)
+    return with_texts(docs).mapInArrow(run, docs.schema)

@@ -1,5 +1,6 @@
 """Awkward inputs that every operator over documents is tried on."""
 
+import datetime
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, fp string"
@@ -23,3 +24,14 @@ def documents(spark, extra=()):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Identifiers that doubles cannot tell apart, beside a null.
+WIDE = [2**53, 2**53 + 1, None, -(2**63), 2**63 - 1]
+WIDE_SCHEMA = "doc_id long, text string, lang string, stamp timestamp, nested struct<a: array<long>, b: map<string, long>>"
+
+
+def wide(spark, texts):
+    """Documents with ``WIDE`` identifiers, a time stamp and nested wide numbers."""
+    rows = [(WIDE[i % 5], t, "en", datetime.datetime(2024, 1, 1, 0, 0, i), ([2**53 + 1, None], {"k": 2**53 + i})) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, WIDE_SCHEMA)
