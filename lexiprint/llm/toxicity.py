@@ -17,13 +17,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import cut, with_texts
+from lexiprint.llm.common import beside, cut, with_texts
 
-#: At most so many labelled documents of each label are learned from, those of least hash.
+#: At most so many labelled documents of each label are learned from, those of least hash,
+#: and of these as many as have so many words together.
 SAMPLE = {1: 3000, 0: 6000}
+SAMPLE_WORDS = 8_000_000
 BUCKETS = 1 << 17
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -102,6 +105,49 @@ def _forward(model: Model, words: np.ndarray, spans: np.ndarray) -> tuple[np.nda
     return pooled @ model.weight + model.offset, kept, pooled
 
 
+def loss(model: Model, words: np.ndarray, spans: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """Mean weighted logistic loss of a batch."""
+    logit = _forward(model, words, spans)[0].astype(np.float64)
+    return float((weights * (np.logaddexp(0, logit) - labels * logit)).mean())
+
+
+@dataclass
+class Gradients:
+    """Derivatives of ``loss``; of the embedding only the ``touched`` rows."""
+
+    touched: np.ndarray
+    embedding: np.ndarray
+    filters: dict[int, np.ndarray]
+    bias: dict[int, np.ndarray]
+    weight: np.ndarray
+    offset: float
+
+
+def gradients(model: Model, words: np.ndarray, spans: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> Gradients:
+    """Derivatives through the sigmoid, the largest responses and the sums of hashed vectors; padding has none."""
+    logit, kept, pooled = _forward(model, words, spans)
+    g = ((1 / (1 + np.exp(-logit)) - labels) * weights / len(labels)).astype(model.embedding.dtype)
+    d_pooled = g[:, None] * model.weight * (pooled > 0)
+    rows, parts, filters, bias = [], [], {}, {}
+    for place, (width, (window, out)) in enumerate(kept.items()):
+        d = d_pooled[:, place * FILTERS : (place + 1) * FILTERS]
+        best = np.stack([a + out[a:b].argmax(axis=0) for a, b in spans])
+        picked = window[best.ravel()].reshape(*best.shape, -1)
+        filters[width] = np.einsum("bf,bfw->wf", d, picked).reshape(width, DIM, FILTERS)
+        bias[width] = d.sum(0)
+        back = d[:, :, None] * model.filters[width].reshape(-1, FILTERS).T[None]
+        for j in range(width):
+            where = (best + j).ravel()
+            part = back[:, :, j * DIM : (j + 1) * DIM].reshape(-1, DIM)
+            rows += [words[where, n] for n in range(PARTS)]
+            parts += [part] * PARTS
+    touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    total = np.zeros((len(touched), DIM), dtype=model.embedding.dtype)
+    np.add.at(total, inverse, np.concatenate(parts))
+    total[touched == 0] = 0
+    return Gradients(touched, total, filters, bias, pooled.T @ g, float(g.sum()))
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit on documents given as (n, PARTS) bucket arrays; ``weights`` undo uneven sampling of the labels.
 
@@ -142,37 +188,15 @@ def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
             words, spans = _join([docs[i] for i in chosen], model.padding)
-            logit, kept, pooled = _forward(model, words, spans)
+            g = gradients(model, words, spans, labels[chosen], weights[chosen])
             steps += 1
-            g = ((1 / (1 + np.exp(-logit)) - labels[chosen]) * weights[chosen] / len(chosen)).astype(np.float32)
-            d_pooled = g[:, None] * model.weight * (pooled > 0)
-            changes: list[tuple[np.ndarray, np.ndarray]] = []
-            new_filters, new_bias = {}, {}
-            for place, width in enumerate(WIDTHS):
-                window, out = kept[width]
-                d = d_pooled[:, place * FILTERS : (place + 1) * FILTERS]
-                best = np.stack([a + out[a:b].argmax(axis=0) for a, b in spans])
-                picked = window[best.ravel()].reshape(*best.shape, -1)
-                flat = model.filters[width].reshape(-1, FILTERS)
-                grad = np.einsum("bf,bfw->wf", d, picked)
-                new_filters[width] = adam(("f", width), flat, grad + 1e-5 * flat).reshape(width, DIM, FILTERS).astype(np.float32)
-                new_bias[width] = adam(("b", width), model.bias[width], d.sum(0)).astype(np.float32)
-                back = d[:, :, None] * flat.T[None]
-                for j in range(width):
-                    where = (best + j).ravel()
-                    part = back[:, :, j * DIM : (j + 1) * DIM].reshape(-1, DIM)
-                    changes += [(words[where, n], part) for n in range(PARTS)]
-            rows = np.concatenate([c[0] for c in changes])
-            parts = np.concatenate([c[1] for c in changes])
-            touched, inverse = np.unique(rows, return_inverse=True)
-            total = np.zeros((len(touched), DIM), dtype=np.float32)
-            np.add.at(total, inverse, parts)
-            total[touched == 0] = 0
-            rows_seen[touched] += (total * total).sum(axis=1)
-            model.embedding[touched] -= 0.1 * total / (np.sqrt(rows_seen[touched])[:, None] + 1e-4)
-            model.weight = adam("w", model.weight, pooled.T @ g + 1e-4 * model.weight).astype(np.float32)
-            model.offset = float(adam("o", model.offset, g.sum()))
-            model.filters, model.bias = new_filters, new_bias
+            rows_seen[g.touched] += (g.embedding * g.embedding).sum(axis=1)
+            model.embedding[g.touched] -= 0.1 * g.embedding / (np.sqrt(rows_seen[g.touched])[:, None] + 1e-4)
+            model.weight = adam("w", model.weight, g.weight + 1e-4 * model.weight).astype(np.float32)
+            model.offset = float(adam("o", model.offset, g.offset))
+            for width in WIDTHS:
+                model.filters[width] = adam(("f", width), model.filters[width], g.filters[width] + 1e-5 * model.filters[width]).astype(np.float32)
+                model.bias[width] = adam(("b", width), model.bias[width], g.bias[width]).astype(np.float32)
     return model
 
 
@@ -218,7 +242,7 @@ def calibrate(scored: DataFrame) -> dict[str, float]:
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [np.array([word_buckets(w) for w in (t or "").split()], dtype="<i4").tobytes() for t in b["text"]]
-        yield pd.DataFrame({"words": rows, "toxic": b["toxic"], "lang": b["lang"], "fold": b["fold"]})
+        yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "fold": b["fold"], "size": [len(r) // (4 * PARTS) for r in rows], "words": rows})
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -231,7 +255,10 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
     """The trained network, and ``_id, _toxic`` of all labelled documents that it neither saw nor are held out.
 
     At most ``SAMPLE`` documents of each label, those whose identifiers have
-    the least hash, are trained on, less a fifth.
+    the least hash, are trained on, less a fifth; in the order of the hash only
+    as many as have ``SAMPLE_WORDS`` words together, so what comes to the
+    driver is bounded however long texts are.  Of rows with one doc_id the text
+    of least hash is learned from.
     """
     known = _known(labels)
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
@@ -243,10 +270,17 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
         chosen = part if chosen is None else chosen.union(part)
     # at most sum(SAMPLE) rows of three numbers
     chosen = cut(chosen.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)).cast("int")))
-    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(docs["text"].cast("string").alias("text"), F.col("_toxic").alias("toxic"), docs["lang"].cast("string").alias("lang"), F.col("_fold").alias("fold"))
-    rows = texts.mapInPandas(_encode, "words binary, toxic int, lang string, fold int").toPandas()
+    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("_id").alias("id"), F.col("_toxic").alias("toxic"), F.col("_fold").alias("fold"), docs["text"].cast("string").alias("text"))
+    once = texts.groupBy("id").agg(F.min_by(F.struct("toxic", "fold", "text"), F.xxhash64("text")).alias("r")).select("id", "r.toxic", "r.fold", "r.text")
+    coded = cut(once.mapInPandas(_encode, "id long, toxic int, fold int, size long, words binary"))
+    # at most sum(SAMPLE) rows of two numbers, then at most SAMPLE_WORDS words
+    sized = coded.select("id", "size", F.xxhash64("id", F.lit(11)).alias("h")).toPandas().sort_values(["h", "id"])
+    taken = sized["id"][sized["size"].cumsum() <= SAMPLE_WORDS].tolist()
+    picked = docs.sparkSession.createDataFrame([(i,) for i in taken], "_id long")
+    rows = coded.join(F.broadcast(picked), F.col("id") == F.col("_id"), "left_semi").toPandas().sort_values("id", ignore_index=True)
     if rows["toxic"].nunique() < 2:
         return None, None
+    chosen = chosen.join(F.broadcast(picked), "_id", "left_semi")
     data = [np.frombuffer(w, dtype="<i4").reshape(-1, PARTS) for w in rows["words"]]
     y = rows["toxic"].to_numpy()
     fitted = (rows["fold"] != 0).to_numpy()
@@ -357,10 +391,10 @@ class Scorer:
 
 
 def _score(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "score": scorer.score(list(b["text"]))})
+            yield beside(b, ["doc_id", "lang"], score=pa.array(scorer.score(b.column("text").to_pylist())))
 
     return run
 
@@ -378,7 +412,7 @@ def score_documents(docs: DataFrame, model: Model | None, rest: DataFrame | None
         scored = need.select("doc_id", "lang", F.lit(0.0).alias("score"))
         thresholds = {"": THRESHOLD}
     else:
-        scored = need.mapInPandas(_score(model), "doc_id long, lang string, score double")
+        scored = need.mapInArrow(_score(model), "doc_id long, lang string, score double")
         if rest is not None:
             scored = cut(scored)
             model.thresholds = calibrate(scored.join(rest, F.col("doc_id") == F.col("_id")).select("lang", "score", F.col("_toxic").alias("toxic")))
@@ -399,17 +433,18 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text scores at or above the threshold of their language.
 
-    The score stands beside the text in the same task, so no row is shuffled.
+    The score stands beside the text in the same task, so no row is shuffled,
+    and all columns come back as they were.
     """
     model = fit(docs, labels)
     if model is None:
         return docs
     thresholds = model.thresholds or {"": THRESHOLD}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            limits = np.array([thresholds.get(x or "", thresholds[""]) for x in b["lang"].where(b["lang"].notna(), "")])
-            yield b[scorer.score(list(b["text"])) < limits]
+            limits = np.array([thresholds.get(x or "", thresholds[""]) for x in b.column("lang").to_pylist()])
+            yield b.filter(pa.array(scorer.score(b.column("text").to_pylist()) < limits))
 
-    return with_texts(docs).mapInPandas(run, docs.schema)
+    return with_texts(docs).mapInArrow(run, docs.schema)

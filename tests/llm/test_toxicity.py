@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from data import documents, empty, words
+from data import WIDE, documents, empty, wide, words
 
 from lexiprint.llm import toxicity as tox
 
@@ -101,3 +101,47 @@ def test_thresholds_cover_all_labels_beyond_the_sample(spark, monkeypatch):
         assert f1(limit) >= max(f1(s) for s, _ in mine) - 0.01
     model = tox.fit(docs, labels)
     assert all(abs(model.thresholds[x] - next(got[i]["lang_threshold"] for i, _, y, _ in rows if y == x)) < 1e-6 for x in ("en", "fr"))
+
+
+def test_gradients_match_finite_differences():
+    model, docs = small_model()
+    r = np.random.default_rng(2)
+    model = tox.Model(*(x.astype(np.float64) for x in (model.embedding + r.normal(0, 0.05, model.embedding.shape),)), {w: f.astype(np.float64) for w, f in model.filters.items()}, {w: b.astype(np.float64) + 0.05 for w, b in model.bias.items()}, model.weight.astype(np.float64), model.offset)
+    model.embedding[0] = 0
+    words_, spans = tox._join(docs[:12], model.padding)
+    labels, weights = r.integers(0, 2, 12).astype(float), r.random(12) + 0.5
+    g = tox.gradients(model, words_, spans, labels, weights)
+
+    def slope(array, at):
+        kept, out = array[at], []
+        for step in (1e-6, -1e-6):
+            array[at] = kept + step
+            out.append(tox.loss(model, words_, spans, labels, weights))
+        array[at] = kept
+        return (out[0] - out[1]) / 2e-6
+
+    for n, row in enumerate(g.touched[:25]):
+        if row:
+            np.testing.assert_allclose([slope(model.embedding, (row, j)) for j in range(3)], g.embedding[n, :3], rtol=1e-4, atol=1e-8)
+    for w in tox.WIDTHS:
+        np.testing.assert_allclose([slope(model.filters[w], (w - 1, 0, j)) for j in range(tox.FILTERS)], g.filters[w][w - 1, 0], rtol=1e-4, atol=1e-8)
+        np.testing.assert_allclose([slope(model.bias[w], j) for j in range(tox.FILTERS)], g.bias[w], rtol=1e-4, atol=1e-8)
+    np.testing.assert_allclose([slope(model.weight, j) for j in range(8)], g.weight[:8], rtol=1e-4, atol=1e-8)
+
+
+def test_wide_identifiers_and_other_columns_come_back(spark):
+    docs = wide(spark, [words(20, i) + (" vilk snorbit" if i % 5 == 1 else "") for i in range(40)])
+    labels = spark.createDataFrame([(i, int(n == 1)) for n, i in enumerate(WIDE) if i is not None], "doc_id long, toxic int")
+    assert sorted(map(str, (r["doc_id"] for r in tox.toxicity(docs, labels).collect()))) == sorted(map(str, WIDE * 8))
+    assert set(map(str, tox.drop_toxic(docs, labels).collect())) <= set(map(str, docs.collect()))
+
+
+def test_sample_is_bounded_in_words_and_model_independent_of_partitions(spark, monkeypatch):
+    rows = corpus(spark, 300)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(9000, words(50_000, 1), "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(9000, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(tox, "SAMPLE_WORDS", 8000)
+    models = [tox._fit(docs.repartition(n), labels) for n in (1, 5)]
+    np.testing.assert_array_equal(models[0][0].embedding, models[1][0].embedding)
+    left = {r["_id"] for r in models[0][1].collect()}
+    assert 9000 in left and 120 < len(left) < 240
