@@ -27,6 +27,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -311,14 +312,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     out = None
     for index in _indexes(benchmark, threshold, index_chars):
 
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(index, threshold, overlap)
             for b in batches:
-                ids = b["doc_id"].tolist()
-                rows = [(None if pd.isna(ids[n]) else int(ids[n]), *rest) for n, *rest in matcher.match(list(b["text"]))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                found = list(zip(*matcher.match(b.column("text").to_pylist()))) or [()] * 5
+                ids = b.column("doc_id").take(pa.array(found[0], pa.int64()))
+                more = [pa.array(x, kind) for x, kind in zip(found[1:], (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([ids, *more], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = need.mapInPandas(run, OUT)
+        part = need.mapInArrow(run, OUT)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], OUT) if out is None else out
 
@@ -327,11 +329,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose whole text holds a benchmark item; no row is shuffled."""
     for index in _indexes(benchmark, THRESHOLD, INDEX_CHARS):
 
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(index)
             for b in batches:
-                found = {n for n, *_ in matcher.match(list(b["text"]))}
-                yield b[[n not in found for n in range(len(b))]]
+                clean = np.ones(b.num_rows, dtype=bool)
+                clean[[n for n, *_ in matcher.match(b.column("text").to_pylist())]] = False
+                yield b.filter(pa.array(clean))
 
-        docs = with_texts(docs).mapInPandas(run, docs.schema)
+        docs = with_texts(docs).mapInArrow(run, docs.schema)
     return docs

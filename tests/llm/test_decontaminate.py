@@ -3,7 +3,7 @@ from math import log
 
 import numpy as np
 import pytest
-from data import documents, empty, words
+from data import documents, empty, wide, words
 
 from lexiprint.llm import decontaminate as dc
 
@@ -97,3 +97,12 @@ def test_items_without_identifier_are_found(spark):
     benchmark = spark.createDataFrame([(None, item), (8, words(40, 8))], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in dc.leaks(docs, benchmark).collect()] == [(1, None)]
     assert [r["doc_id"] for r in dc.drop_leaks(docs, benchmark).collect()] == [2]
+
+
+def test_wide_identifiers_and_other_columns_come_back(spark):
+    item = words(40, 7777)
+    docs = wide(spark, [words(30, i) + (f" {item} " if i % 4 == 1 else "") for i in range(20)])
+    bench = spark.createDataFrame([(2**53 + 1, item)], "item_id long, text string")
+    hit = [r for r in docs.collect() if item in r["text"]]
+    assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in dc.leaks(docs, bench).collect()))) == sorted(str((r["doc_id"], 2**53 + 1)) for r in hit)
+    assert sorted(map(str, dc.drop_leaks(docs, bench).collect())) == sorted(str(r) for r in docs.collect() if item not in r["text"])
