@@ -1,7 +1,10 @@
-"""Near copies by the Jaccard similarity of their five-word shingles.
+"""Near copies by SimHash groups, completed and verified on five-word shingles.
 
-MinHash bands propose candidates, which only saves comparisons: whether two
-texts are near copies is settled on the shingles of both whole texts.  Equal
+The SimHash operator groups texts whose fingerprints of five-word shingles
+link.  Texts of Jaccard similarity 0.8 differ in ten of 64 bits on average,
+and random texts in as few as that too often for any grid to part them, so
+MinHash bands propose what the fingerprints miss.  Both only propose: whether
+two texts are near copies is settled on the shingles of both whole texts.  Equal
 texts share one node, so exact copies cost nothing however many there are, and
 rows, not identifiers, are kept: a missing or repeated doc_id loses no text.
 """
@@ -12,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import attach, cut, with_texts
-from lexiprint.llm.simhash import components
+from lexiprint.llm.common import attach, beside, cut, with_texts
+from lexiprint.llm.simhash import components, groups, majority
 
 SEED = 42
 WORDS = 5
@@ -75,15 +79,17 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for b in batches:
-            got = []
-            for t in b["text"]:
-                got.append(bands(shingles(t, known, words)).view(np.int64))
+            found, prints = np.empty((b.num_rows, BANDS), dtype=np.uint64), np.empty(b.num_rows, dtype=np.uint64)
+            for n, t in enumerate(b.column("text").to_pylist()):
+                hashes = shingles(t, known, words)
+                found[n], prints[n] = bands(hashes), majority(hashes)
                 if len(known) > CACHE:
                     known.clear()
-            yield pd.DataFrame({"row": b["row"], "node": b["node"], "doc_id": b["doc_id"], "bands": got})
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.ravel().view(np.int64)))
+            yield beside(b, ["row", "node", "doc_id"], bands=lists, fp=pa.array(prints.view(np.int64)))
 
     return run
 
@@ -158,14 +164,14 @@ def _links(similarity: float):
 def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
     """``a, b``: links that connect all near copies among ``nodes`` (``node, bands``); ``texts`` has ``node, text``, repeats allowed.
 
-    Cells with the same texts count once.  A cell of more than ``piece`` texts
+    ``bands`` are the cells in which a node seeks partners.  Cells with the same texts count once.  A cell of more than ``piece`` texts
     is cut in pieces and every two pieces meet in a task of their own.
     """
     cells = nodes.select("node", F.explode("bands").alias("cell"))
     # a sum of hashes stands for the cell's set of nodes
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).filter("n > 1")
     single = cut(sizes.groupBy("n", "who").agg(F.min("cell").alias("cell")).select("cell", "n", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
-    held = attach(cells, single, "cell", "n", BANDS * nodes.count()).filter("pieces is not null")
+    held = attach(cells, single, "cell", "n", (BANDS + 1) * nodes.count()).filter("pieces is not null")
     held = cut(held.withColumn("own", F.pmod(F.xxhash64("node"), "pieces").cast("int")))
     wanted = cut(held.select(F.col("node").alias("_n")).distinct())
     few = wanted.count() <= SENT
@@ -183,15 +189,17 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     the text of least hash.  A row is known by the hash of its identifier and
     text, so rows without an identifier stay unless their text is a copy, and
     different texts under one doc_id are different documents.  Texts without
-    words are copies of each other.
+    words are copies of each other.  All columns come back as they were.
     """
     keyed = with_texts(docs).withColumn("_node", F.xxhash64(F.col("text").cast("string"))).withColumn("_row", F.xxhash64("_node", F.col("doc_id").isNull(), "doc_id"))
     need = keyed.select(F.col("_row").alias("row"), F.col("_node").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(need.mapInPandas(_sketches(words), "row long, node long, doc_id long, bands array<long>"))
+    rows = cut(need.mapInArrow(_sketches(words), "row long, node long, doc_id long, bands array<long>, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row")).alias("first")
-    nodes = cut(rows.groupBy("node").agg(first, F.any_value("bands").alias("bands")))
-    found = components(links(nodes.select("node", "bands"), need.select("node", "text"), words, similarity))
-    groups = nodes.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
-    kept = groups.select(F.col("first.row").alias("_kept"))
+    nodes = cut(rows.groupBy("node").agg(first, F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp")))
+    grouped = nodes.select("node", "bands").join(groups(nodes), "node", "left")
+    cells = F.when(F.col("group").isNull(), F.col("bands")).otherwise(F.array_append("bands", F.xxhash64(F.lit("simhash"), "group")))
+    found = components(links(cut(grouped.select("node", cells.alias("bands"))), need.select("node", "text"), words, similarity))
+    parts = nodes.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
+    kept = parts.select(F.col("first.row").alias("_kept"))
     single = keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
     return single.drop("_row", "_node")

@@ -3,9 +3,11 @@
 A fingerprint's bits are cut into narrow segments; the vector of set bits per
 segment embeds it so that the Manhattan distance of two vectors never exceeds
 the fingerprints' Hamming distance.  Vectors within ``radius`` agree exactly on
-at least two of ``radius + 2`` groups of segments, so the grid has one cell per
-pair of groups and their counts; a join on cells finds every pair.  Pairs in a
-cell are kept if their whole Manhattan distance is within the radius, then
+at least ``k`` of ``radius + k`` groups of segments, so the grid has one cell
+per choice of ``k`` groups and their counts; a join on cells finds every pair.
+With ``k`` the cells get finer and a fingerprint has more of them; ``k`` follows
+the number of fingerprints (``agreeing``) and no result depends on it.  Pairs in
+a cell are kept if their whole Manhattan distance is within the radius, then
 verified on the bits.
 """
 
@@ -13,14 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import attach, cut, with_texts
+from lexiprint.llm.common import LIGHT, attach, beside, cut, with_texts
 
 SEED = 42
 BITS = 64
@@ -32,6 +36,15 @@ PIECE = 1024
 _ROWS = 1 << 15
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit ``hashes``; 0 without any."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), _ROWS):
+        part = hashes[at : at + _ROWS].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Majority of the bits of all word shingles' XXH64, repeats included; 0 without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -46,26 +59,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts = [0, *(e + 1 for e in ends[: size - words])]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[first:])]
-    ones = np.zeros(BITS, dtype=np.int64)
-    all_hashes = np.array(hashes, dtype="<u8")
-    for at in range(0, len(all_hashes), _ROWS):
-        part = all_hashes[at : at + _ROWS].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > len(all_hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, dtype="<u8"))
 
 
 def _fingerprints(words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([fingerprint(t, words) for t in b["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": got.view(np.int64)})
+            got = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
+            yield beside(b, ["doc_id"], fp=pa.array(got.view(np.int64)))
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, fp`` (a signed long with the 64 bits) of every whole text."""
-    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_fingerprints(words), "doc_id long, fp long")
+    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
 def embed(fp: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
@@ -74,17 +82,31 @@ def embed(fp: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
     return bits.reshape(len(bits), BITS // segment, segment).sum(axis=2, dtype=np.int8)
 
 
-def _cells(radius: int, segment: int):
-    groups = np.array_split(np.arange(BITS // segment), radius + 2)
-    pairs = list(combinations(range(radius + 2), 2))
+def agreeing(n: int, radius: int = RADIUS, segment: int = SEGMENT, most: int = 4) -> int:
+    """Groups that a cell fixes, for the least cost of ``n`` random fingerprints.
+
+    A segment of 2 fair bits tells 1.5 bits of its fingerprint by its count, so
+    a cell of k of radius + k groups holds n / 2**bits of them.  A row to sort
+    and send counts as much as 64 comparisons within a cell.
+    """
+    spread = {1: 1.0, 2: 1.5, 4: 2.03}.get(segment, 0.5 * log2(2.08 * segment + 1))
+    bits = lambda k: spread * (BITS // segment) * k / (radius + k)
+    return min(range(2, most + 1), key=lambda k: comb(radius + k, k) * (64 + n / 2 ** bits(k)))
+
+
+def _cells(radius: int, segment: int, agree: int):
+    groups = np.array_split(np.arange(BITS // segment), radius + agree)
+    choices = list(combinations(range(radius + agree), agree))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             counts = embed(b["fp"].to_numpy(), segment).astype(np.int64)
             codes = [counts[:, g] @ (segment + 1) ** np.arange(len(g)) for g in groups]
-            span = [(segment + 1) ** len(g) for g in groups]
-            for n, (i, j) in enumerate(pairs):
-                yield pd.DataFrame({"cell": (codes[i] * span[j] + codes[j]) * len(pairs) + n, "fp": b["fp"], "node": b["node"]})
+            for n, chosen in enumerate(choices):
+                cell = np.zeros(len(b), dtype=np.int64)
+                for g in chosen:
+                    cell = cell * (segment + 1) ** len(groups[g]) + codes[g]
+                yield pd.DataFrame({"cell": cell * len(choices) + n, "fp": b["fp"], "node": b["node"]})
 
     return run
 
@@ -150,14 +172,15 @@ def _links(radius: int, segment: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, segment: int = SEGMENT, piece: int = PIECE) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, segment: int = SEGMENT, piece: int = PIECE, agree: int | None = None) -> DataFrame:
     """``a, b``: links that connect all ``nodes`` (``node``, distinct ``fp``) within ``radius`` bits.
 
-    Within a cell the links are thinned to those that keep its connected sets
+    ``agree`` is ``agreeing`` of the number of nodes unless given.  Within a cell the links are thinned to those that keep its connected sets
     connected.  A cell of more than ``piece`` fingerprints is cut in pieces and
     every two pieces meet in a task of their own, so no task holds a whole cell.
     """
-    cells = nodes.select("node", "fp").mapInPandas(_cells(radius, segment), "cell long, fp long, node long")
+    agree = agree or agreeing(nodes.count(), radius, segment)
+    cells = nodes.select("node", "fp").mapInPandas(_cells(radius, segment, agree), "cell long, fp long, node long")
     full = cells.groupBy("cell").count().filter(F.col("count") > piece).select(F.col("cell").alias("_c"), F.ceil(F.col("count") / piece).cast("int").alias("pieces"))
     full = cut(full)
     if (n := full.count()) == 0:
@@ -179,24 +202,36 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = cut(edges.filter("a <> b").select("a", "b").distinct())
     moves, turn = [], 0
-    while left.limit(1).count():
+    while True:
         turn += 1
         both = left.union(left.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
-        move = cut(both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a"))).alias("to")).select(F.col("a").alias("node"), F.col("to.v").alias("to")))
+        move = cut(both.groupBy("a").agg(F.least(F.min(rank("b")), F.min(rank("a"))).alias("to"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("node"), F.col("to.v").alias("to"), "n"))
+        most, total = move.agg(F.max("n"), F.sum("n")).first()
+        if not total:
+            break
         moves.append(move)
-        at_a = move.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        at_b = move.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        moved = left.join(at_a, "a").join(at_b, "b").filter("ta <> tb")
-        left = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        for c in ("a", "b"):
+            ends = move.select(F.col("node").alias(c), F.col("to").alias(f"t{c}"), F.col("n").alias("_n"))
+            left = attach(left, ends, c, "_n", total) if most > LIGHT else left.join(ends.drop("_n"), c)
+        left = cut(left.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # many nodes may move onto one: Spark splits such a partition of the left side when it runs the join
     label = moves[-1]
     for move in reversed(moves[:-1]):
         after = label.select(F.col("node").alias("to"), F.col("to").alias("end"))
         label = cut(move.join(after, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
     least = label.groupBy("to").agg(F.min("node").alias("component"))
-    return label.join(least, "to").select("node", "component")
+    return label.join(least, "to", "left").select("node", "component")
+
+
+def groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``node, group``: the nodes (``node, fp``) whose fingerprint links to that of another node, or equals it."""
+    prints = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    found = components(links(prints.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
+    grouped = prints.join(found, "fp", "left").filter("component is not null or n > 1").select("fp", "n", F.coalesce("component", "fp").alias("group"))
+    return attach(nodes.select("node", "fp"), grouped, "fp", "n", nodes.count()).filter("group is not null").select("node", "group")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from data import documents, empty, words
+from data import documents, empty, wide, words
 
 from lexiprint.llm import nearcopies
 
@@ -78,3 +78,8 @@ def test_awkward_documents(spark):
     assert kept.columns == docs.columns and nearcopies.keep_one(empty(spark)).count() == 0
     ids = sorted(r["doc_id"] for r in kept.select("doc_id").collect())
     assert ids == sorted(plain_groups({r["doc_id"]: r["text"] for r in docs.collect()}))
+
+
+def test_wide_identifiers_and_other_columns_come_back(spark):
+    docs = wide(spark, [words(60, i) for i in range(20)])
+    assert sorted(map(str, nearcopies.keep_one(docs).collect())) == sorted(map(str, docs.collect()))

@@ -1,7 +1,7 @@
 import re
 
 import xxhash
-from data import documents, empty, words
+from data import WIDE, documents, empty, wide, words
 
 from lexiprint.llm import simhash
 
@@ -61,8 +61,8 @@ def test_whole_table_of_fingerprints_against_brute_force(spark):
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()]
     nodes = spark.createDataFrame(signed, "node long, fp long")
     want = plain_components(fps)
-    for piece in (16, 1024):
-        found = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, piece=piece)).collect()}
+    for piece, agree in ((16, None), (1024, 3)):
+        found = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, piece=piece, agree=agree)).collect()}
         assert {i: found.get(i, i) for i in fps} == want
 
 
@@ -95,3 +95,20 @@ def test_rows_without_identifier_link_and_stay(spark):
     rows = [(None, a), (None, b), (None, b), (4, c), (4, d), (None, c)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, a), (None, b), (4, c), (4, d)], key=str)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIGHT", 50)
+    edges = spark.createDataFrame([(3, i) for i in range(10, 200)] + [(i, i + 1000) for i in range(10, 30)] + [(5000, 5001)], "a long, b long")
+    got = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+    assert got == dict.fromkeys([3, *range(10, 200), *range(1010, 1030)], 3) | {5000: 5000, 5001: 5000}
+
+
+def test_cells_get_finer_with_the_number_of_fingerprints():
+    found = [simhash.agreeing(10**n) for n in range(3, 11)]
+    assert found == sorted(found) and found[0] == 2 and found[-1] == 4
+
+
+def test_wide_identifiers_come_back(spark):
+    docs = wide(spark, [words(60, i) for i in range(20)])
+    assert sorted(map(str, (r["doc_id"] for r in simhash.simhash_digest(docs).collect()))) == sorted(map(str, WIDE * 4))
