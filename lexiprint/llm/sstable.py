@@ -16,7 +16,9 @@ order and nulls come first.  Numbers are little endian.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import sys
 import types
@@ -28,12 +30,12 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -48,8 +50,12 @@ _INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 #: Uncompressed bytes at which a block is closed; a longer document has a block of its own.
 BLOCK = 1 << 18
 BLOOM_BITS = 10
-#: Pieces of text in a generation of a worker's cache; it keeps two.
-CACHE = 500_000
+#: Bytes that a generation of a worker's cache may take, about; it keeps two.
+CACHE = 96 << 20
+#: Bytes of a cached piece beside its text and ids: two objects and a place in the table.
+_ENTRY = 200
+#: Bytes of text for each shard file, unless the session's shuffle partitions are more.
+SHARD = 256 << 20
 #: Marks that are runs of their own behind a letter and before white space.
 _ENDS = tuple(".,;:!?")
 #: White space that is no single space or line break, or stands at an end.
@@ -170,27 +176,44 @@ class Table:
         return None
 
 
+def splits_at_spaces(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer is of the byte-level kind that ``Encoder`` may hand pieces of a text."""
+    rules = json.loads(tokenizer.to_str())
+    before = rules.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(plain and not rules.get("normalizer") and not rules.get("truncation") and len(tokenizer.encode("\n", add_special_tokens=False).ids) == 1)
+
+
 class Encoder:
-    """Texts to ids by the tokenizers library, with a bounded cache.
+    """Texts to ids by the tokenizers library as it stands, with a bounded cache.
 
     In a text whose white space is single spaces and single line breaks, the
     byte-level rule never joins characters across them: a space belongs to the
     word behind it, a line break is a run and an id of its own.  Such texts are
     cut there by Arrow, which also numbers their distinct pieces; a piece new
     to the worker is encoded once, many at a time with a line each, since the
-    id of the break parts them again.  Other texts are encoded as a whole.
+    id of the break parts them again.  Other texts are encoded as a whole, and
+    so are texts that hold an added token of the tokenizer, such as its mark of
+    the end, and all texts if the tokenizer has other rules.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.head = struct.pack("<I", self.line)
-        self.ends = dict(zip(_ENDS, self.whole(list(_ENDS))))
-        self.known = {"": b"", "\n": self.head}  # piece without its leading space -> ids
-        self.before: dict[str, bytes] = {}
+        self.splits = splits_at_spaces(self.tokenizer)
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = "|".join([_ODD, *map(re.escape, added)])
         self.limit = cache
+        if self.splits:
+            (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            self.head = struct.pack("<I", self.line)
+            self.ends = dict(zip(_ENDS, self.whole(list(_ENDS))))
+            self.before: dict[str, bytes] = {}
+            self._renew()
+
+    def _renew(self) -> None:
+        self.known = {"": b"", "\n": self.head}  # piece without its leading space -> ids
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -224,12 +247,15 @@ class Encoder:
         filled = [p for p in broken if p != "\n"]
         known.update(zip(filled, map(self.head.__add__, self._lines([p[1:] for p in filled], ""))))
         known.update((p, known[p[:-1]] + self.ends[p[-1]]) for p in ended)
+        self.held += sum(_ENTRY + len(p) + len(known[p]) for p in chain(pieces, stems))
 
     def batch(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """Little-endian id bytes of each text, none of them null."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.splits:
+            return self.whole(texts.to_pylist())
         out: list[bytes] = [b""] * len(texts)
-        odd = pc.match_substring_regex(texts, pattern=_ODD)
+        odd = pc.match_substring_regex(texts, pattern=self.odd)
         if whole := pc.indices_nonzero(odd).to_pylist():
             for n, data in zip(whole, self.whole([texts[n].as_py() for n in whole])):
                 out[n] = data
@@ -241,8 +267,9 @@ class Encoder:
         cut = pc.split_pattern(lined, pattern=" ")
         coded = cut.flatten().dictionary_encode()
         pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.limit:
-            self.before, self.known = self.known, {"": b"", "\n": self.head}
+        if self.held > self.limit:
+            self.before = self.known
+            self._renew()
         self._learn(set(pieces).difference(self.known))
         found = list(map(self.known.__getitem__, pieces))
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
@@ -295,6 +322,7 @@ def _writer(uri: str, tokenizer: str, end: int):
     tail = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
         files, path = _open_dir(uri)
         encoder = worker_encoder(tokenizer)
         rows = ((i, data + tail) for ids, texts in _parts(batches) for i, data in zip(ids, encoder.batch(texts)))
@@ -307,7 +335,7 @@ def _writer(uri: str, tokenizer: str, end: int):
         # an attempt's file counts only if its row reaches the manifest
         name = f"{uuid.uuid4().hex}.sst"
         files.move(temp, f"{path}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "first_key": [key_of(first[0])], "n_rows": [n_rows], "n_ids": [n_ids]})
+        yield pa.RecordBatch.from_pydict({"file": [name], "place": pa.array([place], pa.int32()), "first_key": [key_of(first[0])], "n_rows": [n_rows], "n_ids": [n_ids]})
 
     return run
 
@@ -315,39 +343,42 @@ def _writer(uri: str, tokenizer: str, end: int):
 def write_shards(docs: DataFrame, uri: str, shards: int, tokenizer: str | None = None, end: int = END) -> DataFrame:
     """Encode whole texts and write them as shard files below ``uri``; the manifest.
 
-    The manifest has a row per file: ``file, first_key, n_rows, n_ids, start``,
-    with the ids of all files before.  It is written to ``uri/manifest`` and
-    names exactly one complete file for each range of identifiers, whatever
-    attempts were lost or repeated.
+    The manifest has a row per file: ``file, place, first_key, n_rows, n_ids,
+    start``, with the place among the files and the ids of all files before.
+    It is written to ``uri/manifest`` and names exactly one complete file for
+    each range, whatever attempts were lost or repeated.  Rows are ranged by
+    identifier, text and position, so rows of one identifier, or of none, may
+    fill several files.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     files, place = _open_dir(uri)
     files.create_dir(place, recursive=True)
-    ranged = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = ranged.mapInArrow(_writer(uri, path, end), "file string, first_key binary, n_rows long, n_ids long")
+    need = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"hash": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ranged = need.repartitionByRange(shards, "doc_id", "hash", "at").sortWithinPartitions("doc_id", "hash", "at").select("doc_id", "text")
+    written = ranged.mapInArrow(_writer(uri, path, end), "file string, place int, first_key binary, n_rows long, n_ids long")
     written.write.mode("overwrite").parquet(f"{uri}/manifest")
     manifest = docs.sparkSession.read.parquet(f"{uri}/manifest")
-    return manifest.selectExpr("*", "sum(n_ids) over (order by first_key) - n_ids as start")
+    # a row per file
+    return manifest.selectExpr("*", "sum(n_ids) over (order by place) - n_ids as start")
 
 
 def _reader(uri: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _open_dir(uri)
         for b in batches:
-            for name, start in zip(b["file"], b["start"]):
+            for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist()):
                 with files.open_input_file(f"{path}/{name}") as f:
                     table = Table(f)
                     for n in range(len(table.index)):
                         rows = [(id_of(k), start + at, len(ids) // 4, zlib.crc32(ids)) for k, at, ids in table.block(n)]
-                        out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-                        yield out.astype({"doc_id": "Int64"})
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def read_digest(manifest: DataFrame, uri: str, shards: int) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read back from the files."""
-    return manifest.select("file", "start").repartition(shards, "file").mapInPandas(_reader(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(shards, "file").mapInArrow(_reader(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, shards: int | None = None) -> DataFrame:
@@ -355,10 +386,13 @@ def token_shards(docs: DataFrame, shards: int | None = None) -> DataFrame:
 
     Null texts are empty: such a document has the end id only.  Null
     identifiers come first; repeated rows have an entry each, equal
-    identifiers in the order of their texts.  An empty table gives no file and
-    an empty result.
+    identifiers in the order of a hash of their texts.  An empty table gives no
+    file and an empty result.  Unless ``shards`` is given there are as many as
+    the session's shuffle partitions, or as ``SHARD`` bytes a file need.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     uri = fresh_dir(spark, "tokens")
     return read_digest(write_shards(docs, uri, shards), uri, shards)
