@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import cut
+from lexiprint.llm.common import LIGHT, cut
 
 SHARDS = 24
 #: Bits by which the first sums split the key's range, and by which an interval is split again.
@@ -121,27 +121,57 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS, first: int = FIRST, fi
     return enough, cuts
 
 
+def even_cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[int, list[int]]:
+    """As ``minimax_cuts``, and the same again for the groups on either side of one that sets the capacity alone."""
+    capacity, cuts = minimax_cuts(groups, shards)
+    most, key, total = groups.agg(F.max("size"), F.max_by("key", "size"), F.sum("size")).first()
+    if capacity != most or shards < 3:
+        return capacity, cuts
+    # a group above the mean size takes a shard of its own on its side as well
+    own = F.col("size") * shards > int(total)
+    sides = [groups.filter(F.col("key") < key), groups.filter(F.col("key") > key)]
+    (left, left_own, _), (right, right_own, after) = (s.agg(F.coalesce(F.sum(F.when(~own, F.col("size"))), F.lit(0)), F.count(F.when(own, 1)), F.min("key")).first() for s in sides)
+    is_left, is_right, rest = bool(left or left_own), after is not None, shards - 1
+    if not is_left and not is_right:
+        return capacity, cuts
+    first = left_own + round((rest - left_own - right_own) * left / max(1, left + right))
+    first = min(max(first, int(is_left)), rest - int(is_right))
+    found = [even_cuts(s, n) if n else (0, []) for s, n in zip(sides, (first, rest - first))]
+    if max(c for c, _ in found) > capacity:
+        return capacity, cuts
+    return capacity, [*found[0][1], *([key] if is_left else []), *([after] if is_right else []), *found[1][1]]
+
+
 def assign_shards(rows: DataFrame, group_cols: list[str], shards: int = SHARDS) -> DataFrame:
     """``rows`` (``doc_id, size`` and the group columns) with ``shard`` and a gapless ``slot``.
 
     Groups are the rows that agree on ``group_cols``; their order is the order
     of a 64-bit hash of these, so a row knows its place without a join and a
     group of any number of rows costs one partial sum per task.  Groups whose
-    hashes agree stay together as well.
+    hashes agree stay together as well.  Positions in a shard are counted by
+    blocks of identifiers; a block with more rows than a task should hold, as
+    one of a null or often repeated identifier, is dealt to several by the
+    places of its rows.
     """
-    keyed = cut(rows.withColumn("key", F.xxhash64(*group_cols)))
+    keyed = cut(rows.withColumns({"key": F.xxhash64(*group_cols), "place": F.monotonically_increasing_id()}))
     groups = cut(keyed.groupBy("key").agg(F.sum("size").cast("long").alias("size")))
-    _, cuts = minimax_cuts(groups, shards)
+    _, cuts = even_cuts(groups, shards)
     shard = F.lit(0)
     for c in cuts:
         shard = shard + (F.col("key") >= F.lit(c)).cast("int")
     placed = keyed.withColumns({"shard": shard, "block": F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(BLOCKS)).cast("int")})
-    counted = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = counted.selectExpr("shard as s", "block as b", "sum(n) over (partition by shard order by block) - n as before")
-    slot = F.expr("row_number() over (partition by shard, block order by doc_id, text_crc32, size)")
-    ranked = placed.withColumn("at", slot)
+    keys = ["shard", "block", "part"]
     # at most shards * BLOCKS rows
-    return ranked.join(F.broadcast(before), (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).withColumn("slot", F.col("before") + F.col("at") - 1)
+    full = cut(placed.groupBy("shard", "block").agg(F.ceil(F.count(F.lit(1)) / LIGHT).alias("parts")).filter("parts > 1"))
+    if full.count():
+        placed = placed.join(F.broadcast(full), ["shard", "block"], "left").withColumn("part", F.coalesce(F.pmod("place", "parts"), F.lit(0)).cast("int")).drop("parts")
+    else:
+        placed = placed.withColumn("part", F.lit(0))
+    counted = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # a row more for every LIGHT rows of full blocks
+    before = counted.selectExpr(*keys, "sum(n) over (partition by shard order by block, part) - n as before")
+    slot = F.expr("row_number() over (partition by shard, block, part order by doc_id, text_crc32, size, place)")
+    return placed.withColumn("at", slot).join(F.broadcast(before), keys).withColumn("slot", F.col("before") + F.col("at") - 1)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

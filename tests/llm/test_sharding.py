@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from data import documents, empty
 
-from lexiprint.llm import sharding
+from lexiprint.llm import common, sharding
 
 
 def brute(sizes, shards):
@@ -55,3 +55,39 @@ def test_documents(spark):
 def test_empty(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
     assert sharding.minimax_cuts(spark.createDataFrame([], "key long, size long")) == (0, [])
+
+
+@pytest.mark.parametrize("hot,shards", [([10], 24), ([10, 400], 24), ([0], 8), ([499], 8), ([7], 3)])
+def test_groups_beside_an_oversized_one_are_spread(spark, hot, shards):
+    r = random.Random(len(hot) + shards)
+    sizes = [r.randint(8, 400) + (40_000 if i in hot else 0) for i in range(500)]
+    groups = spark.createDataFrame(list(enumerate(sizes)), "key long, size long")
+    capacity, cuts = sharding.even_cuts(groups, shards)
+    assert capacity == brute(sizes, shards)[0] and cuts == sorted(set(cuts)) and len(cuts) < shards
+    held = [sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, 500])]
+    assert max(held) == capacity
+    if shards > 3:
+        assert len(cuts) == shards - 1
+        rest = [h for h in held if h < 40_000]
+        assert max(rest) < 1.35 * sum(rest) / len(rest)
+
+
+def test_repeated_rows_of_one_identifier_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LIGHT", 40)
+    assert common.LIGHT > 1000
+    docs = spark.createDataFrame([(None, "same text") for _ in range(500)] + [(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    got = sharding.shard_documents(docs).collect()
+    slots = defaultdict(list)
+    for x in got:
+        slots[x["shard"]].append(x["slot"])
+    assert len(got) == 800 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({x["shard"] for x in got if x["doc_id"] is None}) == 1
+
+
+def test_sizes_are_near_equal(spark):
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, "x" * r.randint(50, 500)) for i in range(3000)], "doc_id long, text string")
+    held = defaultdict(int)
+    for x in sharding.shard_documents(docs).collect():
+        held[x["shard"]] += x["size"]
+    assert len(held) == 24 and max(held.values()) < 1.05 * sum(held.values()) / 24
