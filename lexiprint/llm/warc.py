@@ -17,8 +17,10 @@ from lexiprint.llm.common import attach, cut
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 #: Query parameters that do not select a page.
 TRACKING = r"^(?:utm_[a-z_]+|ref|fbclid|gclid|sessionid)="
-#: Equal spans of time in which a URL's captures are ordered on their own.
+#: Spans of time, of about as many captures each, in which a URL's captures are ordered on their own.
 SPANS = 1024
+#: Captures of each page in the log of ``captures``, and seconds between them.
+ROUNDS, APART = 3, 1000
 
 
 def canonical_url(url: Column) -> Column:
@@ -44,17 +46,27 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.trim(headers["etag"]), "^W/", "")
 
 
+def _span(ts: Column, bounds: list[int], width: int = 32) -> Column:
+    """How many of the sorted ``bounds`` are at or below ``ts``, found by rows of ``width``."""
+    if not bounds:
+        return F.lit(0)
+    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda xs: F.size(F.filter(xs.cast("array<bigint>"), lambda x: x <= ts))
+    nth = below(F.lit([r[0] for r in rows]))
+    return F.when(nth == 0, 0).otherwise((nth - 1) * width + below(F.get(F.array(*(F.lit(r).cast("array<bigint>") for r in rows)), nth - 1)))
+
+
 def as_of(points: DataFrame, facts: DataFrame) -> DataFrame:
     """``url, ts`` of ``points`` with ``at``: the latest earlier ``ts`` of ``facts`` of the same url, or null.
 
     Both are distinct.  A URL's times are ordered span by span, and the last
     fact of earlier spans is found over one row per span, so a URL of any
-    number of captures is spread over tasks.
+    number of captures is spread over tasks.  Spans are cut at quantiles of all
+    times, so stray times do not widen them.
     """
     both = cut(points.select("url", "ts", F.lit(False).alias("fact")).union(facts.select("url", "ts", F.lit(True))))
-    low, high = both.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // SPANS))
-    spanned = both.withColumn("span", F.floor((F.col("ts") - F.lit(low or 0)) / width).cast("int"))
+    (bounds,) = both.agg(F.percentile_approx("ts", [i / SPANS for i in range(1, SPANS)], 8 * SPANS)).first()
+    spanned = both.withColumn("span", _span(F.col("ts"), sorted(set(bounds or []))))
     spans = spanned.groupBy("url", "span").agg(F.max(F.when(F.col("fact"), F.col("ts"))).alias("last"))
     before = spans.selectExpr("url as u", "span as s", "max(last) over (partition by url order by span rows between unbounded preceding and 1 preceding) as before")
     inside = spanned.withColumn("inside", F.expr("max(case when fact then ts end) over (partition by url, span order by ts range between unbounded preceding and 1 preceding)"))
@@ -102,18 +114,24 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """A capture log over the whole table: each page as fetched, and the answer to a later conditional fetch.
-
-    A page is fetched at ``page_id`` seconds and asked for again 500 seconds
-    later.  The server sends back the page's own tag, except for every
-    seventh page, which got another one meanwhile, and every eleventh, for
-    which it sends none.
+    """A capture log over the whole table: ``ROUNDS`` fetches of each page, each followed by a conditional one.
+
+    A page is fetched at ``page_id`` seconds and every ``APART`` seconds again,
+    and asked for 500 seconds after each; of every fifth page the second fetch
+    is not in the log.  Every third page changes between fetches.  The server
+    sends back the tag of the page as it is, except for every seventh page,
+    which got another one meanwhile, and every eleventh, for which it sends
+    none.  So the response that a revisit stands for is one of several.
     """
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
-    page, length = F.col("page_id").cast("long"), F.length(F.coalesce("html", F.lit(""))).cast("string")
-    response = pages.select((page * 2).alias("record_id"), F.lit("response").alias("kind"), "url", page.alias("ts"), F.lit(None).cast("string").alias("digest"), F.create_map(F.lit("ETag"), tag, F.lit("Date"), page.cast("string"), F.lit("Content-Length"), length, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"))
-    answer = F.when(page % 11 == 0, F.create_map(F.lit("Date"), (page + 500).cast("string"))).otherwise(F.create_map(F.lit("etag"), F.when(page % 7 == 0, F.lit('"new"')).otherwise(F.concat(F.lit("W/"), tag)), F.lit("Date"), (page + 500).cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("Expires"), (page + 900).cast("string")))
-    revisit = pages.select((page * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (page + 500).alias("ts"), F.lit(None).cast("string").alias("digest"), answer.alias("headers"))
+    page, nth = F.col("page_id").cast("long"), F.col("nth").cast("long")
+    rounds = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("nth"))
+    body = F.concat("html", F.when(page % 3 == 0, nth.cast("string")).otherwise(""))
+    tag = F.concat(F.lit('"'), F.md5(body.cast("binary")), F.lit('"'))
+    at, asked, none = page + nth * APART, page + nth * APART + 500, F.lit(None).cast("string").alias("digest")
+    fetched = rounds.filter(~((page % 5 == 0) & (nth == 1)))
+    response = fetched.select((page * 8 + nth * 2).alias("record_id"), F.lit("response").alias("kind"), "url", at.alias("ts"), none, F.create_map(F.lit("ETag"), tag, F.lit("Date"), at.cast("string"), F.lit("Content-Length"), F.length(body).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"))
+    answer = F.when(page % 11 == 0, F.create_map(F.lit("Date"), asked.cast("string"))).otherwise(F.create_map(F.lit("etag"), F.when(page % 7 == 0, F.lit('"new"')).otherwise(F.concat(F.lit("W/"), tag)), F.lit("Date"), asked.cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("Expires"), (asked + 400).cast("string")))
+    revisit = rounds.select((page * 8 + nth * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", asked.alias("ts"), none, answer.alias("headers"))
     return response.unionByName(revisit)
 
 
@@ -134,13 +152,21 @@ fronts as (
 rows as (
     select page_id, html, regexp_replace(regexp_replace(front, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') || regexp_replace(substr(base, length(front) + 1), '/+$', '')
         || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as url from fronts),
+rounds as (
+    select page_id, nth, url, page_id + nth * {APART} as ts, html || case when page_id % 3 = 0 then cast(nth as varchar) else '' end as body
+    from rows, (select unnest(range({ROUNDS})) as nth)),
+responses as (select *, page_id * 8 + nth * 2 as record_id from rounds where not (page_id % 5 = 0 and nth = 1)),
 asked as (
-    select a.page_id, a.url, max(b.page_id) as earlier from rows a left join rows b on a.url = b.url and b.page_id < a.page_id + 500 group by a.page_id, a.url),
-joined as (select a.*, mine.html as own, theirs.html as other from asked a join rows mine on mine.page_id = a.page_id left join rows theirs on theirs.page_id = a.earlier),
-judged as (select *, case when page_id % 11 = 0 then 'unverifiable' when page_id % 7 = 0 or own <> other then 'mismatch' else 'resolved' end as outcome from joined)
-select 2 * page_id + 1 as record_id, url, page_id + 500 as ts, 2 * earlier as response_id, outcome,
-    case when page_id % 11 = 0 then 'date: ' || (page_id + 500)
-        when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(other) || chr(10) || 'date: ' || (page_id + 500) || chr(10) || 'etag: ' || tag || chr(10) || 'expires: ' || (page_id + 900)
-        else 'content-length: 0' || chr(10) || 'date: ' || (page_id + 500) || chr(10) || 'etag: ' || tag || chr(10) || 'expires: ' || (page_id + 900) end as headers
-from (select *, case when page_id % 7 = 0 then '"new"' else 'W/"' || md5(own) || '"' end as tag from judged)
+    select a.page_id, a.nth, max([b.ts, b.record_id]) as latest from rounds a left join responses b on a.url = b.url and b.ts < a.ts + 500 group by a.page_id, a.nth),
+joined as (
+    select mine.page_id, mine.nth, mine.url, mine.ts + 500 as ts, mine.body as own, theirs.body as other, theirs.record_id as response_id
+    from asked join rounds mine using (page_id, nth) left join responses theirs on theirs.record_id = latest[2]),
+judged as (
+    select *, case when response_id is null then 'missing' when page_id % 11 = 0 then 'unverifiable' when page_id % 7 = 0 or own <> other then 'mismatch' else 'resolved' end as outcome,
+        case when page_id % 7 = 0 then '"new"' else 'W/"' || md5(own) || '"' end as tag from joined)
+select 8 * page_id + 2 * nth + 1 as record_id, url, ts, response_id, outcome,
+    case when page_id % 11 = 0 then 'date: ' || ts
+        when outcome = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(other) || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || tag || chr(10) || 'expires: ' || (ts + 400)
+        else 'content-length: 0' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || tag || chr(10) || 'expires: ' || (ts + 400) end as headers
+from judged
 """

@@ -70,3 +70,23 @@ def test_matches_brute_force(spark, seed):
 def test_empty(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
     assert warc.page_revisits(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_stray_times_do_not_widen_the_spans(spark):
+    """Captures of one URL within a minute, one at the epoch and one far ahead."""
+    times = [0, 10**15, *range(10**12, 10**12 + 6000, 3)]
+    facts = spark.createDataFrame([("u", t) for t in times], "url string, ts long")
+    points = spark.createDataFrame([("u", 10**12 + 2 * i) for i in range(3000)] + [("u", 0), ("u", 2 * 10**15)], "url string, ts long")
+    got = {r["ts"]: r["at"] for r in warc.as_of(points, facts).collect()}
+    assert all(got[t] == max((x for x in times if x < t), default=None) for t in got) and len(got) == 3002
+    bounds = list(range(10**12, 10**12 + 6000, 7))
+    spans = facts.select(warc._span(F.col("ts"), bounds).alias("s"), "ts").collect()
+    assert all(r["s"] == sum(b <= r["ts"] for b in bounds) for r in spans)
+
+
+def test_log_makes_the_join_choose(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/a", f"page {i}") for i in range(60)], "page_id long, url string, html string")
+    got = {r["record_id"]: r for r in warc.page_revisits(pages).collect()}
+    assert len(got) == 60 * warc.ROUNDS
+    assert {got[8 * 5 + 3]["response_id"]} == {8 * 5} and got[8 * 4 + 3]["response_id"] == 8 * 4 + 2
+    assert {r["outcome"] for r in got.values()} == {"resolved", "mismatch", "unverifiable"}
