@@ -27,7 +27,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": _over(linededup.drop_boilerplate, "pages"),
     "op3_mixing": _over(mixing_rates, "documents", "labels"),
     "op4_warc_revisits": _over(warc.page_revisits, "pages"),
-    "op5_quote_linking": _over(quotes.link_quotes, "conversations"),
+    "op5_quote_linking": _over(quotes.link_replies, "conversations"),
     "op6_cross_polytope": _over(nearest, "embeddings"),
     "op7_toxicity": _over(toxicity, "documents", "labels"),
     "op8_sstable": _over(token_shards, "documents"),

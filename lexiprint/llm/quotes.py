@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import attach, cut
+from lexiprint.llm.common import attach, attach_any, cut
 
 #: Words that a single line must have to count as a passage of its own.
 LINE_WORDS = 4
@@ -80,8 +80,9 @@ def _threads(parents: DataFrame) -> DataFrame:
     """
     at = cut(parents.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth")))
     while True:
-        above = at.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        joined = at.join(above, (F.col("conv_id") == F.col("c")) & (F.col("up") == F.col("t")), "left")
+        # many turns of a thread point to one message
+        above = at.select(F.struct("conv_id", "turn").alias("k"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        joined = attach_any(at.withColumn("k", F.struct("conv_id", F.col("up").alias("turn"))), above, "k")
         moved = cut(joined.select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").isNotNull().alias("moved")))
         at = moved.drop("moved")
         if not moved.filter("moved").limit(1).count():
@@ -141,12 +142,72 @@ def _positions(rows: DataFrame) -> DataFrame:
     return joined.withColumn("position", F.col("before") + F.col("at") - F.col("first"))
 
 
+def reply_mail(messages: DataFrame) -> DataFrame:
+    """The whole table as mail: turns quote the turns before them, in seven styles by conversation and turn.
+
+    Nothing is quoted; the turn before under a line that announces it; the
+    same with the turn before that a level deeper; with marks without a space
+    and wider spaces; below the answer; with a word put in front, so that only
+    single lines can be linked; or the turn before the last alone.  A turn
+    without the quoted one is left as it is.  Of several messages of one turn
+    the least text is quoted.
+    """
+    base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    said = cut(base.groupBy("conv_id", "turn").agg(F.min("text").alias("said"), F.min("role").alias("who")))
+    for back in (1, 2):
+        earlier = said.select(F.struct("conv_id", (F.col("turn") + back).alias("turn")).alias("k"), F.col("said").alias(f"said{back}"), F.concat(F.lit("On turn "), F.col("turn").cast("string"), F.lit(", "), F.coalesce("who", F.lit("someone")), F.lit(" wrote:")).alias(f"line{back}"))
+        base = attach_any(cut(base.withColumn("k", F.struct("conv_id", "turn"))), earlier, "k").drop("k")
+    quote = lambda c, mark: F.concat(F.lit(mark), F.replace(F.col(c) if isinstance(c, str) else c, F.lit("\n"), F.lit("\n" + mark)))
+    one, two, own, style = F.col("said1").isNotNull(), F.col("said2").isNotNull(), F.col("text"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    plain = F.concat_ws("\n", "line1", quote("said1", "> "), F.lit(""), own)
+    mail = (
+        F.when(one & two & (style == 2), F.concat_ws("\n", "line1", quote("line2", "> "), quote("said2", ">> "), quote("said1", "> "), F.lit(""), own))
+        .when(one & (style == 3), F.concat_ws("\n", "line1", quote(F.replace("said1", F.lit(" "), F.lit("  ")), ">"), F.lit(""), own))
+        .when(one & (style == 4), F.concat_ws("\n", own, F.lit(""), "line1", quote("said1", "> ")))
+        .when(one & (style == 5), F.concat_ws("\n", "line1", quote(F.concat(F.lit("indeed "), "said1"), "> "), F.lit(""), own))
+        .when(two & (style == 6), F.concat_ws("\n", "line2", quote("said2", "> "), F.lit(""), own))
+        .when(one & style.isin(1, 2), plain)
+        .otherwise(own)
+    )
+    return base.select("conv_id", "turn", "role", mail.alias("text"))
+
+
+def link_replies(messages: DataFrame) -> DataFrame:
+    """``link_quotes`` over the mail that ``reply_mail`` makes of the messages."""
+    return link_quotes(reply_mail(messages))
+
+
+def _sql_quote(text: str, mark: str) -> str:
+    return f"'{mark}' || replace({text}, chr(10), chr(10) || '{mark}')"
+
+
+_BREAK = "|| chr(10) ||"
+_PLAIN = f"line1 {_BREAK} {_sql_quote('said1', '> ')} {_BREAK} chr(10) || text"
+
+#: DuckDB SQL of ``reply_mail``, as two common tables.
+MAIL = rf"""
+said as (select conv_id, turn, min(coalesce(text, '')) as said, min(role) as who from conversations group by conv_id, turn),
+mail as (
+    select conv_id, turn, role, case
+        when said1 is not null and said2 is not null and style = 2 then line1 {_BREAK} {_sql_quote("line2", "> ")} {_BREAK} {_sql_quote("said2", ">> ")} {_BREAK} {_sql_quote("said1", "> ")} {_BREAK} chr(10) || text
+        when said1 is not null and style = 3 then line1 {_BREAK} {_sql_quote("replace(said1, ' ', '  ')", ">")} {_BREAK} chr(10) || text
+        when said1 is not null and style = 4 then text {_BREAK} chr(10) || line1 {_BREAK} {_sql_quote("said1", "> ")}
+        when said1 is not null and style = 5 then line1 {_BREAK} {_sql_quote("('indeed ' || said1)", "> ")} {_BREAK} chr(10) || text
+        when said2 is not null and style = 6 then line2 {_BREAK} {_sql_quote("said2", "> ")} {_BREAK} chr(10) || text
+        when said1 is not null and style in (1, 2) then {_PLAIN}
+        else text end as text
+    from (
+        select m.conv_id, m.turn, m.role, coalesce(m.text, '') as text, a.said as said1, b.said as said2, (m.conv_id + m.turn) % 7 as style,
+            'On turn ' || a.turn || ', ' || coalesce(a.who, 'someone') || ' wrote:' as line1, 'On turn ' || b.turn || ', ' || coalesce(b.who, 'someone') || ' wrote:' as line2
+        from conversations m left join said a on a.conv_id = m.conv_id and a.turn = m.turn - 1 left join said b on b.conv_id = m.conv_id and b.turn = m.turn - 2))
+"""
+
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _LONG = rf"len(regexp_split_to_array(trim(body, ' '), '\s+')) >= {LINE_WORDS}"
 
-#: DuckDB SQL of ``link_quotes`` over ``conversations``; texts stand where hashes do.
-SQL = rf"""
-with recursive m as (select conv_id, turn, role, text, row_number() over () as id from (select distinct conv_id, turn, role, text from conversations)),
+#: DuckDB SQL of ``link_quotes`` over a table ``mail``, without its first word; texts stand where hashes do.
+_LINKS = rf"""
+m as (select conv_id, turn, role, text, row_number() over () as id from (select distinct conv_id, turn, role, text from mail)),
 l0 as (select id, unnest(a) as line, generate_subscripts(a, 1) as i from (select id, regexp_split_to_array(coalesce(text, ''), '\r?\n') as a from m)),
 l as (select id, i, len(regexp_replace(regexp_extract(line, '{MARK}', 0), '[^>]', '', 'g')) as level, regexp_replace(line, '{MARK}', '') as body from l0),
 f as (select *, (lag(level) over w is null or level <> lag(level) over w or trim(body, ' ') = '' or trim(lag(body) over w, ' ') = '')::int as starts, lead(level) over w as next_level from l window w as (partition by id order by i)),
@@ -178,3 +239,7 @@ out as (
     from m left join links using (id) left join threads t on t.conv_id = m.conv_id and t.turn = m.turn left join body using (id) left join deepest using (id))
 select *, row_number() over (partition by conv_id order by thread nulls first, turn nulls first, role nulls first, text) - 1 as position from out
 """
+
+#: DuckDB SQL of ``link_quotes`` over ``conversations``, and of ``link_replies``.
+SQL_AS_WRITTEN = f"with recursive mail as (select * from conversations),{_LINKS}"
+SQL = f"with recursive {MAIL.strip()},{_LINKS}"

@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 from data import words
 
-from lexiprint.llm import quotes
+from lexiprint.llm import common, quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, message string, key string"
 
@@ -104,7 +104,7 @@ def test_matches_brute_force(spark):
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
     columns = ["conv_id", "turn", "role", "reply_to", "thread", "depth", "levels", "quoted", "linked", "text"]
-    told = con.sql(f"select {', '.join(columns)} from ({quotes.SQL})").limit(100_000).fetchall()
+    told = con.sql(f"select {', '.join(columns)} from ({quotes.SQL_AS_WRITTEN})").limit(100_000).fetchall()
     assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(map(tuple, told), key=repr)
 
 
@@ -118,3 +118,26 @@ def test_nested_levels_and_text(spark):
 
 def test_empty(spark):
     assert quotes.link_quotes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_threads_of_a_hub(spark, monkeypatch):
+    """Many turns answer one message, with joins that deal heavy messages apart."""
+    monkeypatch.setattr(common, "LIGHT", 20)
+    first = words(12, 1)
+    rows = [(1, 0, "user", first, "t", "m", "k")] + [(1, i, "user", f"> {first}\n\n{words(9, i)}", "t", "m", "k") for i in range(1, 150)]
+    got = quotes.link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["thread"] == 0 and r["depth"] == int(r["turn"] > 0) and r["reply_to"] == (0 if r["turn"] else None) for r in got) and len(got) == 150
+
+
+def test_mail_links_in_each_style(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"{words(8, 100 * c + t)}\n{words(9, 500 * c + t)}", "t", "m", "k") for c in range(7) for t in range(6)]
+    rows += [(None, 1, None, None, "t", "m", "k"), (1, None, None, None, "t", "m", "k")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_replies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    texts = {(r[0], r[1]): r[3] or "" for r in rows}
+    for (c, t), r in got.items():
+        if c is None or t is None:
+            continue
+        style = (c + t) % 7
+        want = None if t == 0 or style == 0 else t - 2 if style == 6 and t > 1 else t - 1 if style != 6 else None
+        assert r["reply_to"] == want and r["text"] == texts[c, t], (c, t)
+        assert r["levels"] == (0 if want is None else 2 if style == 2 and t > 1 else 1)
