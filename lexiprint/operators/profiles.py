@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiprint.functions import text as T
+from lexiprint.operators.sequences import dot, following
 
 #: Profiles that may be held in one row (an array of centroids) at most.
 MOST_PROFILES = 10_000
@@ -25,10 +26,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(T.sum_of(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return T.sum_of(F.zip_with(a, b, lambda x, y: x * y.cast("double")))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine; 0 if either is zero."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -207,12 +204,11 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float]) -> DataFrame:
 def trajectory(points: DataFrame) -> DataFrame:
     """``path, n, jump_mean, jump_variance, tortuosity, turning`` of ``path, pos, vec`` in order of ``pos``.
 
-    Steps come from ``lead`` within the path; the last position of a step's
-    neighbours is all that a row needs.  Fewer than three points give 0s and a
-    tortuosity of 1.
+    A point and the two behind it (``following``) are all that its steps need.
+    Fewer than three points give 0s and a tortuosity of 1.
     """
-    w = Window.partitionBy("path").orderBy("pos")
-    steps = points.withColumns({"next": F.lead("vec").over(w), "after": F.lead("vec", 2).over(w)})
+    after = following(points.select("path", "pos", "vec"), 2)
+    steps = after.withColumns({"next": F.get("after", F.lit(0)), "after": F.get("after", F.lit(1))})
     delta = lambda a, b: F.zip_with(b, a, lambda x, y: (x - y).cast("double"))
     steps = steps.withColumns({"s1": delta(F.col("vec"), F.col("next")), "s2": delta(F.col("next"), F.col("after"))})
     steps = steps.withColumns({"jump": F.sqrt(dot(F.col("s1"), F.col("s1"))), "jump2": F.sqrt(dot(F.col("s2"), F.col("s2")))})
@@ -222,17 +218,20 @@ def trajectory(points: DataFrame) -> DataFrame:
     return got.select("path", "n", T.zero_unless(enough, F.col("jm")).alias("jump_mean"), T.zero_unless(enough, F.col("jv")).alias("jump_variance"), F.when(enough, F.col("length") / F.greatest(distance(F.col("first"), F.col("last")), F.lit(0.001))).otherwise(1.0).alias("tortuosity"), T.zero_unless(enough, F.col("turn")).alias("turning"))
 
 
-def drift(samples: DataFrame) -> DataFrame:
-    """``model, ts, drift, level, change``: distance of each sample mean from the model's first, and jumps of it.
+def drift(samples: DataFrame, base: str = "first") -> DataFrame:
+    """``model, ts, drift, level, change``: distance of each sample mean from the model's ``base``, and jumps of it.
 
-    ``samples`` has ``model, ts, vec``; levels begin at .05, .10, .15 and .25;
-    a change of more than .10 between neighbours is a change point.
+    ``samples`` has ``model, ts, vec``; the base is the first sample, or the
+    last one after a reset.  Levels begin at .05, .10, .15 and .25; a change
+    of more than .10 from the sample before is a change point.
     """
-    w = Window.partitionBy("model").orderBy("ts")
-    got = samples.withColumn("base", F.first("vec").over(w)).select("model", "ts", distance(F.col("vec"), F.col("base")).alias("drift"))
+    chosen = F.min_by if base == "first" else F.max_by
+    bases = samples.groupBy("model").agg(chosen("vec", "ts").alias("base"))
+    far = samples.join(bases, "model").select(F.col("model").alias("path"), (-F.col("ts")).alias("pos"), "ts", distance(F.col("vec"), F.col("base")).alias("drift"))
+    got = following(far, 1, value="drift")
     d = F.col("drift")
     level = F.when(d >= 0.25, "critical").when(d >= 0.15, "high").when(d >= 0.10, "medium").when(d >= 0.05, "low").otherwise("none")
-    return got.withColumns({"level": level, "change": F.coalesce(F.abs(d - F.lag("drift").over(w)) > 0.10, F.lit(False))})
+    return got.select(F.col("path").alias("model"), "ts", "drift", level.alias("level"), F.coalesce(F.abs(d - F.get("after", F.lit(0))) > 0.10, F.lit(False)).alias("change"))
 
 
 def drift_summary(drifts: DataFrame) -> DataFrame:

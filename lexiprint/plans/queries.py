@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiprint.plans import comparisons, complete, corpus, echoes, features, models
+from lexiprint.plans import comparisons, complete, corpus, echoes, evaluation, features, models
 
-MODULES = [features, models, corpus, echoes, complete, comparisons]
+MODULES = [features, models, corpus, echoes, complete, comparisons, evaluation]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
