@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiprint.functions import text as T
-from lexiprint.operators import structure
+from lexiprint.operators import lexicons as L
+from lexiprint.operators import stance, structure
+from lexiprint.operators.statistical import syllables
 
 # Fixed values.
 COORDINATORS = "and but or nor for yet so".split()
 SUBORDINATORS = ["because", "although", "while", "if", "when", "unless", "since", "before", "after", "whereas", "though", "until", "whenever", "wherever", "whether", "as if", "even though", "so that"]
+HEDGES = ["maybe", "perhaps", "possibly", "probably", "might", "could", "may", "seemingly", "apparently", "somewhat", "rather", "quite", "fairly", "kind of", "sort of", "a bit", "a little", "to some extent", "it seems", "it appears", "i think", "i believe", "i suppose", "in my opinion", "arguably", "presumably", "allegedly"]
+TRANSITIONS = {
+    "additive": ["moreover", "furthermore", "additionally", "also", "besides", "in addition"],
+    "contrastive": ["however", "nevertheless", "nonetheless", "although", "though", "yet", "but"],
+    "causal": ["therefore", "thus", "hence", "consequently", "because", "since", "as a result"],
+    "temporal": ["then", "next", "afterward", "meanwhile", "subsequently", "finally", "later"],
+    "exemplifying": ["for example", "for instance", "such as", "specifically", "namely"],
+    "reformulating": ["in other words", "that is", "i.e.", "namely", "to put it differently"],
+}
+ABSTRACT = r"(?:tion|ness|ity|ism|ment)$"
 MARKS = r"[.!?,;:\-()\[\]\"'…—]"
 
 
@@ -25,9 +37,9 @@ def _of(*parts: str) -> Column:
 
 
 def _words(phrases: list[str]) -> Column:
-    """Single words among the word runs; phrases between word boundaries of the plain text."""
-    many = [rf"\b{p}\b" for p in phrases if " " in p]
-    return T.among(F.col("word_runs"), [p for p in phrases if " " not in p]) + T.matches(F.col("plain"), many)
+    """Single words among the word runs; phrases, and words with marks, between word boundaries of the plain text."""
+    many = [rf"\b{p.replace('.', '[.]')}\b" for p in phrases if not p.isalpha()]
+    return T.among(F.col("word_runs"), [p for p in phrases if p.isalpha()]) + T.matches(F.col("plain"), many)
 
 
 def punctuation() -> dict[str, Column]:
@@ -70,3 +82,52 @@ def rhythm() -> dict[str, Column]:
         "semicolon_rate": _of(";") / s,
         "parenthetical_rate": _of("(", ")") / 2 / s,
     }
+
+
+def lexical() -> dict[str, Column]:
+    """The registry's formulas without their guard, with five endings of abstract words and a constant formality."""
+    n = F.col("N").cast("double")
+    share = lambda test: F.size(F.filter("alpha", test)) / n
+    abstract = share(lambda w: w.rlike(ABSTRACT))
+    out = {
+        "type_token_ratio": F.col("V") / n,
+        "hapax_legomena_ratio": F.col("n1") / n,
+        "dis_legomena_ratio": F.col("n2") / n,
+        "avg_word_length": F.col("len_mean"),
+        "word_length_std": T.std_of(F.col("alpha_len")),
+        "word_length_cv": T.cv_of(F.col("alpha_len")),
+        "syllable_ratio": T.sum_of(F.transform("alpha", syllables)) / n,
+        "long_word_ratio": share(lambda w: F.length(w) > 6),
+        "rare_word_ratio": 1 - T.among(F.col("alpha"), L.COMMON) / n,
+        "abstract_ratio": abstract,
+        "concrete_ratio": 1 - abstract,
+        "formality_score": F.lit(0.5),
+    }
+    return {k: T.zero_unless(F.col("n_alpha") > 0, v) for k, v in out.items()}
+
+
+def prepare_epistemic(df: DataFrame) -> DataFrame:
+    """Places of hedges, as shares of the text; no two of them can overlap, so one pattern finds all."""
+    places = stance._positions(F.col("plain"), stance.pattern(HEDGES))
+    return df.withColumn("c_hedged", F.array_sort(F.transform(places, lambda p: p / F.length("text"))))
+
+
+def epistemic() -> dict[str, Column]:
+    """Hedges a sentence, the Gini coefficient and mean of their places, and confidence as their absence."""
+    h = F.col("c_hedged")
+    n, all_places = F.size(h), T.sum_of(F.col("c_hedged"))
+    weighted = T.sum_of(F.transform(h, lambda p, i: p * (i + 1)))
+    density = n / F.col("per_sent")
+    return {
+        "hedge_density": density,
+        "hedge_clustering": F.when((n > 1) & (all_places > 0), 2 * weighted / (n * all_places) - (n + 1) / n).otherwise(0.0),
+        "hedge_position_bias": T.mean_of(h),
+        "confidence_mean": 1 - F.least(density, F.lit(1.0)),
+        "confidence_variance": F.lit(0.0),
+        "confidence_arc": F.lit(0.0),
+    }
+
+
+def transitions() -> dict[str, Column]:
+    """Words and phrases of each category a sentence, whether or not another category claims them too."""
+    return {f"{name}_rate": _words(phrases) / F.col("per_sent") for name, phrases in TRANSITIONS.items()}

@@ -61,6 +61,9 @@ for _group in (
     Group("complete_structural", complete.structural, (structure.prepare, complete.prepare)),
     Group("complete_connectors", complete.connectors, (structure.prepare, complete.prepare)),
     Group("complete_rhythm", complete.rhythm, (structure.prepare, complete.prepare)),
+    Group("complete_lexical", complete.lexical, (statistical.prepare,)),
+    Group("complete_epistemic", complete.epistemic, (structure.prepare, complete.prepare_epistemic)),
+    Group("complete_transitions", complete.transitions, (structure.prepare,)),
     Group("micro", layers.micro, (structure.prepare,)),
 ):
     register(_group)

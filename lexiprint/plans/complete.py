@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexiprint.operators import complete
+from lexiprint.operators import complete, stance
+from lexiprint.operators import lexicons as L
 from lexiprint.operators.registry import GROUPS
-from lexiprint.plans.features import _ASCII, BASE, _agg_cte, _among, _count, _entropy, _lag, _query, _rounded
+from lexiprint.plans.features import _ASCII, BASE, _agg_cte, _among, _count, _entropy, _lag, _list, _query, _rounded
 
 QUERIES = {f"features_{g}": _query(g) for g in GROUPS if g.startswith("complete_")}
 
@@ -80,4 +81,57 @@ joined as (select b.*, cm, cs.cs, cn, ac from b left join cs using (doc_id) left
 {_rounded(columns, "joined", "true")}"""
 
 
-ORACLES = {"features_complete_punctuation": _punctuation(), "features_complete_structural": _structural(), "features_complete_connectors": _connectors(), "features_complete_rhythm": _rhythm()}
+def _lexical() -> str:
+    columns = {
+        "type_token_ratio": "v / n_alpha",
+        "hapax_legomena_ratio": "n1 / n_alpha",
+        "dis_legomena_ratio": "n2 / n_alpha",
+        "avg_word_length": "len_mean",
+        "word_length_std": "len_std",
+        "word_length_cv": "len_std / len_mean",
+        "syllable_ratio": "syl",
+        "long_word_ratio": "long",
+        "rare_word_ratio": "rare",
+        "abstract_ratio": "abstract",
+        "concrete_ratio": "1 - abstract",
+        "formality_score": "0.5",
+    }
+    return f"""with {BASE},
+cnt as (select doc_id, w, count(*) as c from aw group by all),
+voc as (select doc_id, count(*)::double as v, sum((c = 1)::int)::double as n1, sum((c = 2)::int)::double as n2 from cnt group by doc_id),
+each as (select doc_id, w, len(regexp_extract_all(w, '[aeiouy]+')) - (suffix(w, 'e'))::int + (regexp_matches(w, '[^aeiouy]le$'))::int as syl from aw),
+word as (select doc_id, avg(case when syl = 0 then 1 else syl end) as syl, avg((len(w) > 6)::int) as long, avg((w not in ({_list(L.COMMON)}))::int) as rare, avg((regexp_matches(w, '{complete.ABSTRACT}'))::int) as abstract from each group by doc_id),
+joined as (select * from b left join voc using (doc_id) left join word using (doc_id))
+{_rounded(columns, "joined", "n_alpha > 0")}"""
+
+
+def _epistemic() -> str:
+    columns = {
+        "hedge_density": "coalesce(n, 0) / per_sent",
+        "hedge_clustering": "case when n > 1 and total > 0 then 2 * weighted / (n * total) - (n + 1) / n else 0 end",
+        "hedge_position_bias": "bias",
+        "confidence_mean": "1 - least(coalesce(n, 0) / per_sent, 1)",
+        "confidence_variance": "0",
+        "confidence_arc": "0",
+    }
+    return rf"""with {BASE},
+t as (select doc_id, text, {_ASCII.format("low")} as plain from d),
+cut as (select doc_id, string_split(regexp_replace(plain, '({stance.pattern(complete.HEDGES)})', chr(1) || '\1' || chr(1), 'g'), chr(1)) as p from t),
+piece as (select doc_id, i, sum(len(x)) over (partition by doc_id order by i) - len(x) as start_at from (select doc_id, unnest(p) as x, generate_subscripts(p, 1) as i from cut)),
+hp as (select doc_id, start_at / len(text) as pos, row_number() over (partition by doc_id order by start_at) as r from piece join t using (doc_id) where i % 2 = 0),
+hm as (select doc_id, count(*)::double as n, sum(pos) as total, sum(pos * r) as weighted, avg(pos) as bias from hp group by doc_id),
+joined as (select * from b left join hm using (doc_id))
+{_rounded(columns, "joined", "true")}"""
+
+
+def _transitions() -> str:
+    single = {k: _among([p for p in v if p.isalpha()] or [""]) for k, v in complete.TRANSITIONS.items()}
+    phrases = lambda v: "".join(rf" + len(regexp_extract_all({_ASCII.format('low')}, '\b{p.replace('.', '[.]')}\b'))" for p in v if not p.isalpha())
+    columns = {f"{k}_rate": f"(coalesce({k}, 0){phrases(v)}) / per_sent" for k, v in complete.TRANSITIONS.items()}
+    return f"""with {BASE},
+{_agg_cte("k", "runs", single)},
+joined as (select * from b left join k using (doc_id))
+{_rounded(columns, "joined", "true")}"""
+
+
+ORACLES = {"features_complete_punctuation": _punctuation(), "features_complete_structural": _structural(), "features_complete_connectors": _connectors(), "features_complete_rhythm": _rhythm(), "features_complete_lexical": _lexical(), "features_complete_epistemic": _epistemic(), "features_complete_transitions": _transitions()}
