@@ -40,10 +40,16 @@ def validate(docs: DataFrame, least_chars: int = 100, most_chars: int = 50_000,
 
 
 def first_of_each(docs: DataFrame, key: Column) -> DataFrame:
-    """Rows of the least doc_id of each key: partial minima, then a semi join on the identifier; no group meets in a task."""
-    keyed = docs.withColumn("_key", key)
-    kept = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id")).select("_id")
-    return docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi")
+    """One row of each key, that of the least doc_id, null last, and of several such rows the one of least hash.
+
+    Partial minima, then a semi join on key, identifier and hash, so no group
+    meets in a task; rows equal in all columns count once.  A null key is a key.
+    """
+    keyed = docs.withColumns({"_key": key, "_hash": F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))})
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")
+    kept = keyed.groupBy("_key").agg(F.min(row).alias("r")).select(F.col("_key").alias("_k"), F.col("r.doc_id").alias("_id"), F.col("r._hash").alias("_h"))
+    same = keyed["_key"].eqNullSafe(F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_hash"] == F.col("_h"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,26 @@ FAMILIES = [
     ("yi", "01ai"),
     ("human", "human"),
 ]
+# Parts of an identifier, and the family and name they stand for in merged corpora, in this order.
+MERGED_NAMES = [
+    (r"claude", "anthropic", "claude"),
+    (r"gpt-4o", "openai", "gpt-4o"),
+    (r"gpt-4", "openai", "gpt-4"),
+    (r"gpt-3[.]5", "openai", "gpt-3.5"),
+    (r"chatgpt", "openai", "gpt-4o"),
+    (r"gemini", "google", "gemini"),
+    (r"grok", "xai", "grok"),
+    (r"llama", "meta", "llama"),
+    (r"mistral", "mistral", "mistral"),
+    (r"mixtral", "mistral", "mixtral"),
+    (r"gemma", "google-open", "gemma"),
+    (r"phi", "microsoft", "phi"),
+    (r"qwen", "alibaba", "qwen"),
+    (r"human", "human", "human"),
+]
+# Parts of an identifier that say more, as a name of their own or behind the name, in this order.
+MERGED_WHOLE = [(r"sonnet", "claude-sonnet"), (r"opus", "claude-opus")]
+MERGED_ENDS = [(r"2[.]0", "-2.0"), (r"1[.]5", "-1.5"), (r"8b", "-8b"), (r"70b", "-70b")]
 # Pattern and category of a headline, in this order.
 CATEGORIES = [
     (r"dies at|dead at", "obituary"),
@@ -92,6 +112,15 @@ def model_name(model: Column) -> Column:
     return F.struct(part(1, "unknown").alias("family"), part(2, plain).alias("name"), part(3, "").alias("version"))
 
 
+def merged_name(model: Column) -> Column:
+    """``struct<family, name>`` as corpora are merged by; a name no rule knows is its own, of the family 'unknown'."""
+    low = F.lower(F.coalesce(model, F.lit("")))
+    family = by_rules(low, [(r[0], r[1]) for r in MERGED_NAMES], "unknown")
+    name = by_rules(low, [(r[0], r[2]) for r in MERGED_NAMES], low)
+    full = by_rules(low, MERGED_WHOLE, F.concat(name, by_rules(low, MERGED_ENDS, "")))
+    return F.struct(family.alias("family"), F.when(family == "unknown", low).otherwise(full).alias("name"))
+
+
 def category(headline: Column) -> Column:
     return by_rules(headline, CATEGORIES, "news")
 

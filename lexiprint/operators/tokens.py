@@ -45,27 +45,27 @@ def mean_depth(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([0.0 if h is None else depth(h) for h in heads])
 
 
-def _small_world(linked: np.ndarray, edges: int) -> float:
+def _small_world(near: list[set[int]], edges: int) -> float:
     """Clustering over path length, each against its random counterpart; 0.5 without paths.
 
-    Paths are measured from the ten nodes mentioned first.
+    ``near`` are the neighbours of each node.  Paths are measured from the ten
+    nodes mentioned first.
     """
-    n, a = len(linked), linked.astype(np.int64)
-    degree = a.sum(axis=1)
-    many = degree >= 2
-    closed = np.einsum("ij,jk,ki->i", a, a, a)[many] / (degree[many] * (degree[many] - 1))
-    clustering = float(closed.mean()) if many.any() else 0.0
-    reached = np.eye(n, dtype=bool)[:10]
-    front, total, pairs, steps = reached.copy(), 0, 0, 0
-    while front.any():
-        steps += 1
-        front = (front.astype(np.int64) @ a > 0) & ~reached
-        reached |= front
-        total, pairs = total + steps * int(front.sum()), pairs + int(front.sum())
+    many = [own for own in near if len(own) >= 2]
+    closed = [sum(len(own & near[j]) for j in own) / (len(own) * (len(own) - 1)) for own in many]
+    clustering = sum(closed) / len(closed) if closed else 0.0
+    total = pairs = 0
+    for root in range(min(10, len(near))):
+        reached, front, steps = {root}, {root}, 0
+        while front:
+            steps += 1
+            front = set().union(*(near[i] for i in front)) - reached
+            reached |= front
+            total, pairs = total + steps * len(front), pairs + len(front)
     if not pairs:
         return 0.5
-    by_chance = np.log(n) / np.log(max(2 * edges / n, 2))
-    return min(clustering / 0.5 / (total / pairs / by_chance) / 2, 1.0)
+    by_chance = np.log(len(near)) / np.log(max(2 * edges / len(near), 2))
+    return float(min(clustering / 0.5 / (total / pairs / by_chance) / 2, 1.0))
 
 
 def _modularity(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> float:
@@ -86,24 +86,35 @@ def _modularity(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> flo
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def graph(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Small-world coefficient and modularity of a graph of n nodes with edges from a to b, repeats being weight."""
-
-    def of(n, a, b) -> list[float]:
-        if n is None or n < 5 or a is None or not len(a):
-            return [0.0, 0.0]
-        pairs = np.stack([np.asarray(a), np.asarray(b)], axis=1)
-        keys, first, weight = np.unique(pairs[:, 0] * int(n) + pairs[:, 1], return_index=True, return_counts=True)
+def graph(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Small-world coefficient, modularity and share of far edges of a graph of words.
+
+    A row has the words by their first places, those places, and the words at
+    the two ends of each edge, repeats being weight.
+    """
+
+    def of(names, places, a, b) -> list[float]:
+        if names is None or a is None or len(a) == 0:
+            return [0.0, 0.0, 0.0]
+        n, number = len(names), {w: i for i, w in enumerate(names)}
+        pairs = np.array([[number[x], number[y]] for x, y in zip(a, b)])
+        keys, first, weight = np.unique(pairs[:, 0] * n + pairs[:, 1], return_index=True, return_counts=True)
         if len(keys) < 3:
-            return [0.0, 0.0]
+            return [0.0, 0.0, 0.0]
         order = np.argsort(first)  # edges as they come up in the text, which settles ties
-        x, y, w = keys[order] // int(n), keys[order] % int(n), weight[order].astype(float)
-        linked = np.zeros((int(n), int(n)), dtype=bool)
-        linked[x, y] = linked[y, x] = True
-        return [_small_world(linked, len(keys)), _modularity(x, y, w, int(n))]
+        x, y, w = keys[order] // n, keys[order] % n, weight[order].astype(float)
+        at = np.asarray(places)
+        far = float((np.abs(at[x] - at[y]) > FAR).mean())
+        if n < 5:
+            return [0.0, 0.0, far]
+        near: list[set[int]] = [set() for _ in range(n)]
+        for i, j in zip(x.tolist(), y.tolist()):
+            near[i].add(j)
+            near[j].add(i)
+        return [_small_world(near, len(keys)), _modularity(x, y, w, n), far]
 
-    for sizes, a, b in batches:
-        yield pd.Series([of(*row) for row in zip(sizes, a, b)])
+    for columns in batches:
+        yield pd.Series([of(*row) for row in zip(*columns)])
 
 
 def prepare(docs: DataFrame) -> DataFrame:
@@ -111,8 +122,12 @@ def prepare(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", "tokens").withColumn("tokens", F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t["text"].alias("text"), t["lemma"].alias("lemma"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["head"].alias("head"), t["sent"].alias("sent"), t["ent"].alias("ent"))))
     df = df.withColumns({"tags": F.transform(F.filter("tokens", lambda t: ~t["pos"].isin("PUNCT", "SPACE")), lambda t: t["pos"]), "n_tokens": F.coalesce(F.size("tokens"), F.lit(0)), "sentences": F.greatest(F.size(F.array_distinct(F.transform("tokens", lambda t: t["sent"]))), F.lit(1))})
     df = df.withColumns({"arcs": F.transform(F.filter("tokens", lambda t: t["dep"] != "ROOT"), lambda t: F.abs(t["i"] - t["head"]).cast("double")), "nouns": F.transform(F.filter("tokens", lambda t: t["pos"].isin("NOUN", "PROPN") & (F.length(t["text"]) > 2)), lambda t: F.struct(F.lower(t["lemma"]).alias("w"), t["i"].alias("i")))})
-    near = lambda a: F.transform(F.filter("nouns", lambda b: (b["i"] > a["i"]) & (b["i"] - a["i"] <= WINDOW) & (b["w"] != a["w"])), lambda b: F.struct(F.least(a["w"], b["w"]).alias("a"), F.greatest(a["w"], b["w"]).alias("b")))
-    df = df.withColumns({"edges": F.flatten(F.transform("nouns", near)), "places": F.map_from_entries(F.transform(F.array_distinct(F.transform("nouns", lambda n: n["w"])), lambda w: F.struct(w, F.array_min(F.transform(F.filter("nouns", lambda n: n["w"] == w), lambda n: n["i"])))))})
+    # a word's neighbours within WINDOW tokens are among the next WINDOW nouns
+    near = lambda a, k: F.transform(F.filter(F.slice("nouns", k + 2, WINDOW), lambda b: (b["i"] - a["i"] <= WINDOW) & (b["w"] != a["w"])), lambda b: F.struct(F.least(a["w"], b["w"]).alias("a"), F.greatest(a["w"], b["w"]).alias("b")))
+    by_word = F.array_sort("nouns")
+    df = df.withColumns({"edges": F.flatten(F.transform("nouns", near)), "by_word": by_word})
+    first = F.filter("by_word", lambda x, k: F.when(k == 0, True).otherwise(F.get(F.col("by_word"), k - 1)["w"] != x["w"]))
+    df = df.withColumn("places", F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))))
     return T.with_counts(df, tag2=T.ngram_hashes(F.col("tags"), 2), tag3=T.ngram_hashes(F.col("tags"), 3))
 
 
@@ -173,13 +188,10 @@ def information() -> dict[str, Column]:
 
 def topology() -> dict[str, Column]:
     """Graph of nouns that stand near each other: small world, modularity, and the share of edges between far first mentions."""
-    pairs = F.array_distinct("edges")
-    far = F.filter(pairs, lambda e: F.abs(F.element_at("places", e["a"]) - F.element_at("places", e["b"])) > FAR)
-    names = F.map_keys("places")
-    at = lambda side: F.transform("edges", lambda e: F.array_position(names, e[side]) - 1)
-    shape = graph(F.size("places"), at("a"), at("b"))
+    side = lambda c, name: F.transform(c, lambda e: e[name])
+    shape = graph(side("places", "w"), side("places", "i"), side("edges", "a"), side("edges", "b"))
     enough = F.size("nouns") >= 5
-    return {"small_world_coefficient": T.zero_unless(enough, F.get(shape, F.lit(0))), "graph_modularity": T.zero_unless(enough, F.get(shape, F.lit(1))), "long_range_edge_density": T.zero_unless((F.size("nouns") >= 5) & (F.size(pairs) >= 3), F.size(far) / F.size(pairs))}
+    return {"small_world_coefficient": T.zero_unless(enough, F.get(shape, F.lit(0))), "graph_modularity": T.zero_unless(enough, F.get(shape, F.lit(1))), "long_range_edge_density": T.zero_unless(enough, F.get(shape, F.lit(2)))}
 
 
 def token_features(docs: DataFrame, groups: tuple[str, ...] = ("pos", "dependency", "information", "topology")) -> DataFrame:

@@ -45,6 +45,13 @@ def _names(d):
     return named.select("doc_id", "m.family", "m.name", "m.version", P.family(F.col("model"), N.FAMILIES).alias("store_family"))
 
 
+MERGED = ["claude-3-5-sonnet-20241022", "Claude-opus", "claude-2.0", "gpt-4o", "GPT-4-1.5", "gpt-3.5-turbo", "ChatGPT", "gemini-2.0-flash", "gemini-pro", "grok-2", "llama3:70b", "llama-3.1-8b", "mixtral", "Gemma", "phi-4", "qwen2", "human", "Unheard-Of-8b"]
+
+
+def _merged(d):
+    return d.select("doc_id", N.merged_name(_pick(MERGED)).alias("m")).select("doc_id", "m.*")
+
+
 def _modes(v):
     mode = F.get(F.array(F.lit("neutral"), *map(F.lit, K.MODES)), (F.col("id") % 6).cast("int"))
     return v.select("model", mode.alias("mode"), "vec")
@@ -66,6 +73,7 @@ QUERIES = {
     "classify_heuristic": _docs(lambda d: J.heuristic(_second(d))),
     "model_shares": _docs(lambda d: J.model_shares(_second(d))),
     "model_names": _docs(_names),
+    "merged_names": _docs(_merged),
     "text_kinds": _docs(_kinds),
     "deformations": _q(lambda v: K.deformations(_modes(v))),
     "deformation_signature": _q(lambda v: K.deformation_signature(_modes(v)).select("model", F.posexplode("signature").alias("place", "u"))),
@@ -131,6 +139,9 @@ ORACLES = {
     "model_shares": _model_shares(),
     "model_names": f"""with n as (select doc_id, lower({_list(SPIKES)}[doc_id % {len(SPIKES)} + 1]) as m from documents)
 select doc_id, {_case("m", [(r[0], r[1]) for r in N.MODEL_NAMES], "'unknown'")} as family, {_case("m", [(r[0], r[2]) for r in N.MODEL_NAMES], "m")} as name, {_case("m", [(r[0], r[3]) for r in N.MODEL_NAMES], "''")} as version, {_case("m", N.FAMILIES, "'unknown'")} as store_family from n""",
+    "merged_names": f"""with n as (select doc_id, lower({_list(MERGED)}[doc_id % {len(MERGED)} + 1]) as m from documents),
+k as (select doc_id, m, {_case("m", [(r[0], r[1]) for r in N.MERGED_NAMES], "'unknown'")} as family, {_case("m", [(r[0], r[2]) for r in N.MERGED_NAMES], "m")} as short from n)
+select doc_id, family, case when family = 'unknown' then m else {_case("m", N.MERGED_WHOLE, "short || " + _case("m", N.MERGED_ENDS, "''"))} end as name from k""",
     "text_kinds": f"with t as (select doc_id, lower({_list(HEADS)}[doc_id % {len(HEADS)} + 1] || coalesce(text, '')) as t from documents) select doc_id, {_case('t', N.CATEGORIES, chr(39) + 'news' + chr(39))} as category, {_case('t', N.DOCUMENT_KINDS, chr(39) + 'OTHER' + chr(39))} as kind from t",
     "deformations": f"with {_DEFORMED} select model, mode, {', '.join(_r(k, k) for k in ['size', *K.LAYERS])}, row_number() over (partition by model order by size desc, mode) as rank from de",
     "deformation_signature": f"""with {_MODES}, u as (select model, mode, dim, s / sqrt(sum(s * s) over (partition by model, mode)) as u from sh),
