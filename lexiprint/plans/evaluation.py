@@ -13,6 +13,8 @@ from lexiprint.plans import features
 from lexiprint.plans.models import _BASE, _DRIFT, _q, _r, _samples
 
 HUMAN = "m0"
+#: The registry's groups, which together make the whole vector.
+WHOLE = ["statistical", "lexical", "structural", "punctuation", "connectors", "epistemic", "transitions", "rhythm", "lightweight", "alignment", "noise", "tokenization", "echo", "dynamics", "fractal"]
 LAYERS = ["layer_e", "layer_b", "layer_c1", "layer_c2", "layer_d"]
 
 
@@ -31,7 +33,13 @@ def _zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.zero_counts(extract(spark.read.parquet(f"{sf_dir}/documents.parquet"), LAYERS, digits=features.DIGITS), LAYERS)
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of all groups in one scan without an exchange."""
+    return extract(spark.read.parquet(f"{sf_dir}/documents.parquet"), WHOLE, digits=features.DIGITS)
+
+
 QUERIES = {
+    "features_whole": _whole,
     "component_quartiles": _q(lambda v: E.quartiles(P.long_form(v, "model"), "model", "dim")),
     "class_report": _q(lambda v: E.class_report(_predicted(v))),
     "human_pairs": _q(lambda v: E.human_pairs(v, P.centroids(v), HUMAN)),
@@ -57,7 +65,13 @@ def _zero_sql() -> str:
     return f"with {', '.join(parts)} select doc_id, {', '.join(f'z_{x}.zeros as {x}_zeros' for x in LAYERS)} from z_{LAYERS[0]} {joins}"
 
 
+def _whole_sql() -> str:
+    parts = [f"g_{g} as (select doc_id, columns(* exclude (doc_id)) as '{g}_\\0' from ({features.ORACLES[f'features_{g}']}) as f)" for g in WHOLE]
+    return f"with {', '.join(parts)} select * from g_{WHOLE[0]} {' '.join(f'join g_{g} using (doc_id)' for g in WHOLE[1:])}"
+
+
 ORACLES = {
+    "features_whole": _whole_sql(),
     "component_quartiles": f"with {_BASE}, q as (select model, dim, quantile_cont(x, 0.25) as a, quantile_cont(x, 0.5) as b, quantile_cont(x, 0.75) as c from l group by model, dim) select model, dim, {_r('a', 'p25')}, {_r('b', 'median')}, {_r('c', 'p75')}, {_r('c - a', 'iqr')} from q",
     "class_report": f"""with {_BASE}, {_NEAR}, p as (select own as model, model as predicted from near where r = 1),
 o as (select model, count(*) as n, count(*) filter (model = predicted) as hits from p group by model), s as (select predicted as model, count(*) as said from p group by predicted)
