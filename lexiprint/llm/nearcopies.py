@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiprint.llm.common import attach, beside, cut, with_texts
-from lexiprint.llm.simhash import components, groups, majority
+from lexiprint.llm.simhash import candidates, components, majority
 
 SEED = 42
 WORDS = 5
@@ -171,7 +171,7 @@ def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: fl
     # a sum of hashes stands for the cell's set of nodes
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).filter("n > 1")
     single = cut(sizes.groupBy("n", "who").agg(F.min("cell").alias("cell")).select("cell", "n", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
-    held = attach(cells, single, "cell", "n", (BANDS + 1) * nodes.count()).filter("pieces is not null")
+    held = attach(cells, single, "cell", "n", BANDS * nodes.count()).filter("pieces is not null")
     held = cut(held.withColumn("own", F.pmod(F.xxhash64("node"), "pieces").cast("int")))
     wanted = cut(held.select(F.col("node").alias("_n")).distinct())
     few = wanted.count() <= SENT
@@ -196,8 +196,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     rows = cut(need.mapInArrow(_sketches(words), "row long, node long, doc_id long, bands array<long>, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row")).alias("first")
     nodes = cut(rows.groupBy("node").agg(first, F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp")))
-    grouped = nodes.select("node", "bands").join(groups(nodes), "node", "left")
-    cells = F.when(F.col("group").isNull(), F.col("bands")).otherwise(F.array_append("bands", F.xxhash64(F.lit("simhash"), "group")))
+    grouped = nodes.select("node", "bands").join(candidates(nodes), "node", "left")
+    by_print = F.transform(F.coalesce("groups", F.array().cast("array<bigint>")), lambda g: F.xxhash64(F.lit("simhash"), g))
+    cells = F.concat("bands", by_print)
     found = components(links(cut(grouped.select("node", cells.alias("bands"))), need.select("node", "text"), words, similarity))
     parts = nodes.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
     kept = parts.select(F.col("first.row").alias("_kept"))

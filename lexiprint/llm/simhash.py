@@ -226,12 +226,20 @@ def components(edges: DataFrame) -> DataFrame:
     return label.join(least, "to", "left").select("node", "component")
 
 
-def groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``node, group``: the nodes (``node, fp``) whose fingerprint links to that of another node, or equals it."""
+def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``node, groups``: for ``nodes`` (``node, fp``) the groups of nodes whose fingerprints link or are equal.
+
+    Every two nodes within the radius have a group in common: a group holds
+    what is connected within a cell, under its smallest fingerprint.  Nodes
+    that meet no other have none.
+    """
     prints = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    found = components(links(prints.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
-    grouped = prints.join(found, "fp", "left").filter("component is not null or n > 1").select("fp", "n", F.coalesce("component", "fp").alias("group"))
-    return attach(nodes.select("node", "fp"), grouped, "fp", "n", nodes.count()).filter("group is not null").select("node", "group")
+    found = links(prints.select(F.col("fp").alias("node"), "fp"), radius)
+    equal = prints.filter("n > 1").select("fp", F.col("fp").alias("group"))
+    member = found.select(F.col("b").alias("fp"), F.col("a").alias("group")).union(found.select(F.col("a").alias("fp"), F.col("a").alias("group"))).union(equal)
+    # a fingerprint has a group for each of its cells at most
+    held = prints.join(member.groupBy("fp").agg(F.collect_set("group").alias("groups")), "fp")
+    return attach(nodes.select("node", "fp"), cut(held), "fp", "n", nodes.count()).filter("groups is not null").select("node", "groups")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:

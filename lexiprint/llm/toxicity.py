@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from lexiprint.llm.common import beside, cut, with_texts
 
 #: At most so many labelled documents of each label are learned from, those of least hash,
-#: and of these as many as have so many words together.
+#: and of these as many as have so many words together; longer ones than LONGEST words are left to the scores.
 SAMPLE = {1: 3000, 0: 6000}
-SAMPLE_WORDS = 8_000_000
+SAMPLE_WORDS, LONGEST = 4_000_000, 20_000
 BUCKETS = 1 << 17
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -35,7 +35,8 @@ FILTERS = 12
 STARTS = (4, 5)
 PARTS = 1 + len(STARTS)
 EPOCHS = 3
-BATCH = 64
+#: Documents of a step at most, and words beyond which it takes no more.
+BATCH, BATCH_WORDS = 64, 30_000
 #: Score from which a document is predicted toxic whatever its language.
 THRESHOLD = 0.3
 #: Positives a language needs for a threshold of its own.
@@ -148,6 +149,16 @@ def gradients(model: Model, words: np.ndarray, spans: np.ndarray, labels: np.nda
     return Gradients(touched, total, filters, bias, pooled.T @ g, float(g.sum()))
 
 
+def _batches(order: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Runs of ``order`` of at most ``BATCH`` documents that end once they have ``BATCH_WORDS`` words."""
+    first, held = 0, 0
+    for n, i in enumerate(order, 1):
+        held += len(docs[i])
+        if n - first == BATCH or held >= BATCH_WORDS or n == len(order):
+            yield order[first:n]
+            first, held = n, 0
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit on documents given as (n, PARTS) bucket arrays; ``weights`` undo uneven sampling of the labels.
 
@@ -184,9 +195,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
         return value - rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
 
     for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), BATCH):
-            chosen = order[at : at + BATCH]
+        for chosen in _batches(rng.permutation(len(docs)), docs):
             words, spans = _join([docs[i] for i in chosen], model.padding)
             g = gradients(model, words, spans, labels[chosen], weights[chosen])
             steps += 1
@@ -255,9 +264,10 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
     """The trained network, and ``_id, _toxic`` of all labelled documents that it neither saw nor are held out.
 
     At most ``SAMPLE`` documents of each label, those whose identifiers have
-    the least hash, are trained on, less a fifth; in the order of the hash only
-    as many as have ``SAMPLE_WORDS`` words together, so what comes to the
-    driver is bounded however long texts are.  Of rows with one doc_id the text
+    the least hash, are trained on, less a fifth; none of more than ``LONGEST``
+    words, and in the order of the hash only as many as have ``SAMPLE_WORDS``
+    words together, so what comes to the driver is bounded however long texts
+    are.  Of rows with one doc_id the text
     of least hash is learned from.
     """
     known = _known(labels)
@@ -274,7 +284,7 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
     once = texts.groupBy("id").agg(F.min_by(F.struct("toxic", "fold", "text"), F.xxhash64("text")).alias("r")).select("id", "r.toxic", "r.fold", "r.text")
     coded = cut(once.mapInPandas(_encode, "id long, toxic int, fold int, size long, words binary"))
     # at most sum(SAMPLE) rows of two numbers, then at most SAMPLE_WORDS words
-    sized = coded.select("id", "size", F.xxhash64("id", F.lit(11)).alias("h")).toPandas().sort_values(["h", "id"])
+    sized = coded.filter(F.col("size") <= LONGEST).select("id", "size", F.xxhash64("id", F.lit(11)).alias("h")).toPandas().sort_values(["h", "id"])
     taken = sized["id"][sized["size"].cumsum() <= SAMPLE_WORDS].tolist()
     picked = docs.sparkSession.createDataFrame([(i,) for i in taken], "_id long")
     rows = coded.join(F.broadcast(picked), F.col("id") == F.col("_id"), "left_semi").toPandas().sort_values("id", ignore_index=True)
