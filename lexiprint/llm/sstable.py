@@ -51,7 +51,7 @@ _INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 BLOCK = 1 << 18
 BLOOM_BITS = 10
 #: Bytes that a generation of a worker's cache may take, about; it keeps two.
-CACHE = 96 << 20
+CACHE = 48 << 20
 #: Bytes of a cached piece beside its text and ids: two objects and a place in the table.
 _ENTRY = 200
 #: Bytes of text for each shard file, unless the session's shuffle partitions are more.
