@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and of the pipeline, each over whole tables."""
+"""Registered queries of the operators and of the pipeline, each over whole tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from lexiprint.llm import linededup, quotes, warc
 from lexiprint.llm.decontaminate import leaks
 from lexiprint.llm.lsh import nearest
 from lexiprint.llm.mixing import mixing_rates
+from lexiprint.llm.runs import runs_digest
 from lexiprint.llm.sharding import shard_documents
 from lexiprint.llm.simhash import simhash_digest
 from lexiprint.llm.sstable import token_shards
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_sstable": _over(token_shards, "documents"),
     "op9_simhash": _over(simhash_digest, "documents"),
     "op10_minimax_shards": _over(shard_documents, "documents"),
+    "op11_periodic_runs": _over(runs_digest, "documents"),
 }
 
 ORACLES: dict[str, str] = {
