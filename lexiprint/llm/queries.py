@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiprint.llm import linededup, lm, quotes, warc
+from lexiprint.llm import linededup, lm, phrases, quotes, warc
 from lexiprint.llm.decontaminate import leaks
 from lexiprint.llm.lsh import nearest
 from lexiprint.llm.mixing import mixing_rates
@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op10_minimax_shards": _over(shard_documents, "documents"),
     "op11_periodic_runs": _over(runs_digest, "documents"),
     "op12_backoff_automaton": _over(lm.document_scores, "documents"),
+    "op13_collocations": _over(phrases.collocations, "documents"),
 }
 
 ORACLES: dict[str, str] = {
@@ -43,4 +44,5 @@ ORACLES: dict[str, str] = {
     "op4_warc_revisits": warc.SQL,
     "op5_quote_linking": quotes.SQL,
     "op12_backoff_automaton": lm.SQL,
+    "op13_collocations": phrases.SQL,
 }
