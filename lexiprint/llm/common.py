@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as heavy when it holds more than this share of the rows, so there are never more than 1,000.
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lexiprint-')}"
     if not context.getCheckpointDir():
@@ -58,6 +61,35 @@ def with_texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The ``names``, each lengthened until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def key_of(*columns: Column) -> Column:
+    """128 bits that tell rows apart by their ``columns``, nulls included."""
+    parts = [p for c in columns for p in (c.isNull().cast("string"), F.octet_length(c.cast("string")).cast("string"), c.cast("string"))]
+    return F.unhex(F.md5(F.concat_ws(",", *parts)))
+
+
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system.
+
+    A worker outlives its task; what one stage leaves in it would count beside
+    the memory of the next.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it keep their own ways
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def beside(batch: pa.RecordBatch, kept: list[str], **more: pa.Array) -> pa.RecordBatch:
     """The ``kept`` columns of ``batch`` as they are, identifiers and nulls to the last bit, and ``more`` behind them."""
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more.values()], names=[*kept, *more])
