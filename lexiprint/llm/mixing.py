@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import beside, cut, with_texts
+from lexiprint.llm.common import beside, cut, give_back, with_texts
 
 #: Domains of the labelled table and the share of tokens of each that rates are fitted to.
 TARGETS = {"good": 0.6, "poor": 0.4}
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, domains: DataFrame, names: list[str]) -> Classifier | N
         part = domains.filter(F.col("domain") == name).orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.union(part)
     # at most len(names) * SAMPLE rows of an identifier and a name
-    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("_id").alias("id"), "domain", docs["text"].cast("string").alias("text"))
+    need = with_texts(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = need.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "domain", "text")
     once = texts.groupBy("id").agg(F.min_by(F.struct("domain", "text"), F.xxhash64("text")).alias("r")).select("id", "r.domain", "r.text")
     got = once.mapInPandas(_encode, "id long, domain string, buckets binary, weights binary, shape binary").toPandas().sort_values("id")
     if got["domain"].nunique() < 2:
@@ -191,6 +192,7 @@ def posteriors(docs: DataFrame, model: Classifier | None, names: list[str]) -> D
     schema = ", ".join(["doc_id long", "tokens long", *(f"p_{n} double" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         judge = _Judge(model, names)
         for b in batches:
             sizes, posts = judge(b.column("text").to_pylist())
@@ -355,6 +357,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     plan = meet_targets(cut(posteriors(docs, model, names)), targets, lowest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         judge = _Judge(model, names)
         for b in batches:
             rate = plan.rates(judge(b.column("text").to_pylist())[1])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import attach, beside, cut, with_texts
+from lexiprint.llm.common import attach, beside, cut, give_back, key_of, unused, with_texts
 from lexiprint.llm.simhash import candidates, components, majority
 
 SEED = 42
@@ -28,8 +28,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
-#: Texts compared with each other in one piece; fuller cells are compared piece by piece.
-PIECE = 1024
+#: Texts compared with each other in one piece, and bytes of their shingles; fuller cells are compared piece by piece.
+PIECE, PIECE_BYTES = 1024, 16 << 20
 #: Candidates of at most so many identifiers are sent to every task.
 SENT = 1_000_000
 CACHE = 300_000
@@ -80,22 +80,24 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known = _Hashes()
         for b in batches:
-            found, prints = np.empty((b.num_rows, BANDS), dtype=np.uint64), np.empty(b.num_rows, dtype=np.uint64)
+            found, prints, size = np.empty((b.num_rows, BANDS), dtype=np.uint64), np.empty(b.num_rows, dtype=np.uint64), np.empty(b.num_rows, dtype=np.int64)
             for n, t in enumerate(b.column("text").to_pylist()):
                 hashes = shingles(t, known, words)
-                found[n], prints[n] = bands(hashes), majority(hashes)
+                found[n], prints[n], size[n] = bands(hashes), majority(hashes), hashes.nbytes
                 if len(known) > CACHE:
                     known.clear()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.ravel().view(np.int64)))
-            yield beside(b, ["row", "node", "doc_id"], bands=lists, fp=pa.array(prints.view(np.int64)))
+            yield beside(b, ["row", "node", "doc_id"], bands=lists, fp=pa.array(prints.view(np.int64)), bytes=pa.array(size))
 
     return run
 
 
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         known = _Hashes()
         for b in batches:
             got = []
@@ -147,6 +149,7 @@ def _links(similarity: float):
         return pd.DataFrame({"a": node[[a for a, _ in found]], "b": node[[b for _, b in found]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         kept: list[pd.DataFrame] = []
         key = ["cell", "left", "right"]
         for b in batches:
@@ -162,45 +165,52 @@ def _links(similarity: float):
 
 
 def links(nodes: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
-    """``a, b``: links that connect all near copies among ``nodes`` (``node, bands``); ``texts`` has ``node, text``, repeats allowed.
+    """``a, b``: links that connect all near copies among ``nodes`` (``node, bands, bytes``); ``texts`` has ``node, text``, repeats allowed.
 
-    ``bands`` are the cells in which a node seeks partners.  Cells with the same texts count once.  A cell of more than ``piece`` texts
-    is cut in pieces and every two pieces meet in a task of their own.
+    ``bands`` are the cells in which a node seeks partners and ``bytes`` the
+    size of its shingles.  Cells with the same texts count once.  A cell of more
+    than ``piece`` texts or ``PIECE_BYTES`` is cut in pieces and every two
+    pieces meet in a task of their own.
     """
-    cells = nodes.select("node", F.explode("bands").alias("cell"))
-    # a sum of hashes stands for the cell's set of nodes
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).filter("n > 1")
-    single = cut(sizes.groupBy("n", "who").agg(F.min("cell").alias("cell")).select("cell", "n", F.ceil(F.col("n") / piece).cast("int").alias("pieces")))
+    kind = dict(nodes.dtypes)["node"]
+    cells = nodes.select("node", "bytes", F.explode("bands").alias("cell"))
+    # two sums of hashes stand for the cell's set of nodes
+    who = [F.sum(F.xxhash64(F.lit(n), "node").cast("decimal(20,0)")).alias(f"who{n}") for n in (0, 1)]
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), *who).filter("n > 1")
+    pieces = F.greatest(F.ceil(F.col("n") / piece), F.ceil(F.col("bytes") / PIECE_BYTES)).cast("int").alias("pieces")
+    single = cut(sizes.groupBy("n", "bytes", "who0", "who1").agg(F.min("cell").alias("cell")).select("cell", "n", pieces))
+    cells = cells.drop("bytes")
     held = attach(cells, single, "cell", "n", BANDS * nodes.count()).filter("pieces is not null")
     held = cut(held.withColumn("own", F.pmod(F.xxhash64("node"), "pieces").cast("int")))
     wanted = cut(held.select(F.col("node").alias("_n")).distinct())
     few = wanted.count() <= SENT
     chosen = texts.join(F.broadcast(wanted) if few else wanted, F.col("node") == F.col("_n"), "left_semi")
-    sets = cut(chosen.mapInPandas(_sets(words), "node long, set binary").dropDuplicates(["node"]))
+    sets = cut(chosen.mapInPandas(_sets(words), f"node {kind}, set binary").dropDuplicates(["node"]))
     spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("cell", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "node")
     dealt = spread.join(sets, "node").repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right", "node")
-    return dealt.select("cell", "left", "right", "node", "set").mapInPandas(_links(similarity), "a long, b long").distinct()
+    return dealt.select("cell", "left", "right", "node", "set").mapInPandas(_links(similarity), f"a {kind}, b {kind}").distinct()
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near copies: of every group that links of ``similarity`` connect, one row stays.
 
     It is the row of the smallest doc_id, null last, and of several such rows
-    the text of least hash.  A row is known by the hash of its identifier and
+    the text of least hash.  A row is known by 128 bits of its identifier and
     text, so rows without an identifier stay unless their text is a copy, and
     different texts under one doc_id are different documents.  Texts without
     words are copies of each other.  All columns come back as they were.
     """
-    keyed = with_texts(docs).withColumn("_node", F.xxhash64(F.col("text").cast("string"))).withColumn("_row", F.xxhash64("_node", F.col("doc_id").isNull(), "doc_id"))
-    need = keyed.select(F.col("_row").alias("row"), F.col("_node").alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(need.mapInArrow(_sketches(words), "row long, node long, doc_id long, bands array<long>, fp long"))
+    node, row = unused(docs, "_node", "_row")
+    text = F.col("text").cast("string")
+    keyed = with_texts(docs).withColumn(node, key_of(F.coalesce(text, F.lit("")))).withColumn(row, key_of(F.col("doc_id"), F.hex(node)))
+    need = keyed.select(F.col(row).alias("row"), F.col(node).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = cut(need.mapInArrow(_sketches(words), "row binary, node binary, doc_id long, bands array<long>, fp long, bytes long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row")).alias("first")
-    nodes = cut(rows.groupBy("node").agg(first, F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp")))
-    grouped = nodes.select("node", "bands").join(candidates(nodes), "node", "left")
+    nodes = cut(rows.groupBy("node").agg(first, *(F.any_value(c).alias(c) for c in ("bands", "fp", "bytes"))))
+    grouped = nodes.select("node", "bands", "bytes").join(candidates(nodes), "node", "left")
     by_print = F.transform(F.coalesce("groups", F.array().cast("array<bigint>")), lambda g: F.xxhash64(F.lit("simhash"), g))
     cells = F.concat("bands", by_print)
-    found = components(links(cut(grouped.select("node", cells.alias("bands"))), need.select("node", "text"), words, similarity))
+    found = components(links(cut(grouped.select("node", "bytes", cells.alias("bands"))), need.select("node", "text"), words, similarity))
     parts = nodes.select("node", "first").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
-    kept = parts.select(F.col("first.row").alias("_kept"))
-    single = keyed.join(kept, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"])
-    return single.drop("_row", "_node")
+    kept = parts.select(F.col("first.row").alias(row))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import LIGHT, attach, beside, cut, with_texts
+from lexiprint.llm.common import LIGHT, attach, attach_any, beside, cut, key_of, unused, with_texts
 
 SEED = 42
 BITS = 64
@@ -66,14 +66,16 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield beside(b, ["doc_id"], fp=pa.array(got.view(np.int64)))
+            yield beside(b, [c for c in b.schema.names if c != "text"], fp=pa.array(got.view(np.int64)))
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp`` (a signed long with the 64 bits) of every whole text."""
-    return with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = WORDS, *more: Column) -> DataFrame:
+    """``doc_id, fp`` (a signed long with the 64 bits) of every whole text, and ``more`` columns between."""
+    need = with_texts(docs).select(F.col("doc_id").cast("long"), *more, F.col("text").cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in need.schema if f.name != "text")
+    return need.mapInArrow(_fingerprints(words), f"{schema}, fp long")
 
 
 def embed(fp: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
@@ -181,12 +183,11 @@ def links(nodes: DataFrame, radius: int = RADIUS, segment: int = SEGMENT, piece:
     """
     agree = agree or agreeing(nodes.count(), radius, segment)
     cells = nodes.select("node", "fp").mapInPandas(_cells(radius, segment, agree), "cell long, fp long, node long")
-    full = cells.groupBy("cell").count().filter(F.col("count") > piece).select(F.col("cell").alias("_c"), F.ceil(F.col("count") / piece).cast("int").alias("pieces"))
-    full = cut(full)
-    if (n := full.count()) == 0:
+    full = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece).withColumn("pieces", F.ceil(F.col("n") / piece).cast("int")))
+    if full.limit(1).count() == 0:
         spread = cells.withColumns({"own": F.lit(0), "left": F.lit(0), "right": F.lit(0)})
     else:
-        joined = cells.join(F.broadcast(full) if n <= 100_000 else full, F.col("cell") == F.col("_c"), "left").drop("_c")
+        joined = attach(cells, full, "cell", "n", comb(radius + agree, agree) * nodes.count())
         joined = joined.withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "pieces").cast("int"))
         spread = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}).drop("pieces", "other")
     dealt = spread.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right", "node")
@@ -217,13 +218,13 @@ def components(edges: DataFrame) -> DataFrame:
         left = cut(left.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    # many nodes may move onto one: Spark splits such a partition of the left side when it runs the join
-    label = moves[-1]
+    # many nodes may move onto one
+    label = moves[-1].select("node", "to")
     for move in reversed(moves[:-1]):
         after = label.select(F.col("node").alias("to"), F.col("to").alias("end"))
-        label = cut(move.join(after, "to", "left").select("node", F.coalesce("end", "to").alias("to")))
+        label = cut(attach_any(move.select("node", "to"), after, "to").select("node", F.coalesce("end", "to").alias("to")))
     least = label.groupBy("to").agg(F.min("node").alias("component"))
-    return label.join(least, "to", "left").select("node", "component")
+    return attach_any(label, least, "to").select("node", "component")
 
 
 def candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -276,17 +277,15 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataF
     """``docs`` without near copies: of every component the row of the smallest doc_id stays, null last.
 
     Of several such rows it is the one whose text has the least hash.  A row is
-    known by the hash of its identifier and text, so rows without an identifier
+    known by 128 bits of its identifier and text, so rows without an identifier
     stay unless they are copies, and different texts under one doc_id are
     different documents.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), F.col("text").cast("string")))
-    # the row's key takes the identifier's place, so it comes back beside the fingerprint
-    prints = cut(fingerprints(keyed.withColumns({"doc_id": F.col("_row")}), words).withColumnRenamed("doc_id", "row"))
-    ids = cut(keyed.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    rows = cut(prints.distinct().join(ids, "row"))
+    (row,) = unused(docs, "_row")
+    keyed = docs.withColumn(row, key_of(F.col("doc_id"), F.col("text")))
+    rows = cut(fingerprints(keyed, words, F.col(row).alias("row")).distinct())
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     least = rows.groupBy("fp").agg(first)
     groups = _named(rows.select("doc_id", "fp"), radius, SEGMENT).select("fp", "component").join(least, "fp").groupBy("component").agg(F.min("first").alias("first"))
-    single = keyed.join(groups.select(F.col("first.row").alias("_kept")), F.col("_row") == F.col("_kept"), "left_semi")
-    return single.dropDuplicates(["_row"]).drop("_row")
+    single = keyed.join(groups.select(F.col("first.row").alias(row)), row, "left_semi").dropDuplicates([row])
+    return single.select(*(F.col(f"`{c}`") for c in docs.columns))

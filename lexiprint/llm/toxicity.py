@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import beside, cut, with_texts
+from lexiprint.llm.common import beside, cut, give_back, with_texts
 
 #: At most so many labelled documents of each label are learned from, those of least hash,
 #: and of these as many as have so many words together; longer ones than LONGEST words are left to the scores.
@@ -280,7 +280,8 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
         chosen = part if chosen is None else chosen.union(part)
     # at most sum(SAMPLE) rows of three numbers
     chosen = cut(chosen.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)).cast("int")))
-    texts = with_texts(docs).join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("_id").alias("id"), F.col("_toxic").alias("toxic"), F.col("_fold").alias("fold"), docs["text"].cast("string").alias("text"))
+    need = with_texts(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = need.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", F.col("_toxic").alias("toxic"), F.col("_fold").alias("fold"), "text")
     once = texts.groupBy("id").agg(F.min_by(F.struct("toxic", "fold", "text"), F.xxhash64("text")).alias("r")).select("id", "r.toxic", "r.fold", "r.text")
     coded = cut(once.mapInPandas(_encode, "id long, toxic int, fold int, size long, words binary"))
     # at most sum(SAMPLE) rows of two numbers, then at most SAMPLE_WORDS words
@@ -402,6 +403,7 @@ class Scorer:
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         scorer = Scorer(model)
         for b in batches:
             yield beside(b, ["doc_id", "lang"], score=pa.array(scorer.score(b.column("text").to_pylist())))
@@ -452,6 +454,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     thresholds = model.thresholds or {"": THRESHOLD}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         scorer = Scorer(model)
         for b in batches:
             limits = np.array([thresholds.get(x or "", thresholds[""]) for x in b.column("lang").to_pylist()])

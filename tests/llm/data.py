@@ -35,3 +35,14 @@ def wide(spark, texts):
     """Documents with ``WIDE`` identifiers, a time stamp and nested wide numbers."""
     rows = [(WIDE[i % 5], t, "en", datetime.datetime(2024, 1, 1, 0, 0, i), ([2**53 + 1, None], {"k": 2**53 + i})) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, WIDE_SCHEMA)
+
+
+#: Names that operators might use for columns of their own.
+OWN = ["_id", "_kept", "_node", "_row", "_toxic", "_fold", "_k", "_heavy", "_rows", "_NODE", "id", "node", "row", "fp", "bands", "bytes", "domain", "words", "rate", "block", "learn", "h", "n", "g", "lang_", "hash", "at"]
+
+
+def with_own_names(docs):
+    """``docs`` with a column of each of ``OWN`` that tells rows apart."""
+    kept = docs.select("doc_id", "text", "lang")
+    names = [n for i, n in enumerate(OWN) if n.lower() not in {m.lower() for m in OWN[:i]}]
+    return kept.selectExpr("*", *(f"concat('{n}', cast(doc_id as string)) as `{n}`" for n in names))

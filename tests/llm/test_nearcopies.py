@@ -52,13 +52,14 @@ def test_the_stage_keeps_what_brute_force_keeps(spark):
     assert kept == sorted(want)
 
 
-def test_pieces_meet_each_other(spark):
+def test_pieces_meet_each_other(spark, monkeypatch):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = nearcopies._Hashes()
-    nodes = spark.createDataFrame([(i, nearcopies.bands(nearcopies.shingles(t, known)).view("i8").tolist()) for i, t in rows], "node long, bands array<long>")
+    nodes = spark.createDataFrame([(i, nearcopies.bands(nearcopies.shingles(t, known)).view("i8").tolist(), 8 * len(t.split())) for i, t in rows], "node long, bands array<long>, bytes long")
     texts = docs.withColumnRenamed("doc_id", "node")
-    for piece in (8, 1024):
+    for piece, size in ((8, 1 << 24), (1024, 1 << 24), (1024, 5_000)):
+        monkeypatch.setattr(nearcopies, "PIECE_BYTES", size)
         found = {r["node"]: r["component"] for r in nearcopies.components(nearcopies.links(nodes, texts, piece=piece)).collect()}
         assert {found.get(i, i) for i, _ in rows} == plain_groups(dict(rows))
 
