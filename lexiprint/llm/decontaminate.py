@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import with_texts
+from lexiprint.llm.common import give_back, with_texts
 
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must reach in a window to be retrieved.
@@ -97,8 +97,7 @@ class Index:
     stride: int
     questions: list[np.ndarray]
     answers: list[np.ndarray]
-    wholes: list[np.ndarray]
-    short: dict[int, list[tuple[int, int, int]]]
+    short: dict[int, list[tuple[int, int]]]  # item -> question (0) or answer (1) shorter than a shingle, and its words
 
 
 def build_index(items: list[tuple], df: dict[str, int], n: int, mean: float, longest: int = SEGMENT, threshold: float = THRESHOLD) -> Index:
@@ -115,7 +114,7 @@ def build_index(items: list[tuple], df: dict[str, int], n: int, mean: float, lon
             piece = ids[at : at + SEGMENT] if at + SEGMENT <= len(ids) or not at else ids[-SEGMENT:]
             entries.append((len(names), Counter(piece)))
         names.append(name)
-        parts.append((w, *map(words_of, question_answer(text))))
+        parts.append(tuple(map(words_of, question_answer(text))))
     number = lambda ws: np.array([terms.get(x, -1) for x in ws], dtype=np.int64)
     idf = {t: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w, t in terms.items()}
     entries.sort(key=lambda x: sum(x[1].values()))
@@ -153,10 +152,9 @@ def build_index(items: list[tuple], df: dict[str, int], n: int, mean: float, lon
         posts_entry=np.array([p[1] for p in posts], dtype=np.int64),
         posts_weight=np.array([p[2] for p in posts]),
         stride=min(SEGMENT, max(16, longest)),
-        questions=[np.unique(shingles(number(q))) for _, q, _ in parts],
-        answers=[np.unique(shingles(number(a))) for _, _, a in parts],
-        wholes=[np.unique(shingles(number(w))) for w, _, _ in parts],
-        short={i: [(which, len(x), k) for k, which in ((1, 0), (2, 1), (0, 2)) if 0 < len(x := parts[i][k]) < SHINGLE] for i in range(len(names)) if any(0 < len(p) < SHINGLE for p in parts[i])},
+        questions=[np.unique(shingles(number(q))) for q, _ in parts],
+        answers=[np.unique(shingles(number(a))) for _, a in parts],
+        short={i: [(which, len(x)) for which, x in enumerate(p) if 0 < len(x) < SHINGLE] for i, p in enumerate(parts) if any(0 < len(x) < SHINGLE for x in p)},
     )
 
 
@@ -219,11 +217,12 @@ class Matcher:
         ids = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         return ids[ids != -2]
 
-    def _verify(self, ids: np.ndarray, item: int) -> tuple[float, float, float]:
+    def _verify(self, ids: np.ndarray, item: int) -> tuple[float, float]:
+        """Shares of the question's and of the answer's shingles in the document; 1 for a part without words."""
         have = {SHINGLE: shingles(ids)} if len(ids) >= SHINGLE else {len(ids): shingles(ids)}
-        shorter = {which: size for which, size, _ in self.index.short.get(item, [])}
+        shorter = dict(self.index.short.get(item, []))
         out = []
-        for which, want in enumerate((self.index.questions[item], self.index.answers[item], self.index.wholes[item])):
+        for which, want in enumerate((self.index.questions[item], self.index.answers[item])):
             size = shorter.get(which, SHINGLE)
             if size not in have:
                 have[size] = shingles(ids, size) if len(ids) >= size else np.array([], dtype=np.uint64)
@@ -248,8 +247,8 @@ class Matcher:
         for d, e, s in zip(owner.tolist(), index.entry_item[entry].tolist(), score.tolist()):
             best[d, e] = max(best.get((d, e), 0.0), s)
         for (d, item), s in sorted(best.items()):
-            q, a, whole = self._verify(docs[d], item)
-            if whole >= self.overlap or (q >= self.overlap and a >= self.overlap):
+            q, a = self._verify(docs[d], item)
+            if q >= self.overlap and a >= self.overlap:
                 yield d, item, s, q, a
 
     def match(self, texts: list[str | None]) -> Iterator[tuple[int, object, float, float, float]]:
@@ -313,6 +312,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     for index in _indexes(benchmark, threshold, index_chars):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            give_back()
             matcher = Matcher(index, threshold, overlap)
             for b in batches:
                 found = list(zip(*matcher.match(b.column("text").to_pylist()))) or [()] * 5
@@ -330,6 +330,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(benchmark, THRESHOLD, INDEX_CHARS):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            give_back()
             matcher = Matcher(index)
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)

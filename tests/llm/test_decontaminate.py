@@ -49,11 +49,11 @@ def plain_leaks(docs, items):
         w = dc.words_of(text)
         for i, item in items:
             share = []
-            for part in (*dc.question_answer(item), item):
+            for part in dc.question_answer(item):
                 p = dc.words_of(part)
                 n = min(5, len(p))
                 share.append(len(grams(p, n) & grams(w, n)) / len(grams(p, n)) if p else 1.0)
-            if dc.words_of(item) and (share[2] >= 0.8 or min(share[:2]) >= 0.8):
+            if dc.words_of(item) and min(share) >= 0.8:
                 out.add((d, i))
     return out
 
@@ -76,7 +76,7 @@ def test_leaks_match_brute_force(spark):
     texts = [(x["doc_id"], x["text"]) for x in docs.collect()]
     want = plain_leaks(texts, items)
     got = dc.leaks(docs, bench)
-    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want and len(want) > 80
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want and len(want) > 60
     split = dc.leaks(docs, bench, index_chars=2000)
     assert {(x["doc_id"], x["item_id"], round(x["score"], 9)) for x in split.collect()} == {(x["doc_id"], x["item_id"], round(x["score"], 9)) for x in got.collect()}
     kept = dc.drop_leaks(docs, bench)
@@ -106,3 +106,15 @@ def test_wide_identifiers_and_other_columns_come_back(spark):
     hit = [r for r in docs.collect() if item in r["text"]]
     assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in dc.leaks(docs, bench).collect()))) == sorted(str((r["doc_id"], 2**53 + 1)) for r in hit)
     assert sorted(map(str, dc.drop_leaks(docs, bench).collect())) == sorted(str(r) for r in docs.collect() if item not in r["text"])
+
+
+def test_a_question_without_its_answer_is_no_leak(spark):
+    """However long the question is; an item without an answer is known by its question."""
+    question, answer = words(120, 31), words(12, 32)
+    items = [(1, f"{question}? {answer}"), (2, words(90, 33)), (3, f"Q. {words(80, 35)}\nanswer: forty two")]
+    texts = [(1, f"{words(30, 41)} {question}? {words(40, 42)}"), (2, f"{words(30, 43)} {question}? {words(3, 44)} {answer}"), (3, f"{answer} {words(50, 45)}"), (4, f"x {words(90, 33)} y"), (5, f"{words(80, 35)} forty one"), (6, f"{words(80, 35)} it is forty two")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs, bench).collect()}
+    assert got == plain_leaks(texts, items) == {(2, 1), (4, 2), (6, 3)}
+    assert {r["doc_id"] for r in dc.drop_leaks(docs, bench).collect()} == {1, 3, 5}
