@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from lexiprint.llm.common import attach, cut
 
-#: A line is boilerplate on a host if more than this share of the host's pages hold it, and at least so many pages.
+#: A line is boilerplate on a host if more than this share of the host's pages hold it, and so many pages at least.
 RATIO = 0.2
-LEAST_PAGES = 3
+LEAST_PAGES = 1
 #: Line hashes that are sent to every task at most (8 bytes each); more are joined by a shuffle.
 SENT_LINES = 2_000_000
 
@@ -58,8 +58,9 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     """``page_id, host, n_lines, n_dropped, text`` of every row of ``pages`` (``page_id, url, html``).
 
     Lines are trimmed, white space in them is one space, and blank ones are
-    left out; they are compared without case.  Pages without a host, or of
-    hosts with fewer than ``least_pages`` pages holding a line, keep that line.
+    left out; they are compared without case.  Pages without a host keep all
+    lines.  The ratio alone decides; with ``least_pages`` a line must also
+    stand on so many pages, so that a site of few pages keeps its text.
     A null page has no lines and the text ''.  Repeated rows are pages of their
     own.  A page of a hot host is dealt like any other: the host's few lines go
     to the pages, never the pages to the host.
