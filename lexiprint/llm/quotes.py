@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import attach, attach_any, cut
+from lexiprint.llm.common import attach, attach_any, cut, key_of
 
 #: Words that a single line must have to count as a passage of its own.
 LINE_WORDS = 4
@@ -106,15 +106,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     """
     lines = quote_lines(F.col("text"))
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    keyed = base.withColumn("message", F.xxhash64(F.struct("conv_id", "turn", "role", "text")))
+    keyed = base.withColumn("message", key_of(*(F.col(c) for c in ("conv_id", "turn", "role", "text"))))
     parsed = keyed.withColumn("lines", lines).withColumn("runs", passages(F.col("lines")))
     slim = parsed.select("message", "conv_id", "turn", "role", F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).alias("levels"), _own_hashes(F.col("runs")).alias("own"), _quoted_hashes(F.col("runs")).alias("quotes"), own_text(F.col("lines")).alias("text"))
     # partial sums first: a row repeated many times leaves each task once
     once = cut(slim.groupBy("message").agg(*(F.first(c).alias(c) for c in ("conv_id", "turn", "role", "levels", "own", "quotes", "text"))))
     placed = once.filter("conv_id is not null and turn is not null")
-    asked = cut(placed.filter(F.size("quotes") > 0).select("message", "conv_id", "turn", F.explode("quotes").alias("q")).select("message", "conv_id", "turn", F.col("q.level").alias("level"), F.xxhash64("conv_id", "q.hash").alias("key")))
+    asked = cut(placed.filter(F.size("quotes") > 0).select("message", "conv_id", "turn", F.explode("quotes").alias("q")).select("message", "conv_id", "turn", F.col("q.level").alias("level"), F.struct("conv_id", "q.hash").alias("key")))
     wanted = asked.groupBy("key").agg(F.count(F.lit(1)).alias("asks"))
-    written = placed.select("turn", "conv_id", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")).select(F.xxhash64("conv_id", "hash").alias("key"), "origin")
+    written = placed.select("turn", "conv_id", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")).select(F.struct("conv_id", "hash").alias("key"), "origin")
     origins = cut(written.join(wanted, "key"))
     found = attach(asked, origins, "key", "asks", asked.count()).withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
     levels = found.groupBy("message").agg(F.count_distinct("key").alias("quoted"), F.count_distinct(F.when(F.col("origin").isNotNull(), F.col("key"))).alias("linked"), F.min(F.when(F.col("origin").isNotNull(), F.struct("level", (-F.col("origin")).alias("neg")))).alias("best"))
