@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiprint.llm.common import fresh_dir, with_texts
+from lexiprint.llm.common import fresh_dir, give_back, with_texts
 
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,7 +61,7 @@ _ENDS = tuple(".,;:!?")
 #: White space that is no single space or line break, or stands at an end.
 _ODD = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n\n| \n|\n |^[ \n]|[ \n]$"
 #: Bytes of text encoded in one go.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: Pieces encoded together.
 _LINES = 20_000
 
@@ -322,6 +322,7 @@ def _writer(uri: str, tokenizer: str, end: int):
     tail = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         place = TaskContext.get().partitionId()
         files, path = _open_dir(uri)
         encoder = worker_encoder(tokenizer)
