@@ -25,14 +25,18 @@ probability n**2 / 2**65 and then share their count.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiprint.llm.common import give_back
+
 #: Weight of the lower order: so many counts of a context are as good as the order below.
 PRIOR = 2.0
 #: Added to each word's count in the base distribution.
@@ -40,19 +44,11 @@ BASE = 0.1
 #: Bytes of text in a block, and blocks whose n-grams a bucket sums.
 BLOCK, SHARED = 8 << 20, 2
 SEED = 42
-#: The token that ends a text; words hold no space.
-END = b" "
+#: Hash of the token that ends a text, which no word has as words hold no space.
+END = xxhash.xxh64_intdigest(b" ", SEED)
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word -> its XXH64."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
-        return found
-
-
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of each n-gram of hash ``a`` followed by the word ``b``."""
     h = a * _TIMES + b
@@ -91,15 +87,22 @@ class Block:
     """The documents of a block as one row of hashed tokens, each text closed by its end."""
 
     def __init__(self, texts: pa.Table) -> None:
-        known, hashes = _Hashes(), []
-        self.sizes: list[int] = []
+        whole = pc.fill_null(texts.column("text").combine_chunks(), "")
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+        coded = cut.flatten().dictionary_encode()
+        # blanks at the ends of a text leave empty words
+        found = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
+        codes = coded.indices.to_numpy()
+        real = codes != found.index(b"") if b"" in found else np.ones(len(codes), dtype=bool)
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        sizes = np.diff(np.append(0, np.cumsum(real))[ends]) + 1
+        self.sizes = sizes.tolist()
+        self.words = np.full(int(sizes.sum()), END, dtype=np.uint64)
+        inside = np.ones(len(self.words), dtype=bool)
+        inside[np.cumsum(sizes) - 1] = False
+        self.words[inside] = hashes[codes[real]]
         learn = texts.column("learn").to_pylist()
-        for text in texts.column("text").to_pylist():
-            words = (text or b"").lower().split()
-            words.append(END)
-            hashes.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
-            self.sizes.append(len(words))
-        self.words = np.concatenate(hashes)
         self.learn = np.repeat(np.array(learn, dtype=bool), self.sizes)
         ends = np.cumsum(self.sizes) - 1
         # places where a bigram and where a trigram begins
@@ -118,12 +121,18 @@ class Block:
 
 def _counted(grams: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``grams``, sorted, and twice the count in training text plus one if other text holds them."""
-    distinct = np.unique(grams)
-    inside, n = np.unique(grams[learn], return_counts=True)
-    marks = np.zeros(len(distinct), dtype=np.uint32)
-    marks[np.searchsorted(distinct, inside)] = 2 * n
-    marks[np.searchsorted(distinct, np.unique(grams[~learn]))] += 1
-    return distinct, marks
+    order = np.argsort(grams)
+    ranked, inside = grams[order], learn[order].astype(np.uint32)
+    starts = _starts(ranked)
+    if not len(starts):
+        return ranked, inside
+    n = np.add.reduceat(inside, starts)
+    return ranked[starts], 2 * n + (np.diff(np.append(starts, len(ranked))) > n).astype(np.uint32)
+
+
+def _starts(ranked: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.nonzero(np.append(True, ranked[1:] != ranked[:-1]))[0] if len(ranked) else np.array([], dtype=np.int64)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -163,7 +172,7 @@ def _answers(turn: int):
             hashes, marks = (np.concatenate([x[side + k] for x in bodies]) for k in (0, 1))
             order = np.argsort(hashes)
             ranked = hashes[order]
-            starts = np.nonzero(np.append(True, ranked[1:] != ranked[:-1]))[0] if len(ranked) else np.array([], dtype=np.int64)
+            starts = _starts(ranked)
             sums = np.zeros(len(starts), dtype=np.uint64)
             if len(starts):
                 m = marks[order].astype(np.uint64)
@@ -237,7 +246,7 @@ class Automaton:
     lead to ``low``.  ``weight[s]`` and ``fail[s]`` are a state's failure arc.
     """
 
-    def __init__(self, root: int, into: list[float], low: list[int], weight: list[float], fail: list[int]) -> None:
+    def __init__(self, root: int, into: array, low: array, weight: array, fail: array) -> None:
         self.root, self.into, self.low, self.weight, self.fail = root, into, low, weight, fail
 
     def walk(self, words: list[int], twos: dict[int, int], threes: dict[int, tuple[float, int]]) -> float:
@@ -289,7 +298,7 @@ def _automata(b: Block, answers: pa.Table, distinct: int, total: int) -> Iterato
     logs = np.log10(base)
     into[word], weight[word], low[word] = logs, np.log10(PRIOR / (c1 + PRIOR)), np.where(c1 > 0, word, root)
     into[state[at2]], weight[state[at2]], fail[state[at2]] = np.log10(p2[at2]), np.log10(PRIOR / (c2[at2] + PRIOR)), word[at2 + 1]
-    automaton = Automaton(root, into.tolist(), low.tolist(), weight.tolist(), fail.tolist())
+    automaton = Automaton(root, *(array(kind, x.tobytes()) for kind, x in (("d", into), ("q", low), ("d", weight), ("q", fail))))
     keys2, to2 = word[at2] * width + word[at2 + 1], state[at2]
     keys3, to3 = state[at3] * width + word[at3 + 2], state[at3 + 1]
     ends = np.cumsum(b.sizes)
@@ -310,6 +319,7 @@ def _scores(texts: pa.Table, answers: pa.Table) -> pa.Table:
     kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
     if not len(texts):
         return pa.table([pa.array([], k) for k in kinds], names=names)
+    give_back()
     distinct, total = (texts.column(c)[0].as_py() or 0 for c in ("distinct", "total"))
     size, known, base, score = zip(*_automata(Block(texts), answers, distinct, total))
     learn = texts.column("learn").to_pylist()
@@ -328,7 +338,7 @@ def trigram_scores(docs: DataFrame, learn: str, block: int = BLOCK) -> DataFrame
     has its end only.  Repeated rows are learnt from and scored each; without
     training text every word has the base probability 1.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col(learn).cast("boolean"), F.lit(False)).alias("learn"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(learn).cast("boolean"), F.lit(False)).alias("learn"))
     blocks = math.ceil((rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0) / block) or 1
     buckets = math.ceil(blocks / SHARED)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
