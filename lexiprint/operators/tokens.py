@@ -18,31 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lexiprint.functions import text as T
+from lexiprint.operators.clauses import depths
 
 WINDOW, FAR = 5, 50
 ARGUMENTS = ["nsubj", "nsubjpass", "dobj", "iobj", "attr", "ccomp", "xcomp", "acomp"]
-
-
-@F.pandas_udf(DoubleType())
-def mean_depth(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Mean number of steps from a token to its root; a chain longer than the sentence counts as it stands."""
-
-    def depth(heads) -> float:
-        at = np.asarray(heads, dtype=np.int64)
-        if not len(at):
-            return 0.0
-        own, total, here = at.copy(), np.zeros(len(at)), np.arange(len(at))
-        for _ in range(len(at)):
-            up = own[here]
-            moved = up != here
-            if not moved.any():
-                break
-            total += moved
-            here = up
-        return float(total.mean())
-
-    for heads in batches:
-        yield pd.Series([0.0 if h is None else depth(h) for h in heads])
+# What counts as a specific number, each pattern on its own and without case.
+NUMBERS = [
+    r"\b[0-9]+\.?[0-9]*%\b",
+    r"\b[0-9]{1,3}(?:,[0-9]{3})+\b",
+    r"\b[0-9]+/[0-9]+\b",
+    r"\b[0-9]{4}\b",
+    r"\b[0-9]+\.[0-9]+\b",
+    r"\$[0-9]+",
+    r"\b[0-9]+\s?(?:million|billion|thousand|hundred)\b",
+]
 
 
 def _small_world(near: list[set[int]], edges: int) -> float:
@@ -118,8 +107,9 @@ def graph(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]])
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """``doc_id, tokens`` with tags, words, nouns and their neighbour pairs."""
-    df = docs.select("doc_id", "tokens").withColumn("tokens", F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t["text"].alias("text"), t["lemma"].alias("lemma"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["head"].alias("head"), t["sent"].alias("sent"), t["ent"].alias("ent"))))
+    """``doc_id, text, tokens`` with tags, words, nouns and their neighbour pairs; without a text the tokens stand for it."""
+    text = T.text_of("text") if "text" in docs.columns else F.array_join(F.transform("tokens", lambda t: t["text"]), " ")
+    df = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), "tokens").withColumn("tokens", F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t["text"].alias("text"), t["lemma"].alias("lemma"), t["pos"].alias("pos"), t["dep"].alias("dep"), t["head"].alias("head"), t["sent"].alias("sent"), t["ent"].alias("ent"))))
     df = df.withColumns({"tags": F.transform(F.filter("tokens", lambda t: ~t["pos"].isin("PUNCT", "SPACE")), lambda t: t["pos"]), "n_tokens": F.coalesce(F.size("tokens"), F.lit(0)), "sentences": F.greatest(F.size(F.array_distinct(F.transform("tokens", lambda t: t["sent"]))), F.lit(1))})
     df = df.withColumns({"arcs": F.transform(F.filter("tokens", lambda t: t["dep"] != "ROOT"), lambda t: F.abs(t["i"] - t["head"]).cast("double")), "nouns": F.transform(F.filter("tokens", lambda t: t["pos"].isin("NOUN", "PROPN") & (F.length(t["text"]) > 2)), lambda t: F.struct(F.lower(t["lemma"]).alias("w"), t["i"].alias("i")))})
     # a word's neighbours within WINDOW tokens are among the next WINDOW nouns
@@ -162,7 +152,7 @@ def dependency() -> dict[str, Column]:
         "avg_dependency_distance": T.mean_of(F.col("arcs")),
         "max_dependency_distance": F.coalesce(F.array_max("arcs"), F.lit(0.0)),
         "dependency_distance_std": T.std_of(F.col("arcs")),
-        "tree_depth_mean": mean_depth(F.transform("tokens", lambda t: t["head"])),
+        "tree_depth_mean": T.mean_of(depths(F.transform("tokens", lambda t: t["head"]))),
         "passive_voice_rate": with_dep("nsubjpass"),
         "relative_clause_rate": with_dep("relcl"),
     }
@@ -170,7 +160,7 @@ def dependency() -> dict[str, Column]:
 
 
 def information() -> dict[str, Column]:
-    """Propositions, when entities are first named, and modifiers; for at least 3 sentences and 20 tokens."""
+    """Propositions, when entities are first named, modifiers and numbers; for at least 3 sentences, 20 words of letters and 100 characters."""
     governed = F.transform(F.filter("tokens", lambda t: t["dep"].isin(ARGUMENTS)), lambda t: t["head"])
     verbs = F.transform(F.filter("tokens", lambda t: (t["pos"] == "VERB") & ~t["dep"].isin("aux", "auxpass")), lambda t: t["i"])
     named = F.filter("tokens", lambda t: t["ent"].isNotNull())
@@ -178,12 +168,16 @@ def information() -> dict[str, Column]:
     half = F.floor(F.col("n_tokens") / 2)
     early = F.array_distinct(F.transform(F.filter(named, lambda t: t["i"] < half), lambda t: F.lower(t["ent"])))
     content = _tagged("NOUN", "VERB", "PROPN")
+    words = F.size(F.filter("tokens", lambda t: t["text"].rlike(r"^\p{L}+$")))
+    digits = F.size(F.filter("tokens", lambda t: (t["pos"] == "NUM") & t["text"].rlike("^[0-9]+$")))
+    numbers = T.matches(F.lower("text"), NUMBERS) + digits
     out = {
         "propositional_density": F.least(F.size(F.array_intersect(verbs, governed)) / F.col("sentences") / 3, F.lit(1.0)),
         "named_entity_velocity": F.when(F.size(names) >= 2, 2 * F.abs(F.size(early) / F.size(names) - 0.5)).otherwise(0.5),
         "adverbial_stuffing": F.when(content > 0, F.least(2 * _tagged("ADV", "ADJ") / content, F.lit(1.0))).otherwise(0.5),
+        "specific_number_rate": F.least(numbers * 100 / words / 5, F.lit(1.0)),
     }
-    return {k: T.zero_unless((F.col("n_tokens") >= 20) & (F.col("sentences") >= 3), v) for k, v in out.items()}
+    return {k: T.zero_unless((words >= 20) & (F.col("sentences") >= 3) & (F.length("text") >= 100), v) for k, v in out.items()}
 
 
 def topology() -> dict[str, Column]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiprint.plans import comparisons, complete, corpus, echoes, evaluation, features, models, preparation, spiked
+from lexiprint.plans import comparisons, complete, corpus, echoes, evaluation, features, models, parses, preparation, spiked
 
-MODULES = [features, models, corpus, echoes, complete, comparisons, evaluation, spiked, preparation]
+MODULES = [features, models, corpus, echoes, complete, comparisons, evaluation, spiked, preparation, parses]
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
