@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import sys
 import tempfile
+import types
 import uuid
 
 import pyarrow as pa
@@ -78,12 +80,24 @@ def key_of(*columns: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(",", *parts)))
 
 
-def give_back() -> None:
-    """Returns what this Python worker has freed to the system.
+def kept_in_worker() -> dict:
+    """What a worker keeps for its later tasks, by name.
+
+    Functions sent by value have no module of their own in the worker, so a
+    module made for the purpose holds it.
+    """
+    return sys.modules.setdefault("_lexiprint_worker", types.ModuleType("_lexiprint_worker")).__dict__
+
+
+def give_back(keep: str | None = None) -> None:
+    """Returns what this Python worker does not need to the system; of what it kept for later tasks only ``keep`` stays.
 
     A worker outlives its task; what one stage leaves in it would count beside
     the memory of the next.
     """
+    kept = kept_in_worker()
+    for name in [n for n in kept if n != keep and not n.startswith("__")]:
+        del kept[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # C libraries without it keep their own ways

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiprint.llm.common import give_back
+from lexiprint.llm.common import give_back, with_texts
 
 #: Weight of the lower order: so many counts of a context are as good as the order below.
 PRIOR = 2.0
@@ -43,6 +43,8 @@ PRIOR = 2.0
 BASE = 0.1
 #: Bytes of text in a block, and blocks whose n-grams a bucket sums.
 BLOCK, SHARED = 8 << 20, 2
+#: Bytes of text that a task packs at once.
+HELD_BYTES = 16 << 20
 SEED = 42
 #: Hash of the token that ends a text, which no word has as words hold no space.
 END = xxhash.xxh64_intdigest(b" ", SEED)
@@ -83,6 +85,37 @@ def unpacked(body: bytes) -> list[np.ndarray]:
     return out
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's documents packed by block, some megabytes of text at a time."""
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by("block")
+        block = rows["block"].to_numpy()
+        starts = _starts(block).tolist()
+        bodies = []
+        for a, e in zip(starts, [*starts[1:], len(block)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(a, e - a))
+            bodies.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), pa.array(bodies, pa.binary())], names=["block", "body"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size > HELD_BYTES:
+            yield packs(held)
+            held, size = [], 0
+    if held:
+        yield packs(held)
+
+
+def _texts(rows: pa.Table) -> pa.Table:
+    """The documents of a block."""
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in rows.column("body").to_pylist())
+
+
 class Block:
     """The documents of a block as one row of hashed tokens, each text closed by its end."""
 
@@ -155,7 +188,7 @@ def _first(buckets: int):
     """Words and bigrams of a block."""
 
     def run(texts: pa.Table) -> pa.Table:
-        b = Block(texts)
+        b = Block(_texts(texts))
         return _sent(texts.column("block")[0].as_py(), [_counted(b.words, b.learn), _counted(b.grams2, b.learn[b.at_two])], buckets)
 
     return run
@@ -230,7 +263,7 @@ def _second(buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
             return _sent(-1, [], buckets)
-        b = Block(texts)
+        b = Block(_texts(texts))
         at, _ = _settled(b, answers)[4]
         return _sent(texts.column("block")[0].as_py(), [_counted(b.grams3(at), b.learn[at])], buckets)
 
@@ -321,6 +354,7 @@ def _scores(texts: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     give_back()
     distinct, total = (texts.column(c)[0].as_py() or 0 for c in ("distinct", "total"))
+    texts = _texts(texts)
     size, known, base, score = zip(*_automata(Block(texts), answers, distinct, total))
     learn = texts.column("learn").to_pylist()
     held = [not x for x in learn]
@@ -341,7 +375,8 @@ def trigram_scores(docs: DataFrame, learn: str, block: int = BLOCK) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(learn).cast("boolean"), F.lit(False)).alias("learn"))
     blocks = math.ceil((rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0) / block) or 1
     buckets = math.ceil(blocks / SHARED)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
+    placed = with_texts(rows).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    dealt = placed.mapInArrow(_dealt, "block long, body binary").repartition(blocks, "block")
     by_bucket = lambda requests: requests.repartition(buckets, "bucket").groupBy("bucket")
     ones = by_bucket(dealt.groupBy("block").applyInArrow(_first(buckets), _REQUEST)).applyInArrow(_answers(1), _ANSWER)
     # both rounds read this exchange, and all of them that of the texts; nothing is filtered or left out behind it, or it would be made again

@@ -14,6 +14,7 @@ frequent, so each is found.  Only the frequent phrases reach plain rows.
 
 from __future__ import annotations
 
+import json
 import math
 import tempfile
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ LEAST, WORDS, TOP = 100, 5, 2000
 BLOCK, SHARED = 8 << 20, 2
 #: Memory of duckdb in a bucket; the rest is on the worker's own scratch disk, as Spark's sorts are, and goes with the task.
 MEMORY = "256MB"
-#: Distinct pieces, or bytes of them, that a task holds to count repetitions before it sends them.
-HELD, HELD_BYTES = 100_000, 16 << 20
+#: Bytes of text whose pieces a task holds to count repetitions before it sends them.
+HELD_BYTES = 16 << 20
 #: Stands for "all words" among the n-grams of a language; no n-gram is empty.
 ALL = b""
 UNKNOWN = "und"
@@ -56,60 +58,80 @@ def split_pieces(text: bytes | None) -> Iterator[bytes]:
             yield piece
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces with their multiplicities in a part of the task's texts."""
-    seen: Counter[tuple[str, bytes]] = Counter()
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        langs, pieces = zip(*seen)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary()), pa.array(seen.values(), pa.int64())], names=["lang", "piece", "m"])
-
-    for b in batches:
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-            seen.update((lang, p) for p in split_pieces(text))
-            size += len(text or b"")
-            if len(seen) > HELD or size > HELD_BYTES:
-                if seen:
-                    yield flush()
-                seen.clear()
-                size = 0
-    if seen:
-        yield flush()
-
-
-def _body(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _body(rows: pa.Table) -> bytes:
+    """``lang, gram, n`` rows, sorted by language, as compressed bytes: languages with their rows, lengths, numbers, all grams."""
+    langs, gram = rows["lang"].combine_chunks().dictionary_encode(), rows["gram"].combine_chunks()
+    ends = np.frombuffer(gram.buffers()[1], "<i4", len(gram) + 1, 4 * gram.offset)
+    head = json.dumps(list(zip(langs.dictionary.to_pylist(), np.bincount(langs.indices.to_numpy()).tolist()))).encode()
+    numbers = [np.array([len(head), len(gram)], "<i8").tobytes(), head, np.diff(ends).astype("<u4").tobytes(), rows["n"].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()]
+    raw = b"".join([*numbers, memoryview(gram.buffers()[2] or b"")[ends[0] : ends[-1]]])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _read(body: bytes) -> pa.Table:
-    return pa.ipc.open_stream(body).read_all()
+    """The rows given to ``_body``."""
+    raw = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+    head, n = np.frombuffer(raw, "<i8", 2).tolist()
+    at = 16 + head
+    langs = json.loads(raw[16:at])
+    ends = np.append(0, np.cumsum(np.frombuffer(raw, "<u4", n, at))).astype("<i4")
+    counts = np.frombuffer(raw, np.uint8, 8 * n, at + 4 * n).reshape(8, n).T.copy().view("<i8").ravel()
+    gram = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[at + 12 * n :])])
+    lang = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(langs), dtype=np.int32), [k for _, k in langs]), pa.array([x for x, _ in langs], pa.string()))
+    return pa.table([lang.cast(pa.string()), gram, pa.array(counts)], schema=_GRAMS)
+
+
+def _parted(counts: dict[str, Counter[bytes]], parts: int) -> tuple[list[int], list[bytes]]:
+    """The n-grams or pieces by hash: parts, and what falls in each."""
+    found = {"part": [], "lang": [], "gram": [], "n": []}
+    for lang, c in counts.items():
+        seed = zlib.crc32(lang.encode("utf-8", "replace"))
+        found["part"] += [zlib.crc32(g, seed) % parts for g in c]
+        found["lang"] += [lang] * len(c)
+        found["gram"] += c.keys()
+        found["n"] += c.values()
+    if not found["n"]:
+        return [], []
+    rows = pa.table(found, schema=pa.schema([("part", pa.int64()), *_GRAMS])).sort_by([("part", "ascending"), ("lang", "ascending"), ("gram", "ascending")])
+    part = rows["part"].to_numpy()
+    starts = np.nonzero(np.append(True, part[1:] != part[:-1]))[0].tolist()
+    return part[starts].tolist(), [_body(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(part)])]
+
+
+def _pieces(blocks: int):
+    """Pieces with their multiplicities in a part of the task's texts, packed by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter[bytes]] = {}
+        size = 0
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                seen.setdefault(lang, Counter()).update(split_pieces(text))
+                size += len(text or b"")
+                if size > HELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(_parted(seen, blocks), (pa.int64(), pa.binary()))], names=["block", "body"])
+                    seen, size = {}, 0
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(_parted(seen, blocks), (pa.int64(), pa.binary()))], names=["block", "body"])
+
+    return run
 
 
 def _by_language(texts: pa.Table) -> dict[str, Counter[bytes]]:
     """Multiplicity of each distinct piece of the block, by language."""
     out: dict[str, Counter[bytes]] = {}
-    for lang, piece, m in zip(*(texts.column(c).to_pylist() for c in ("lang", "piece", "m"))):
-        out.setdefault(lang, Counter())[piece] += m
+    for body in texts.column("body").to_pylist():
+        t = _read(body)
+        for lang, piece, m in zip(*(t.column(c).to_pylist() for c in ("lang", "gram", "n"))):
+            c = out.get(lang)
+            if c is None:
+                c = out[lang] = Counter()
+            c[piece] = c.get(piece, 0) + m
     return out
 
 
 def _packed(block: int, counts: dict[str, Counter[bytes]], buckets: int) -> pa.Table:
     """A row for each bucket that the block's n-grams fall in."""
-    found = {"bucket": [], "lang": [], "gram": [], "n": []}
-    for lang, c in counts.items():
-        found["bucket"] += [zlib.crc32(g) % buckets for g in c]
-        found["lang"] += [lang] * len(c)
-        found["gram"] += c.keys()
-        found["n"] += c.values()
-    table = pa.table(found, schema=pa.schema([("bucket", pa.int64()), *_GRAMS])).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("gram", "ascending")])
-    runs = pa.compute.run_end_encode(table["bucket"].combine_chunks()) if len(table) else None
-    ids, ends = (runs.values.to_pylist(), runs.run_ends.to_pylist()) if runs else ([], [])
-    grams = table.drop_columns("bucket")
-    bodies = [_body(grams.slice(a, e - a)) for a, e in zip([0, *ends], ends)]
+    ids, bodies = _parted(counts, buckets)
     return pa.table({"block": pa.array([block] * len(ids), pa.int64()), "bucket": pa.array(ids, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
 
@@ -193,7 +215,7 @@ def _sums(least: int):
         start = 0
         for block, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()) if ends else ():
             blocks.append(block)
-            bodies.append(_body(answer.slice(start, end - start).select(["lang", "gram", "n"])))
+            bodies.append(_body(answer.slice(start, end - start).select(_GRAMS.names).cast(_GRAMS)))
             start = end
         return pa.table({"block": pa.array(blocks, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
@@ -203,7 +225,7 @@ def _sums(least: int):
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for body in b.column("body").to_pylist():
-            yield from _read(body).cast(_GRAMS).to_batches()
+            yield from _read(body).to_batches()
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -215,9 +237,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = WORDS,
     rows = with_texts(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
     blocks = math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block) or 1
     buckets = math.ceil(blocks / SHARED)
-    pieces = rows.mapInArrow(_pieces, "lang string, piece binary, m long")
     # all three rounds read this exchange
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("lang", "piece"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
+    dealt = rows.mapInArrow(_pieces(blocks), "block long, body binary").repartition(blocks, "block")
 
     def summed(sent: DataFrame) -> DataFrame:
         return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sums(least), _ANSWER)

@@ -20,8 +20,6 @@ import json
 import os
 import re
 import struct
-import sys
-import types
 import uuid
 import zlib
 from array import array
@@ -40,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexiprint.llm.common import fresh_dir, give_back, with_texts
+from lexiprint.llm.common import fresh_dir, give_back, kept_in_worker, with_texts
 
 END = 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -284,12 +282,8 @@ class Encoder:
 
 
 def worker_encoder(path: str) -> Encoder:
-    """The process's encoder for ``path``, so that a worker's later tasks find its cache warm.
-
-    Functions sent by value have no module of their own in the worker; a module
-    made for the purpose holds the encoder.
-    """
-    kept = sys.modules.setdefault("_lexiprint_worker", types.ModuleType("_lexiprint_worker")).__dict__
+    """The process's encoder for ``path``, so that a worker's later tasks find its cache warm."""
+    kept = kept_in_worker()
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
@@ -322,7 +316,7 @@ def _writer(uri: str, tokenizer: str, end: int):
     tail = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(keep=tokenizer)
         place = TaskContext.get().partitionId()
         files, path = _open_dir(uri)
         encoder = worker_encoder(tokenizer)
