@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiprint.functions import text as T
+from lexiprint.operators import moments as M
 from lexiprint.operators.sequences import dot, following
 
 #: Profiles that may be held in one row (an array of centroids) at most.
@@ -49,10 +50,8 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def covariance(vectors: DataFrame) -> DataFrame:
-    """``model, i, j, cov`` (i <= j) of models with ``LEAST_SAMPLES`` vectors, as partial sums of products."""
-    pairs = vectors.select("model", F.posexplode("vec").alias("i", "a"), "vec").select("model", "i", "a", F.posexplode(F.slice("vec", F.col("i") + 1, F.size("vec"))).alias("k", "b"))
-    got = pairs.groupBy("model", "i", (F.col("i") + F.col("k")).alias("j")).agg(F.count(F.lit(1)).alias("n"), F.covar_samp(F.col("a").cast("double"), F.col("b").cast("double")).alias("cov"))
-    return got.filter(F.col("n") >= LEAST_SAMPLES).drop("n")
+    """``model, i, j, cov`` (i <= j) of models with ``LEAST_SAMPLES`` vectors, from one matrix a task and model."""
+    return M.covariances(M.moments(vectors), least=LEAST_SAMPLES)
 
 
 def family(model: Column, rules: list[tuple[str, str]]) -> Column:

@@ -1,14 +1,18 @@
-"""What follows a point on its path, for paths of any length."""
+"""What follows a point on its path, and where a path comes back to itself, for paths of any length."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiprint.functions import text as T
 
-#: Spans of positions, of about as many points each, in which a path is ordered on its own.
-SPANS = 256
+#: Points that a span of positions should hold, and spans at least where there is more than one.
+SPAN, LEAST_SPANS = 50_000, 8
+#: Points of a cell that are compared with each other in one task; fuller cells are compared piece by piece.
+PIECE = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,14 +27,24 @@ def span_of(at: Column, bounds: list, first: int = 0) -> Column:
     return F.when(at >= F.lit(float(bounds[half])), span_of(at, bounds[half + 1 :], first + half + 1)).otherwise(span_of(at, bounds[:half], first))
 
 
-def following(points: DataFrame, k: int, value: str = "vec", spans: int = SPANS) -> DataFrame:
+def following(points: DataFrame, k: int, value: str = "vec", spans: int | None = None) -> DataFrame:
     """``points`` (``path, pos`` and ``value``) with ``after``: the ``value`` of the next ``k`` points of the path, or fewer.
 
     A window over whole paths would bring a path to one task.  Positions are
     cut at quantiles; points are ordered within path and span, and what the
     last of a span need comes from the first ``k`` of the next spans, over a
-    row per path and span.  Positions are numbers and differ within a path.
+    row per path and span.  Positions are numbers and differ within a path; a
+    null path is one of its own.  There are as many ``spans`` as the longest
+    path needs for ``SPAN`` points in each, and one, without a further
+    exchange, if no path is longer than that.
     """
+    if spans is None:
+        longest = points.groupBy("path").count().agg(F.max("count")).first()[0] or 0
+        spans = 1 if longest <= SPAN else max(LEAST_SPANS, -(-longest // SPAN))
+    if spans == 1:
+        whole = Window.partitionBy("path").orderBy("pos")
+        ahead = F.filter(F.array(*(F.lead(F.struct(F.col(value).alias("x")), i).over(whole) for i in range(1, k + 1))), lambda s: s.isNotNull())
+        return points.withColumn("after", F.transform(ahead, lambda s: s["x"]))
     (bounds,) = points.agg(F.percentile_approx(F.col("pos").cast("double"), [i / spans for i in range(1, spans)], 16 * spans)).first()
     spanned = points.withColumn("span", span_of(F.col("pos").cast("double"), sorted(set(bounds or []))))
     inside = Window.partitionBy("path", "span").orderBy("pos")
@@ -40,7 +54,7 @@ def following(points: DataFrame, k: int, value: str = "vec", spans: int = SPANS)
     empty = F.slice("h", 1, 0)
     later = heads.select(F.col("path").alias("_path"), F.col("span").alias("_span"), F.slice(F.concat(*(F.coalesce(F.lead("h", i).over(by_span), empty) for i in range(1, k + 1))), 1, k).alias("later"))
     own = F.filter(F.array(*(F.lead(F.struct(F.col(value).alias("x")), i).over(inside) for i in range(1, k + 1))), lambda s: s.isNotNull())
-    joined = spanned.withColumn("own", F.transform(own, lambda s: s["x"])).join(later, (F.col("path") == F.col("_path")) & (F.col("span") == F.col("_span")))
+    joined = spanned.withColumn("own", F.transform(own, lambda s: s["x"])).join(later, F.col("path").eqNullSafe(F.col("_path")) & (F.col("span") == F.col("_span")))
     return joined.withColumn("after", F.slice(F.concat("own", "later"), 1, k)).drop("own", "later", "span", "_path", "_span")
 
 
@@ -56,3 +70,73 @@ def decay(points: DataFrame) -> DataFrame:
     whole = F.size("after") == 3
     lags = [F.avg(F.when(whole, cosine(F.col("vec"), F.get("after", i)))) for i in range(3)]
     return got.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(x, F.lit(0.0)).alias(f"decay_k{i + 1}") for i, x in enumerate(lags)))
+
+
+def _near(radius: str):
+    """Points of a cell that have a later or an earlier one within the path's radius, but for direct neighbours."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.array(rows["vec"].to_pylist(), dtype=np.float64)
+        pos, after, own = (rows[c].to_numpy() for c in ("pos", "next_pos", "own"))
+        r, same = rows[radius][0].as_py(), rows["left"][0].as_py() == rows["right"][0].as_py()
+        early, late = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+        square = (x * x).sum(axis=1)
+        for at in range(0, len(x), 256):
+            part = slice(at, at + 256)
+            far = square[part, None] + square - 2 * x[part] @ x.T
+            slack = 1e-9 * (square[part, None] + square + 1)
+            # only what may be near is measured
+            i, j = np.nonzero((far <= r * r + slack) & (pos > after[part, None]) & (same | (own != own[part, None])))
+            near = np.sqrt(((x[i + at] - x[j]) ** 2).sum(axis=1)) < r
+            early[i[near] + at] = True
+            late[j[near]] = True
+        found = [(p, True) for p in pos[early].tolist()] + [(p, False) for p in pos[late].tolist()]
+        return pa.table({"path": pa.array([rows["path"][0].as_py()] * len(found), rows.schema.field("path").type), "pos": pa.array([p for p, _ in found], pa.float64()), "early": pa.array([e for _, e in found], pa.bool_())})
+
+    return run
+
+
+def returns(points: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``path, n, return_rate, orbit_rate`` of ``path, pos, vec``: how often a path comes back within half its mean jump.
+
+    ``return_rate`` is the share of points with a later one that near, their
+    direct successor left out; a path without jumps takes 0.1 as its radius.
+    ``orbit_rate`` is the share of the points from the third on with an
+    earlier one that near, their direct predecessor left out.  Fewer than
+    three points give 0s.  Vectors that are null or of another length than
+    the path's first take no part, but count as points.
+
+    Two pivots of the path, its first point and the one farthest from it, give
+    each point two distances; points within the radius differ by it at most in
+    both.  So points are dealt to cells of that size, each to its own and the
+    next in either direction, and only points of a cell meet; a cell of more than
+    ``piece`` points is cut in pieces and every two pieces meet in a task of
+    their own.
+    """
+    kind = points.schema["path"].dataType.simpleString()
+    pos = F.col("pos").cast("double")
+    vec = F.col("vec").cast("array<double>")
+    base = points.select("path", pos.alias("pos"), vec.alias("vec"))
+    ahead = following(base.withColumn("both", F.struct("pos", "vec")), 1, value="both")
+    length = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    ahead = ahead.withColumns({"next_pos": F.get("after", F.lit(0))["pos"], "jump": length(F.col("vec"), F.get("after", F.lit(0))["vec"])}).drop("after", "both")
+    stats = ahead.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.avg("jump").alias("jump"), F.min_by("vec", "pos").alias("p1"))
+    on = lambda side: F.col("path").eqNullSafe(F.col(side))
+    radius = F.when(F.col("jump") > 0, F.col("jump") / 2).otherwise(0.1)
+    first = stats.filter("n >= 3").select(F.col("path").alias("_path"), radius.alias("radius"), "p1")
+    met = ahead.join(first, on("_path")).drop("_path").filter(F.size("vec") == F.size("p1")).withColumn("d1", length(F.col("vec"), F.col("p1")))
+    second = met.groupBy("path").agg(F.max_by("vec", "d1").alias("p2")).withColumnRenamed("path", "_path")
+    met = met.join(second, on("_path")).drop("_path").withColumn("d2", length(F.col("vec"), F.col("p2")))
+    # a little wider than the radius, so that rounding parts no pair
+    cell = lambda d: F.floor(F.col(d) / (F.col("radius") * (1 + 1e-9)))
+    near = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1))
+    dealt = met.select("path", "pos", "next_pos", "vec", "radius", cell("d1").alias("a0"), cell("d2").alias("b0")).withColumn("a", near("a0")).withColumn("b", near("b0")).drop("a0", "b0")
+    full = dealt.groupBy("path", "a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select(F.col("path").alias("_path"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.ceil(F.col("m") / piece).cast("int").alias("pieces"))
+    cut = dealt.join(full, on("_path") & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).withColumn("own", F.pmod(F.xxhash64("pos"), F.col("pieces")).cast("int"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("path", "a", "b", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "pos", F.coalesce("next_pos", F.lit(float("inf"))).alias("next_pos"), "vec", "radius")
+    found = spread.groupBy("path", "a", "b", "left", "right").applyInArrow(_near("radius"), f"path {kind}, pos double, early boolean").distinct()
+    marks = found.groupBy("path").agg(F.count_if("early").alias("early"), F.count_if(~F.col("early")).alias("late")).withColumnRenamed("path", "_path")
+    both = stats.select("path", "n", "jump").join(marks, on("_path"), "left")
+    share = lambda c, of: F.coalesce(F.col(c), F.lit(0)) / F.greatest(of, F.lit(1))
+    # without jumps the second kind has a radius of 0
+    return both.select("path", "n", F.when(F.col("n") >= 3, share("early", F.col("n"))).otherwise(0.0).alias("return_rate"), F.when((F.col("n") >= 3) & (F.col("jump") > 0), share("late", F.col("n") - 2)).otherwise(0.0).alias("orbit_rate"))

@@ -73,3 +73,48 @@ def test_claims(spark):
     assert got[2]["alert"] == "Claimed m2 but fingerprint matches m1" and got[2]["claim_confidence"] == 0.0
     ranks = evaluation.alternatives(vectors.filter("id = 1"), centres).orderBy("rank").collect()
     assert [r["model"] for r in ranks] == ["m1", "m3", "m2"] and [ranks[0]["confidence"], ranks[2]["confidence"]] == [1.0, 0.0]
+
+
+def plain_returns(rows):
+    out = {}
+    for p, vs in by_path([r for r in rows if r[0] is not None]).items():
+        far = [[math.dist(a, b) for b in vs] for a in vs]
+        n = len(vs)
+        jump = sum(far[i][i + 1] for i in range(n - 1)) / (n - 1) if n > 1 else 0
+        near = lambda i, j, r: far[i][j] < r
+        again = sum(any(near(i, j, jump / 2 if jump > 0 else 0.1) for j in range(i + 2, n)) for i in range(n)) / n
+        orbit = sum(any(near(i, j, jump / 2) for j in range(i - 1)) for i in range(2, n)) / max(n - 2, 1)
+        out[p] = (n, again, orbit) if n >= 3 else (n, 0, 0)
+    return out
+
+
+@pytest.mark.parametrize("piece", [7, 2048])
+def test_returns_match_brute_force(spark, monkeypatch, piece):
+    r = random.Random(5)
+    rows = [("walk", i, [r.gauss(0, 1), r.gauss(0, 1)]) for i in range(300)] + [("still", i, [0.5, 0.5]) for i in range(40)] + [("two", i, [float(i), 0.0]) for i in range(2)]
+    rows += [("line", i, [float(i), 0.0]) for i in range(50)] + [("loop", i, [math.cos(i / 9), math.sin(i / 9)]) for i in range(200)] + [("wide", i, [r.gauss(0, 1) for _ in range(2)]) for i in range(9)]
+    points = spark.createDataFrame(rows, "path string, pos long, vec array<double>")
+    want = plain_returns(rows)
+    got = {x["path"]: (x["n"], x["return_rate"], x["orbit_rate"]) for x in sequences.returns(points, piece).collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+    assert 0 < got["walk"][1] < 1 and got["still"][1] == 38 / 40 and got["line"][1] == 0 and got["loop"][2] > 0
+    # spans leave all as it is
+    monkeypatch.setattr(sequences, "SPAN", 40)
+    again = {x["path"]: (x["n"], x["return_rate"], x["orbit_rate"]) for x in sequences.returns(points, piece).collect()}
+    assert again == got
+
+
+def test_returns_of_awkward_rows(spark):
+    rows = [(None, i, [0.0, float(i % 2)]) for i in range(6)] + [("x", 1, None), ("x", 2, [1.0]), ("x", 3, [1.0, 2.0]), ("x", 4, [1.0])]
+    points = spark.createDataFrame(rows, "path string, pos long, vec array<double>")
+    got = {x["path"]: tuple(x)[1:] for x in sequences.returns(points).collect()}
+    assert got[None] == (6, pytest.approx(4 / 6), pytest.approx(1)) and got["x"][0] == 4
+    assert sequences.returns(spark.createDataFrame([], "path string, pos long, vec array<double>")).count() == 0
+    assert {x["path"]: x["n"] for x in profiles.trajectory(points.filter("path is null")).collect()} == {None: 6}
+
+
+def test_a_long_path_is_not_compared_pair_by_pair(spark):
+    """On a line of many points each cell holds few of them."""
+    points = spark.range(60_000).selectExpr("'p' as path", "id as pos", "array(id + 0.25D * (id % 2), 1D) as vec")
+    row = sequences.returns(points).first()
+    assert (row["n"], row["return_rate"], row["orbit_rate"]) == (60_000, 0.0, 0.0)
