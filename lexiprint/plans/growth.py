@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiprint.operators import merging as M
 from lexiprint.operators import sequences as S
 from lexiprint.operators import subsets as B
+from lexiprint.operators.budget import within
+from lexiprint.operators.embedding import text_paths
 from lexiprint.operators.store import Store
 from lexiprint.plans.models import _BASE, _vectors, rounded
 from lexiprint.sources.shared import fresh_dir
@@ -36,7 +39,35 @@ def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.judged(B.predictions(v, SUBSETS), SUBSETS))
 
 
+def _corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables as corpora of unlike schema; the second holds all texts of the first that its identifiers' thirds name."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    docs = table("documents")
+    return M.merge({
+        "documents": docs.select(F.col("doc_id").alias("Sample_ID"), "text", F.col("lang").alias("domain"), F.col("source").alias("model"), F.col("n_chars").cast("string").alias("temperature")),
+        "turns": table("conversations").select("text", F.col("role").alias("model_id"), F.col("conv_id").alias("seed_id"), F.lit("x").alias("temperature")).unionByName(docs.filter("doc_id % 3 = 0").select("text"), allowMissingColumns=True),
+        "items": table("benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("sample_id"), "text", F.lit("").alias("domain"), F.lit("formal").alias("prompt_style")),
+    })
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpora(spark, sf_dir).select("sample_id", "seed_id", "domain", "model_id", "model_family", "model_name", "prompt_style", "temperature", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "word_count", "char_count", "sentence_count", "source", F.array_join("sources", " ").alias("sources"), "copies")
+
+
+BUDGET = 5_000_000_000
+
+
+def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by date until their prices, in cents, have used up the budget; windows of a thousand rows at most."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return within(orders, "at", "o_orderkey", F.col("cents"), BUDGET, light=1000).select("o_orderkey", "cents", "running")
+
+
 QUERIES = {
+    "merged_corpus": _merged,
+    "merged_statistics": lambda spark, sf_dir: M.statistics(_corpora(spark, sf_dir)),
+    "orders_within_budget": _bought,
+    "text_paths": lambda spark, sf_dir: rounded(text_paths(spark.read.parquet(f"{sf_dir}/documents.parquet"))),
     "stored_profiles": _stored,
     "path_returns": lambda spark, sf_dir: rounded(S.returns(_walks(spark, sf_dir))),
     "vector_path_returns": lambda spark, sf_dir: rounded(S.returns(_vectors(spark, sf_dir).select(F.col("model").alias("path"), F.col("id").alias("pos"), "vec"))),
@@ -60,7 +91,25 @@ select sizes.path, n, {_r("coalesce(early.c, 0) / n", "return_rate")}, {_r("coal
 
 
 _PLACES = ", ".join(f"('{k}', {v})" for k, v in SUBSETS.items())
+_MERGED = r"""d as (select doc_id, text, lang, source, n_chars from documents),
+s as (
+    select 0 as place, 'documents' as source, doc_id::varchar as sample_id, null as seed_id, lang as domain, source as model_id, null as style, n_chars::double as temperature, coalesce(text, '') as text from d
+    union all select 1, 'turns', null, conv_id::varchar, null, role, null, null, coalesce(text, '') from conversations
+    union all select 1, 'turns', null, null, null, null, null, null, coalesce(text, '') from d where doc_id % 3 = 0
+    union all select 2, 'items', 'item ' || item_id, null, null, null, 'formal', null, coalesce(text, '') from benchmark),
+f as (select place, source, coalesce(nullif(sample_id, ''), 'sample_' || sha256(text)[:12]) as sample_id, coalesce(nullif(seed_id, ''), 'unknown') as seed_id, coalesce(nullif(domain, ''), 'unknown') as domain, coalesce(nullif(model_id, ''), 'unknown') as model_id,
+    coalesce(style, 'neutral') as prompt_style, coalesce(temperature, 0.7) as temperature, text from s),
+g as (select *, row_number() over (partition by text order by place, sample_id, seed_id, domain, model_id) as nr, count(*) over (partition by text) as copies from f),
+h as (select text, array_to_string(list_sort(list(distinct source)), ' ') as sources from f group by text),
+merged as (select sample_id, seed_id, domain, model_id, 'unknown' as model_family, lower(model_id) as model_name, prompt_style, temperature::double as temperature, sha256(text) as text_sha256,
+    len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::bigint as word_count, length(text)::bigint as char_count, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_matches(x, '\S')))::bigint as sentence_count, source, sources, copies
+    from g join h using (text) where nr = 1)"""
 ORACLES = {
+    "merged_corpus": f"with {_MERGED} select * from merged",
+    "merged_statistics": f"""with {_MERGED} select case when grouping(model_name) = 0 then 'model_name' when grouping(model_family) = 0 then 'model_family' when grouping(domain) = 0 then 'domain' when grouping(prompt_style) = 0 then 'prompt_style' when grouping(source) = 0 then 'source' else 'all' end as kind,
+    coalesce(model_name, model_family, domain, prompt_style, source) as value, count(*) as samples, sum(copies)::bigint as copies, sum(word_count)::bigint as words from merged group by grouping sets ((), (model_name), (model_family), (domain), (prompt_style), (source))""",
+    "orders_within_budget": f"""with o as (select o_orderkey, round(o_totalprice * 100)::bigint as cents, sum(round(o_totalprice * 100)::bigint) over (order by o_orderdate, o_orderkey rows unbounded preceding) as running from orders)
+select o_orderkey, cents, running::bigint as running from o where running <= {BUDGET}""",
     "stored_profiles": f"with {_BASE} select model, count(*) as n, dim, {_r('avg(x)', 'mean')}, {_r('stddev_samp(x)', 'sd')} from l group by model, dim",
     "path_returns": _returns_sql("select user_id as path, event_id as pos, [value, 10.0::double * list_position([" + ", ".join(f"'{k}'" for k in KINDS) + "], event_type)] as vec from events"),
     "vector_path_returns": _returns_sql("select 'm' || label as path, vec_id as pos, list_transform(embedding, lambda x: x::double) as vec from embeddings"),
