@@ -85,11 +85,9 @@ def split(docs: DataFrame, group: str, train: float = 0.8, val: float = 0.1) ->
 
 def counts_by(docs: DataFrame, *keys: str) -> DataFrame:
     """``kind, value, n``: counts by each key on its own, in one pass of grouping sets."""
-    docs.select(*keys).createOrReplaceTempView("_counts_by")
-    chosen = " ".join(f"when grouping({k}) = 0 then '{k}'" for k in keys)
-    value = ", ".join(f"if(grouping({k}) = 0, cast({k} as string), null)" for k in keys)
-    sets = ", ".join(f"({k})" for k in keys)
-    return docs.sparkSession.sql(f"select case {chosen} end as kind, coalesce({value}) as value, count(*) as n from _counts_by group by grouping sets ({sets})")
+    got = docs.groupingSets([[F.col(k)] for k in keys], *(F.col(k) for k in keys)).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(k).alias(f"_{k}") for k in keys))
+    held = lambda k: F.col(f"_{k}") == 0
+    return got.select(F.coalesce(*(F.when(held(k), k) for k in keys)).alias("kind"), F.coalesce(*(F.when(held(k), F.col(k).cast("string")) for k in keys)).alias("value"), "n")
 
 
 def answers(conversations: DataFrame, least: int = 50, most: int = 2000) -> DataFrame:
