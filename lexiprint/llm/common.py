@@ -44,6 +44,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``fresh_dir`` that nothing reads any more; one that cannot be removed stays."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is not below the shared folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder; lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

@@ -317,6 +317,7 @@ def _automata(b: Block, answers: pa.Table, distinct: int, total: int) -> Iterato
     if len(asked):
         _, which = np.unique(b.grams3(asked), return_inverse=True)
         c3[asked] = (_sums(answers, 2)[0] >> 1)[which]
+    b.pairs = b.grams2 = b.at_two = b.two = b.three = b.learn = None  # no longer needed, and as large as the words
     base = (c1 + BASE) / (total + BASE * (distinct + 1))
     # by the place of an n-gram's first word
     at2, at3 = np.nonzero(c2)[0], np.nonzero(c3)[0]
