@@ -11,9 +11,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lexiprint.functions import text as T
 
@@ -24,7 +26,8 @@ SENTENCE = r"(?<=[.!?])\s+"
 CLAUSE = r"(?i)(?<=[,;:])\s+|\s*—\s*|\s+(?:but|and|or|yet|so|however|therefore|thus|although|while)\s+"
 #: Vectors that a worker keeps.
 KEPT = 20_000
-_SCHEMA = "doc_id long, waypoints long, concept_jump_mean double, concept_jump_variance double, path_tortuosity double, turning_angle_mean double, return_rate double"
+FEATURES = ["concept_jump_mean", "concept_jump_variance", "path_tortuosity", "turning_angle_mean", "return_rate"]
+_SCHEMA = ", ".join(["doc_id long", "waypoints long", *(f"{f} double" for f in FEATURES)])
 
 
 def clauses_of(text: Column) -> Column:
@@ -63,6 +66,29 @@ def path_features(x: np.ndarray) -> tuple[float, float, float, float, float]:
     return mean, float(size.var()), float(straight), float(angles.mean()) if len(angles) else 0.0, back / max(len(x) - 2, 1)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def path_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``path_features`` of arrays of clauses."""
+    known: dict[str, np.ndarray] = {}
+    for b in batches:
+        found = []
+        for clauses in b:
+            x = np.stack([known[c] if c in known else known.setdefault(c, hash_vector(c)) for c in clauses]) if clauses is not None and len(clauses) else np.zeros((0, DIM))
+            found.append(list(path_features(x)))
+            if len(known) > KEPT:
+                known.clear()
+        yield pd.Series(found)
+
+
+def prepare_a(df: DataFrame) -> DataFrame:
+    return df.withColumn("a_path", path_vector(clauses_of(F.col("text"))))
+
+
+def layer_a() -> dict[str, Column]:
+    """The path of a text's clauses by hash vectors."""
+    return {name: F.get("a_path", F.lit(i)) for i, name in enumerate(FEATURES)}
+
+
 def text_paths(docs: DataFrame, dim: int = DIM) -> DataFrame:
     """``doc_id, waypoints`` and the path's features of every text; a null text has none."""
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiprint.operators import complete, dynamics, layers, stance, statistical, style, structure
+from lexiprint.operators import complete, dynamics, embedding, layers, stance, statistical, style, structure
 from lexiprint.operators.parts import with_parts
 
 Prepare = Callable[[DataFrame], DataFrame]
@@ -52,6 +52,7 @@ for _group in (
     Group("fractal", dynamics.fractal, (dynamics.prepare,)),
     Group("layer_e", layers.layer_e, (layers.prepare_e,)),
     Group("layer_e_compression", layers.layer_e_compression, (layers.prepare_e,), arrow=True),
+    Group("layer_a", embedding.layer_a, (embedding.prepare_a,), arrow=True),
     Group("layer_b", layers.layer_b, (layers.prepare_b,)),
     Group("layer_c1", stance.layer_c1, (structure.prepare, stance.prepare)),
     Group("layer_c2", stance.layer_c2, (structure.prepare, stance.prepare)),
@@ -102,6 +103,26 @@ def vector(features: DataFrame) -> DataFrame:
     return features.select("doc_id", F.array(*names).alias("vector"))
 
 
+# The named vectors, in their order; a layer stands for all its features here listed.
+LAYERS = {
+    "A": [("layer_a", f) for f in embedding.FEATURES],
+    "B": [("layer_b", f) for f in ("phonetic_mean", "phonetic_std", "phonetic_max", "structural_mean", "structural_std", "structural_max", "semantic_mean", "semantic_std", "semantic_max", "cooccurrence_rate", "geometric_mean", "overall_mean", "overall_std", "overall_max", "burstiness")],
+    "C1": [("layer_c1", f) for f in ("hedge_density", "hedge_clustering", "hedge_position_bias", "confidence_mean", "confidence_variance", "confidence_arc")],
+    "C2": [("layer_c2", f) for f in ("additive_rate", "contrastive_rate", "causal_rate", "temporal_rate", "exemplifying_rate", "reformulating_rate")],
+    "D": [("layer_d", f) for f in ("clause_length_mean", "clause_length_std", "clause_rhythm_autocorr", "sentence_complexity", "comma_density", "semicolon_rate", "parenthetical_rate")],
+    "E": [("layer_e", "sentence_length_cv"), ("layer_e", "paragraph_length_cv"), ("layer_e", "type_token_ratio"), ("layer_e_compression", "compression_ratio"), ("layer_e", "list_marker_rate"), ("layer_e", "hapax_legomena_ratio")],
+    "tortuosity": [("layer_a", "path_tortuosity")],
+}
+VIEWS = {"fast": ["E", "tortuosity"], "medium": ["E", "A", "B"], "old": ["A", "C1", "C2", "D"], "long": ["A", "B", "C1", "C2", "D"], "full": ["A", "B", "C1", "C2", "D", "E"]}
+
+
+def view(docs: DataFrame, name: str) -> DataFrame:
+    """``doc_id, vector``: one of ``VIEWS``, of 7, 26, 24, 39 or 45 numbers; only the groups it needs are worked out."""
+    places = [p for layer in VIEWS[name] for p in LAYERS[layer]]
+    found = extract(docs, list(dict.fromkeys(g for g, _ in places)))
+    return found.select("doc_id", F.array(*(F.col(f"{g}_{k}") for g, k in places)).alias("vector"))
+
+
 def flat(features: DataFrame) -> DataFrame:
     """Bare feature names; where groups share one, the later registered group counts."""
     names = {k: f"{g}_{k}" for g in GROUPS for k in GROUPS[g].features() if f"{g}_{k}" in features.columns}

@@ -9,7 +9,9 @@ from lexiprint.operators import merging as M
 from lexiprint.operators import sequences as S
 from lexiprint.operators import subsets as B
 from lexiprint.operators.budget import within
+from lexiprint.operators.cascade import FIRST, SECOND, cascade, text_tiers
 from lexiprint.operators.embedding import text_paths
+from lexiprint.operators.registry import view
 from lexiprint.operators.store import Store
 from lexiprint.plans.models import _BASE, _vectors, rounded
 from lexiprint.sources.shared import fresh_dir
@@ -64,9 +66,11 @@ def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "text_cascade": lambda spark, sf_dir: rounded(cascade(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), text_tiers())),
     "merged_corpus": _merged,
     "merged_statistics": lambda spark, sf_dir: M.statistics(_corpora(spark, sf_dir)),
     "orders_within_budget": _bought,
+    "vector_full": lambda spark, sf_dir: view(spark.read.parquet(f"{sf_dir}/documents.parquet"), "full").select("doc_id", F.transform("vector", lambda x: F.round(x + F.lit(1e-10), 6)).alias("vector")),
     "text_paths": lambda spark, sf_dir: rounded(text_paths(spark.read.parquet(f"{sf_dir}/documents.parquet"))),
     "stored_profiles": _stored,
     "path_returns": lambda spark, sf_dir: rounded(S.returns(_walks(spark, sf_dir))),
@@ -104,7 +108,16 @@ h as (select text, array_to_string(list_sort(list(distinct source)), ' ') as sou
 merged as (select sample_id, seed_id, domain, model_id, 'unknown' as model_family, lower(model_id) as model_name, prompt_style, temperature::double as temperature, sha256(text) as text_sha256,
     len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::bigint as word_count, length(text)::bigint as char_count, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_matches(x, '\S')))::bigint as sentence_count, source, sources, copies
     from g join h using (text) where nr = 1)"""
+_CASCADE = rf"""with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (select *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as words, list_filter(list_transform(regexp_split_to_array(text, '[,;.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as parts from t),
+m as (select *, (length(text) - length(replace(text, ',', ''))) * 100 / greatest(length(text), 1) as commas, len(list_distinct(list_transform(words, lambda x: lower(x)))) / greatest(len(words), 1) as variety,
+    len(list_filter(words, lambda x: length(x) > 8)) / greatest(len(words), 1) as long_words, list_transform(parts, lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda x: x <> ''))::double) as sizes from w),
+s as (select doc_id, 1 / (1 + exp(-((commas - 1.2) * 4))) as a, 1 / (1 + exp(-((0.6 - variety) * 5))) as b,
+    1 / (1 + exp(-((0.7 - case when len(sizes) > 1 and list_avg(sizes) > 0 then list_stddev_pop(sizes) / list_avg(sizes) else 0 end) * 3 + (long_words - 0.15) * 5))) as c from m),
+r as (select doc_id, case when greatest(a, 1 - a) >= {FIRST} then 'commas' when greatest(b, 1 - b) >= {SECOND} then 'variety' else 'shapes' end as tier, case when greatest(a, 1 - a) >= {FIRST} then a when greatest(b, 1 - b) >= {SECOND} then b else c end as ai from s)
+select doc_id, tier, round(ai + 1e-10, 6) as ai, case when ai >= 0.5 then 'ai' else 'human' end as label from r"""
 ORACLES = {
+    "text_cascade": _CASCADE,
     "merged_corpus": f"with {_MERGED} select * from merged",
     "merged_statistics": f"""with {_MERGED} select case when grouping(model_name) = 0 then 'model_name' when grouping(model_family) = 0 then 'model_family' when grouping(domain) = 0 then 'domain' when grouping(prompt_style) = 0 then 'prompt_style' when grouping(source) = 0 then 'source' else 'all' end as kind,
     coalesce(model_name, model_family, domain, prompt_style, source) as value, count(*) as samples, sum(copies)::bigint as copies, sum(word_count)::bigint as words from merged group by grouping sets ((), (model_name), (model_family), (domain), (prompt_style), (source))""",

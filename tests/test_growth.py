@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiprint.operators import budget, embedding, merging
+from lexiprint.operators import budget, cascade, embedding, merging, registry
+from lexiprint.plans import growth
 
 
 def test_sources_of_unlike_schema(spark):
@@ -85,3 +86,46 @@ def test_paths_of_texts(spark):
 def test_hash_vectors_are_the_documented_ones():
     want = np.random.RandomState(int(hashlib.md5("to be or not".encode()).hexdigest()[:8], 16)).randn(384)
     np.testing.assert_array_equal(embedding.hash_vector("to be or not"), want)
+
+
+def test_later_tiers_see_what_is_left(spark):
+    asked = []
+
+    def tier(name, values, sure):
+        def score(df):
+            asked.append((name, sorted(r["doc_id"] for r in df.select("doc_id").collect())))
+            return df.withColumn("ai", F.coalesce(*(F.when(F.col("doc_id") == k, F.lit(v).cast("double")) for k, v in values.items())))
+
+        return cascade.Tier(name, score, sure)
+
+    docs = spark.createDataFrame([(i, "x") for i in range(5)], "doc_id long, text string")
+    tiers = [tier("a", {0: 0.95, 1: 0.5, 2: 0.1, 3: None, 4: 0.8}, 0.85), tier("b", {1: 0.2, 3: 0.6, 4: 0.5}, 0.7), tier("c", {3: 0.49, 4: None}, 0.0)]
+    got = {r["doc_id"]: (r["tier"], r["ai"], r["label"]) for r in cascade.cascade(docs, tiers).collect()}
+    assert asked == [("a", [0, 1, 2, 3, 4]), ("b", [1, 3, 4]), ("c", [3, 4])]
+    assert got == {0: ("a", 0.95, "ai"), 2: ("a", 0.1, "human"), 1: ("b", 0.2, "human"), 3: ("c", 0.49, "human"), 4: ("c", None, None)}
+
+
+def test_costly_features_stand_above_a_filter(spark):
+    plan = growth.QUERIES["text_cascade"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    branch = text[text.rindex("shapes") :] if "shapes" in text else text
+    assert text.count("array_distinct") >= 1 and "Filter" in branch
+    assert {r["tier"] for r in plan.select("tier").distinct().collect()} == {"commas", "variety", "shapes"}
+
+
+def test_named_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).unionByName(spark.createDataFrame([(None, None)], "doc_id long, text string"), allowMissingColumns=True)
+    sizes = {"fast": 7, "medium": 26, "old": 24, "long": 39, "full": 45}
+    whole = {r["doc_id"]: r["vector"] for r in registry.view(docs, "full").collect()}
+    paths = {r["doc_id"]: tuple(r)[2:] for r in embedding.text_paths(docs).collect()}
+    light = {r["doc_id"]: r for r in registry.extract(docs, ["layer_e", "layer_e_compression"]).collect()}
+    assert len(whole) == 41
+    for i, v in whole.items():
+        assert len(v) == 45 and tuple(v[:5]) == paths[i]
+        assert v[39] == light[i]["layer_e_sentence_length_cv"] and v[42] == light[i]["layer_e_compression_compression_ratio"]
+    for name, size in sizes.items():
+        got = {r["doc_id"]: r["vector"] for r in registry.view(docs, name).collect()}
+        assert all(len(v) == size for v in got.values())
+        assert got == {i: {"fast": v[39:] + [v[2]], "medium": v[39:] + v[:20], "old": v[:5] + v[20:39], "long": v[:39], "full": v}[name] for i, v in whole.items()}
+    plan = registry.view(docs, "old")._jdf.queryExecution().optimizedPlan().toString()
+    assert "gzip" not in plan
