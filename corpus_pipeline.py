@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiprint.llm import decontaminate, mixing, nearcopies, sstable, toxicity
-from lexiprint.llm.common import fresh_dir
+from lexiprint.llm.common import fresh_dir, remove_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written as Parquet and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what each returns is written as Parquet and read again, and goes when the next is written.
+
+    The last stage writes its shards before it returns; they stay.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove_dir(spark, before)
+        before = path
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    if before:
+        remove_dir(spark, before)
+    return result
