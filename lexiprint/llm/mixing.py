@@ -167,7 +167,10 @@ def fit(docs: DataFrame, domains: DataFrame, names: list[str]) -> Classifier | N
     drawn = np.bincount(labels, minlength=len(names))
     scale = np.array([sizes.get(n, 0) / max(1, drawn[i]) for i, n in enumerate(names)])
     weights = scale[labels] / (scale[labels].mean() or 1)
-    return train(rows, labels, names, np.minimum(weights, 10).astype(np.float32))
+    model = train(rows, labels, names, np.minimum(weights, 10).astype(np.float32))
+    del got, rows
+    give_back()
+    return model
 
 
 class _Judge:

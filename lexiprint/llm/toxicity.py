@@ -270,6 +270,7 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
     are.  Of rows with one doc_id the text
     of least hash is learned from.
     """
+    give_back()
     known = _known(labels)
     sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     if len(sizes) < 2:
@@ -303,6 +304,8 @@ def _fit(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, DataFrame |
     weights = np.minimum(weights / weights.mean(), 10).astype(np.float32)
     at = np.nonzero(fitted)[0]
     model = train([data[i] for i in at], y[at], weights[at])
+    del rows, data
+    give_back()
     return model, known.join(F.broadcast(seen.select(F.col("_id").alias("_seen"))), F.col("_id") == F.col("_seen"), "left_anti")
 
 
