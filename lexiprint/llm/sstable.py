@@ -49,7 +49,7 @@ _INDEX = "<9sQIQI"  # first key, offset, length, ids before, rows
 BLOCK = 1 << 18
 BLOOM_BITS = 10
 #: Bytes that a generation of a worker's cache may take, about; it keeps two.
-CACHE = 48 << 20
+CACHE = 128 << 20
 #: Bytes of a cached piece beside its text and ids: two objects and a place in the table.
 _ENTRY = 200
 #: Bytes of text for each shard file, unless the session's shuffle partitions are more.
@@ -59,7 +59,7 @@ _ENDS = tuple(".,;:!?")
 #: White space that is no single space or line break, or stands at an end.
 _ODD = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  |\n\n| \n|\n |^[ \n]|[ \n]$"
 #: Bytes of text encoded in one go.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
 #: Pieces encoded together.
 _LINES = 20_000
 
@@ -234,7 +234,7 @@ class Encoder:
         old = pieces.intersection(before)
         known.update((p, before[p]) for p in old)
         new = pieces - old
-        ended = [p for p in new if p[-1:] in _ENDS and "A" <= p[-2:-1] < "\u0250" and p[-2].isalpha()]
+        ended = [p for p in new if p.endswith(_ENDS) and "A" <= p[-2:-1] < "\u0250" and p[-2].isalpha()]
         stems = {p[:-1] for p in ended}.difference(known)
         old = stems.intersection(before)
         known.update((p, before[p]) for p in old)
@@ -245,7 +245,8 @@ class Encoder:
         filled = [p for p in broken if p != "\n"]
         known.update(zip(filled, map(self.head.__add__, self._lines([p[1:] for p in filled], ""))))
         known.update((p, known[p[:-1]] + self.ends[p[-1]]) for p in ended)
-        self.held += sum(_ENTRY + len(p) + len(known[p]) for p in chain(pieces, stems))
+        for some in (pieces, stems):
+            self.held += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, map(known.__getitem__, some)))
 
     def batch(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """Little-endian id bytes of each text, none of them null."""
