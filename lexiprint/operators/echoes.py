@@ -2,17 +2,21 @@
 
 Clauses end at sentence marks, commas, semicolons, colons and dashes. Every
 word that is no function word is a content word; its sound is its spelling in
-capitals, as for words that no pronunciation dictionary has. Without sentence
-vectors the semantic score stands at its neutral 0.5.
+capitals, as for words that no pronunciation dictionary has. The semantic score
+is taken from word vectors where these are given; without them, and where a
+zone has none, it stands at its neutral 0.5.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiprint.functions import text as T
 from lexiprint.operators import lexicons as L
+from lexiprint.operators.sequences import dot
 from lexiprint.operators.statistical import syllables
 
 ZONE = 3
@@ -46,8 +50,29 @@ def pairs(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "pair", kind.alias("kind"), last.alias("zone_a"), F.slice("b.content", 1, ZONE).alias("zone_b")).filter("kind is not null")
 
 
+def zone_vectors(pair_rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``pair_rows`` with ``vec_a, vec_b``: the means of the zones' word vectors (``word, vec``), null where no word has one.
+
+    Words meet vectors in a join by word; repeated words count each time, and
+    vectors have one length.
+    """
+    side = lambda k: F.transform(f"zone_{k}", lambda w: F.struct(F.lit(k).alias("side"), w.alias("word")))
+    sides = F.concat(side("a"), side("b"))
+    words = pair_rows.select("doc_id", "pair", F.explode(sides).alias("x")).select("doc_id", "pair", "x.side", "x.word")
+    means = words.join(vectors.select("word", array_to_vector(F.col("vec").cast("array<double>")).alias("vec")), "word").groupBy("doc_id", "pair", "side").agg(vector_to_array(Summarizer.mean(F.col("vec"))).alias("vec"))
+    both = means.groupBy("doc_id", "pair").agg(*(F.any_value(F.when(F.col("side") == k, F.col("vec")), True).alias(f"vec_{k}") for k in "ab"))
+    named = both.withColumnsRenamed({"doc_id": "_doc", "pair": "_pair"})
+    return pair_rows.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pair") == F.col("_pair")), "left").drop("_doc", "_pair")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Cosine on a scale from 0 to 1; 0.5 where a vector is missing or has no length."""
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.coalesce(F.when(size > 0, T.clamp((1 + dot(a, b) / size) / 2, 0.0, 1.0)), F.lit(0.5))
+
+
 def scored(pair_rows: DataFrame) -> DataFrame:
-    """``doc_id, pair, kind, phonetic, structural, semantic, combined``."""
+    """``doc_id, pair, kind, phonetic, structural, semantic, combined``; the semantic score by ``vec_a, vec_b`` if the rows have them."""
     like = lambda x, y: 1 - F.levenshtein(F.upper(x), F.upper(y)) / F.greatest(F.length(x), F.length(y))
     best = F.transform("zone_a", lambda x: F.array_max(F.transform("zone_b", lambda y: like(x, y))))
     sound = T.mean_of(F.filter(best, lambda s: s > 0))
@@ -56,7 +81,8 @@ def scored(pair_rows: DataFrame) -> DataFrame:
     shape = 0.5 * (F.size("zone_a") == F.size("zone_b")).cast("int") + 0.5 * F.when(F.greatest(a, b) > 0, 1 - F.abs(a - b) / F.greatest(a, b)).otherwise(0.0)
     empty = (F.size("zone_a") == 0) | (F.size("zone_b") == 0)
     zero = lambda c: F.when(empty, 0.0).otherwise(c)
-    out = pair_rows.select("doc_id", "pair", "kind", zero(sound).alias("phonetic"), zero(shape).alias("structural"), zero(F.lit(0.5)).alias("semantic"))
+    meaning = likeness(F.col("vec_a"), F.col("vec_b")) if {"vec_a", "vec_b"} <= set(pair_rows.columns) else F.lit(0.5)
+    out = pair_rows.select("doc_id", "pair", "kind", zero(sound).alias("phonetic"), zero(shape).alias("structural"), zero(meaning).alias("semantic"))
     return out.withColumn("combined", combined(F.col("phonetic"), F.col("structural"), F.col("semantic")))
 
 

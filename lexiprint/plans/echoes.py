@@ -20,7 +20,16 @@ def _forest(spark, sf_dir):
     return learning.cross_validated(v.select("id", (F.col("label") % 2).alias("y"), *(F.get("vec", F.lit(i)).alias(c) for i, c in enumerate(columns))), columns, "y", "id")
 
 
+def _meanings(spark, sf_dir):
+    """Pairs scored with word vectors: a word's is one of ``embeddings`` by its length and first letter; every third identifier has none."""
+    pairs = E.pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    v = _vectors(spark, sf_dir).select("id", "vec").filter("id % 3 <> 0")
+    words = pairs.select(F.explode(F.concat("zone_a", "zone_b")).alias("word")).distinct().withColumn("id", ((F.length("word") * 31 + F.ascii("word")) % 97).cast("long"))
+    return rounded(E.scored(E.zone_vectors(pairs, words.join(v, "id"))))
+
+
 QUERIES = {
+    "echo_meanings": _meanings,
     "echo_pairs": _docs(lambda d: E.pairs(d).withColumns({z: F.array_join(z, " ") for z in ("zone_a", "zone_b")})),
     "echo_scores": _docs(lambda d: E.scored(E.pairs(d))),
     "echo_documents": _docs(lambda d: E.document_scores(E.scored(E.pairs(d)), 0.4, 0.05)),
@@ -51,7 +60,13 @@ def _r(x: str, name: str) -> str:
     return f"round(({x})::double + 1e-10, 6) as {name}"
 
 
+_MEANING = """vx as (select vec_id as id, unnest(list_transform(embedding, lambda x: x::double)) as x, generate_subscripts(embedding, 1) as dim from embeddings where vec_id % 3 <> 0),
+zw as (select doc_id, pair, 'a' as side, unnest(zone_a) as word from pairs union all select doc_id, pair, 'b', unnest(zone_b) from pairs),
+zm as (select doc_id, pair, side, dim, avg(x) as m from zw join vx on vx.id = (length(word) * 31 + ascii(word)) % 97 group by all),
+zc as (select a.doc_id, a.pair, sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))) as c from zm a join zm b on a.doc_id = b.doc_id and a.pair = b.pair and a.dim = b.dim and a.side = 'a' and b.side = 'b' group by all),
+me as (select sc.* exclude (semantic), case when semantic = 0 then 0 else coalesce((1 + c) / 2, 0.5) end as semantic from sc left join zc using (doc_id, pair))"""
 ORACLES = {
+    "echo_meanings": f"with {_PAIRS}, {_SCORES}, {_MEANING} select doc_id, pair, kind, {_r('phonetic', 'phonetic')}, {_r('structural', 'structural')}, {_r('semantic', 'semantic')}, {_r('least(1, greatest(0, 0.33 * phonetic + 0.33 * structural + 0.34 * semantic))', 'combined')} from me",
     "echo_pairs": f"with {_PAIRS} select doc_id, pair, kind, array_to_string(zone_a, ' ') as zone_a, array_to_string(zone_b, ' ') as zone_b from pairs",
     "echo_scores": f"with {_PAIRS}, {_SCORES} select doc_id, pair, kind, {_r('phonetic', 'phonetic')}, {_r('structural', 'structural')}, {_r('semantic', 'semantic')}, {_r('combined', 'combined')} from scores",
     "echo_documents": f"""with {_PAIRS}, {_SCORES}, g as (select doc_id, count(*) as pairs, avg(combined) as score, quantile_cont(combined, 0.5) as median, min(combined) as low, max(combined) as high, coalesce(stddev_samp(combined), 0) as sd from scores group by doc_id)
