@@ -22,7 +22,7 @@ from lexiprint.operators import moments as M
 WIDTHS = {"A": 5, "B": 15, "C_epistemic": 6, "C_transitions": 6, "D": 7}
 CONFIGURATIONS = {
     "A_trajectory": ["A"],
-    "B_specHO": ["B"],
+    "B_echo": ["B"],
     "C_epistemic": ["C_epistemic"],
     "C_transitions": ["C_transitions"],
     "D_syntactic": ["D"],
