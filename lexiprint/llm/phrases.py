@@ -32,6 +32,8 @@ from lexiprint.llm.common import attach_any, cut, with_texts
 
 #: Occurrences that make a phrase a candidate, its words at most, and phrases reported of each language.
 LEAST, WORDS, TOP = 100, 5, 2000
+#: Parts of a language's phrases that are ranked on their own first.
+PARTS = 64
 #: Bytes of text in a block, and blocks whose n-grams a bucket sums.
 BLOCK, SHARED = 8 << 20, 2
 #: Memory of duckdb in a bucket; the rest is on the worker's own scratch disk, as Spark's sorts are, and goes with the task.
@@ -295,8 +297,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = WORDS, top:
     A phrase is left out if it stands inside a longer one with as many occurrences.  An empty table gives none.
     """
     phrases = cut(frequent_phrases(docs, least, longest, block))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = uncovered(scored(phrases)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    # the best of each part of a language first, so one task meets at most PARTS * top phrases of it
+    nearly = uncovered(scored(phrases)).withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = nearly.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
