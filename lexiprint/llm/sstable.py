@@ -52,6 +52,8 @@ BLOOM_BITS = 10
 CACHE = 128 << 20
 #: Bytes of a cached piece beside its text and ids: two objects and a place in the table.
 _ENTRY = 200
+#: Bytes of a piece's character with its share of ids; there are fewer ids than characters.
+_EACH = 3
 #: Bytes of text for each shard file, unless the session's shuffle partitions are more.
 SHARD = 256 << 20
 #: Marks that are runs of their own behind a letter and before white space.
@@ -232,12 +234,12 @@ class Encoder:
         """
         known, before = self.known, self.before
         old = pieces.intersection(before)
-        known.update((p, before[p]) for p in old)
+        known.update(zip(old, map(before.__getitem__, old)))
         new = pieces - old
         ended = [p for p in new if p.endswith(_ENDS) and "A" <= p[-2:-1] < "\u0250" and p[-2].isalpha()]
         stems = {p[:-1] for p in ended}.difference(known)
         old = stems.intersection(before)
-        known.update((p, before[p]) for p in old)
+        known.update(zip(old, map(before.__getitem__, old)))
         new = new.difference(ended) | (stems - old)
         broken = [p for p in new if p[:1] == "\n"]
         spaced = list(new.difference(broken))
@@ -246,7 +248,7 @@ class Encoder:
         known.update(zip(filled, map(self.head.__add__, self._lines([p[1:] for p in filled], ""))))
         known.update((p, known[p[:-1]] + self.ends[p[-1]]) for p in ended)
         for some in (pieces, stems):
-            self.held += _ENTRY * len(some) + sum(map(len, some)) + sum(map(len, map(known.__getitem__, some)))
+            self.held += _ENTRY * len(some) + _EACH * sum(map(len, some))
 
     def batch(self, texts: list[str] | pa.StringArray) -> list[bytes]:
         """Little-endian id bytes of each text, none of them null."""
@@ -265,7 +267,7 @@ class Encoder:
         lined = pc.replace_substring(pc.binary_join_element_wise("\n", texts.take(rest), ""), pattern="\n", replacement=" \n")
         cut = pc.split_pattern(lined, pattern=" ")
         coded = cut.flatten().dictionary_encode()
-        pieces, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        pieces, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if self.held > self.limit:
             self.before = self.known
             self._renew()
