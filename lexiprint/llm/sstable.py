@@ -284,11 +284,12 @@ class Encoder:
         return out
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, cache: int = CACHE) -> Encoder:
     """The process's encoder for ``path``, so that a worker's later tasks find its cache warm."""
     kept = kept_in_worker()
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, cache)
+    kept[path].limit = cache
     return kept[path]
 
 
@@ -315,15 +316,15 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int = AT_ONCE) -> Iterator[t
         yield ids, pa.concat_arrays(held)
 
 
-def _writer(uri: str, tokenizer: str, end: int):
+def _writer(uri: str, tokenizer: str, end: int, cache: int, at_once: int):
     tail = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back(keep=tokenizer)
         place = TaskContext.get().partitionId()
         files, path = _open_dir(uri)
-        encoder = worker_encoder(tokenizer)
-        rows = ((i, data + tail) for ids, texts in _parts(batches) for i, data in zip(ids, encoder.batch(texts)))
+        encoder = worker_encoder(tokenizer, cache)
+        rows = ((i, data + tail) for ids, texts in _parts(batches, at_once) for i, data in zip(ids, encoder.batch(texts)))
         first = next(rows, None)
         if first is None:
             return
@@ -338,7 +339,7 @@ def _writer(uri: str, tokenizer: str, end: int):
     return run
 
 
-def write_shards(docs: DataFrame, uri: str, shards: int, tokenizer: str | None = None, end: int = END) -> DataFrame:
+def write_shards(docs: DataFrame, uri: str, shards: int, tokenizer: str | None = None, end: int = END, cache: int = CACHE, at_once: int = AT_ONCE) -> DataFrame:
     """Encode whole texts and write them as shard files below ``uri``; the manifest.
 
     The manifest has a row per file: ``file, place, first_key, n_rows, n_ids,
@@ -346,14 +347,14 @@ def write_shards(docs: DataFrame, uri: str, shards: int, tokenizer: str | None =
     It is written to ``uri/manifest`` and names exactly one complete file for
     each range, whatever attempts were lost or repeated.  Rows are ranged by
     identifier, text and position, so rows of one identifier, or of none, may
-    fill several files.
+    fill several files.  ``cache`` and ``at_once`` bound a worker's memory, in bytes.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     files, place = _open_dir(uri)
     files.create_dir(place, recursive=True)
     need = with_texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"hash": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
     ranged = need.repartitionByRange(shards, "doc_id", "hash", "at").sortWithinPartitions("doc_id", "hash", "at").select("doc_id", "text")
-    written = ranged.mapInArrow(_writer(uri, path, end), "file string, place int, first_key binary, n_rows long, n_ids long")
+    written = ranged.mapInArrow(_writer(uri, path, end, cache, at_once), "file string, place int, first_key binary, n_rows long, n_ids long")
     written.write.mode("overwrite").parquet(f"{uri}/manifest")
     manifest = docs.sparkSession.read.parquet(f"{uri}/manifest")
     # a row per file
@@ -379,7 +380,7 @@ def read_digest(manifest: DataFrame, uri: str, shards: int) -> DataFrame:
     return manifest.select("file", "start").repartition(shards, "file").mapInArrow(_reader(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_shards(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def token_shards(docs: DataFrame, shards: int | None = None, cache: int = CACHE, at_once: int = AT_ONCE) -> DataFrame:
     """Write ``docs`` as shard files in the shared folder and return the digest read from them.
 
     Null texts are empty: such a document has the end id only.  Null
@@ -393,4 +394,4 @@ def token_shards(docs: DataFrame, shards: int | None = None) -> DataFrame:
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
     uri = fresh_dir(spark, "tokens")
-    return read_digest(write_shards(docs, uri, shards), uri, shards)
+    return read_digest(write_shards(docs, uri, shards, cache=cache, at_once=at_once), uri, shards)
