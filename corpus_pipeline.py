@@ -8,6 +8,10 @@ from lexiprint.llm import decontaminate, mixing, nearcopies, sstable, toxicity
 from lexiprint.llm.common import fresh_dir, remove_dir
 
 
+#: Bytes of the encoder's cache, of which a worker keeps two, and of text encoded at once.
+ENCODER_BYTES, ENCODED_BYTES = 32 << 20, 4 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mixture, and the digest read back from them."""
-    return sstable.token_shards(docs)
+    """Token shards of the mixture, and the digest read back from them; with little memory, as the stages before have filled the heap."""
+    return sstable.token_shards(docs, cache=ENCODER_BYTES, at_once=ENCODED_BYTES)
 
 
 STAGES = [("toxicity", toxic), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token_output", token_output)]
