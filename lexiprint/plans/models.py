@@ -78,7 +78,7 @@ ORACLES = {
     "profile_components": f"with {_BASE} select model, dim, n, {_r('mean', 'mean')}, {_r('sd', 'sd')} from c",
     "profile_centroids": f"with {_BASE} select model, n, dim, {_r('mean', 'mean')} from c",
     "profile_covariance": f"with {_BASE} select a.model, a.dim as i, b.dim as j, {_r('covar_samp(a.x, b.x)', 'cov')} from l a join l b on a.id = b.id and a.dim <= b.dim and b.dim < 8 group by a.model, a.dim, b.dim having count(*) >= 10",
-    "profile_covariance_whole": f"with {_BASE} select a.model, a.dim as i, b.dim as j, {_r('covar_samp(a.x, b.x)', 'cov')} from l a join l b on a.id = b.id and a.dim <= b.dim group by a.model, a.dim, b.dim having count(*) >= 10",
+    "profile_covariance_whole": f"with {_BASE} select a.model, a.dim as i, b.dim as j, case when abs(covar_samp(a.x, b.x) + 1e-10) < 5e-7 then 0.0::double else round(covar_samp(a.x, b.x)::double + 1e-10, 6) end as cov from l a join l b on a.id = b.id and a.dim <= b.dim group by a.model, a.dim, b.dim having count(*) >= 10",
     "identify": f"with {_BASE}, {_NEAR} select id, model, {_r('d', 'distance')}, {_r('p', 'confidence')}, case when (select count(distinct model) from c) > 1 and d = (select max(d) from dist x where x.id = ranked.id) then 0.5 else 1.0 end as minmax, {_TRUST.format(p='p')} as trust from ranked where r = 1",
     "verify_claim": f"""with {_BASE}, {_NEAR},
 j as (select v.id, 'm' || (v.id % 11) as claim, n.model as found, coalesce(m.p, 0) as p from v join ranked n on n.id = v.id and n.r = 1 left join ranked m on m.id = v.id and m.model = 'm' || (v.id % 11))

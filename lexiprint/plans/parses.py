@@ -51,7 +51,7 @@ def _parsed(build):
 
 QUERIES = {f"token_{g}": _parsed(lambda d, g=g: rounded(K.token_features(d, (g,)))) for g in ("pos", "dependency", "information", "topology")}
 QUERIES |= {
-    "clause_spans": _parsed(lambda d: C.clauses(d).withColumn("words", F.array_join("words", " "))),
+    "clause_spans": _parsed(lambda d: C.clauses(d).withColumnsRenamed({"start": "first_token", "end": "last_token"}).withColumn("words", F.array_join("words", " "))),
     "clause_structure": _parsed(lambda d: rounded(C.structure(d))),
     "clause_pairs": _parsed(lambda d: C.pairs(d).withColumns({z: F.array_join(z, " ") for z in ("zone_a", "zone_b")})),
 }
@@ -198,7 +198,7 @@ ORACLES = {
     "token_dependency": _DEPENDENCY,
     "token_information": _INFORMATION,
     "token_topology": _TOPOLOGY,
-    "clause_spans": f'with recursive {TOKENS}, {CLAUSES} select c.doc_id, clause, a_start::int as start, a_end::int as "end", c.head::int as head, kind, string_agg(word, \' \' order by t.i) as words from clauses c join tok t on t.doc_id = c.doc_id and t.i between a_start and a_end group by all',
+    "clause_spans": f'with recursive {TOKENS}, {CLAUSES} select c.doc_id, clause, a_start::int as first_token, a_end::int as last_token, c.head::int as head, kind, string_agg(word, \' \' order by t.i) as words from clauses c join tok t on t.doc_id = c.doc_id and t.i between a_start and a_end group by all',
     "clause_pairs": f"with recursive {TOKENS}, {CLAUSES}, {_STRUCTURE_PAIRS}, {_zone('a', '[-3:]')}, {_zone('b', '[:3]')} select doc_id, a_start::int as a_start, a_end::int as a_end, b_start::int as b_start, b_end::int as b_end, kind, coalesce(array_to_string(zone_a, ' '), '') as zone_a, coalesce(array_to_string(zone_b, ' '), '') as zone_b from joined left join zone_a using {_KEYS} left join zone_b using {_KEYS}",
     "clause_structure": f"""with recursive {TOKENS}, {CLAUSES}, {_STRUCTURE_PAIRS},
 x as (select doc_id, count(*) as n, count(*) filter (kind = 'main') as main, count(*) filter (kind = 'subordinate') as sub, avg({_LENGTH}) as mean, stddev_pop({_LENGTH}) as sd, max({_LENGTH}) as longest, min({_LENGTH}) as shortest from clauses group by doc_id),
