@@ -67,6 +67,11 @@ def layer_e_compression() -> dict[str, Column]:
     return {"compression_ratio": T.zero_unless(F.size("e_sents") >= 2, gzip_ratio("text"))}
 
 
+def _place(name: str, h: float, a: float) -> Column:
+    """How far a feature lies from the human mean to the machine's; their distance is the decimal one, so values on a threshold are on it."""
+    return (F.col(name) - h) / round(a - h, 9)
+
+
 def classify_light(features: DataFrame) -> DataFrame:
     """``doc_id, human, ai, label, confidence`` of the light features (``layer_e`` with compression).
 
@@ -75,7 +80,7 @@ def classify_light(features: DataFrame) -> DataFrame:
     """
     human = ai = F.lit(0.0)
     for name, (h, a, weight) in REFERENCE.items():
-        position = T.clamp((F.col(name) - h) / (a - h), -1.0, 2.0)
+        position = T.clamp(_place(name, h, a), -1.0, 2.0)
         human = human + F.when(position < 0.5, weight * (0.5 - position) * 2).otherwise(0.0)
         ai = ai + F.when(position >= 0.5, weight * (position - 0.5) * 2).otherwise(0.0)
     out = features.select("doc_id", human.alias("h"), ai.alias("a"))
@@ -86,7 +91,7 @@ def classify_light(features: DataFrame) -> DataFrame:
 
 def signals(features: DataFrame) -> DataFrame:
     """``doc_id, feature, value, signal``: human below .3 of the way between the means, ai above .7, else neutral."""
-    rows = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("value"), ((F.col(k) - h) / (a - h)).alias("p")) for k, (h, a, _) in REFERENCE.items() if k in features.columns))
+    rows = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("value"), _place(k, h, a).alias("p")) for k, (h, a, _) in REFERENCE.items() if k in features.columns))
     out = features.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
     return out.select("doc_id", "feature", "value", F.when(F.col("p") < 0.3, "human").when(F.col("p") > 0.7, "ai").otherwise("neutral").alias("signal"))
 

@@ -113,3 +113,11 @@ def test_corpus_helpers(spark):
     d = spark.range(1000).selectExpr("id as doc_id", "if(id < 900, 'hot', 'b') as source")
     parts = {(r["source"], r["split"]): r["count"] for r in corpus.split(d, "source").groupBy("source", "split").count().collect()}
     assert parts == {("hot", "train"): 720, ("hot", "val"): 90, ("hot", "test"): 90, ("b", "train"): 80, ("b", "val"): 10, ("b", "test"): 10}
+
+
+def test_values_on_a_threshold_are_judged_as_in_decimals(spark):
+    """5.2 - 4.8 is over 0.4 in binary, which took 5.08 for neutral; SQL subtracts decimals."""
+    values = {"avg_word_length": 5.08, "hapax_legomena_ratio": 0.457, "sentence_initial_entropy": 3.38}
+    df = spark.createDataFrame([(0, *values.values())], ["doc_id", *values])
+    got = {r["feature"]: r["signal"] for r in layers.signals(df).collect()}
+    assert got == {"avg_word_length": "ai", "hapax_legomena_ratio": "ai", "sentence_initial_entropy": "neutral"}
