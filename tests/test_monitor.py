@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lexiprint.plans import streams
@@ -84,3 +86,74 @@ def test_query_against_sql(spark):
     expected = sorted(want.fetchall(), key=str)
     assert len(rows) == len(expected) > 100 and {r[2] for r in rows} == {"sample", "reset", "silent"}
     assert all(a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and a[4:6] == b[4:6] for a, b in zip(rows, expected))
+
+
+class Calls:
+    """A handle whose states are kept here and whose calls are counted."""
+
+    def __init__(self):
+        self.n, self.held, self.timers = 0, {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return State(self, name)
+
+    getValueState = getMapState  # noqa: N815
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.n += 1
+        self.timers.append(ms)
+
+
+class State:
+    def __init__(self, calls, name):
+        self.calls, self.name = calls, name
+
+    def _at(self):
+        self.calls.n += 1
+        return self.calls.held.setdefault(self.name, {})
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._at()[key] = value
+
+    def getValue(self, key):  # noqa: N802
+        return self._at()[key]
+
+    def removeKey(self, key):  # noqa: N802
+        del self._at()[key]
+
+    def keys(self):
+        return list(self._at())
+
+    def iterator(self):
+        return list(self._at().items())
+
+    def exists(self):
+        return bool(self._at())
+
+    def get(self):
+        return self._at()[0]
+
+    def update(self, value):
+        self._at()[0] = value
+
+
+def test_calls_of_the_state_do_not_grow_with_the_samples():
+    def calls(n):
+        handle, drift = Calls(), M.Drift(M.KEPT, 10**9)
+        drift.init(handle)
+        batch = pd.DataFrame({"us": [i * 1000 for i in range(n)][::-1], "n": range(n), "vec": [[float(i)] for i in range(n)][::-1], "reset": False})
+        list(drift.handleInputRows(("a",), iter([batch]), None))
+        mark = SimpleNamespace(getCurrentWatermarkInMs=lambda: n // 2)
+        got = pd.concat(drift.handleExpiredTimer(("a",), mark, None))
+        assert got["drift"].tolist() == list(range(n // 2 + 1)) and handle.timers[-1] == n // 2 + 1
+        return handle.n
+
+    assert calls(1000) == calls(10) < 30
+
+
+def test_many_samples_of_a_model_and_copies_of_one(spark, tmp_path):
+    r = random.Random(5)
+    rows = [("m", START + dt.timedelta(seconds=r.randrange(90_000)), i, [r.random()], r.random() < 0.01) for i in range(12_000)]
+    assert run(spark, tmp_path, "many", [rows]) == plain(rows, 2 * HOUR, 5 * HOUR, M.KEPT)
+    twice = [("a", START, 1, [0.0], False), ("a", START + HOUR, 2, [0.5], False), ("a", START + HOUR, 2, [0.5], False), ("a", START + 9 * HOUR, 3, [0.0], False)]
+    assert [x[2] for x in run(spark, tmp_path, "twice", [twice])].count("sample") == 3
