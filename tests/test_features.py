@@ -121,3 +121,12 @@ def test_values_on_a_threshold_are_judged_as_in_decimals(spark):
     df = spark.createDataFrame([(0, *values.values())], ["doc_id", *values])
     got = {r["feature"]: r["signal"] for r in layers.signals(df).collect()}
     assert got == {"avg_word_length": "ai", "hapax_legomena_ratio": "ai", "sentence_initial_entropy": "neutral"}
+
+
+def test_runs_look_for_their_edges_once(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(list(a),) for a in ([], [1], [1, 1], [1, 2], [1, 1, 2, 5, 5, 5])]
+    df = spark.createDataFrame(rows, "a array<int>").select("a", T.runs(F.col("a")).alias("r"))
+    assert {tuple(r["a"]): r["r"] for r in df.collect()} == {(): [], (1,): [1], (1, 1): [2], (1, 2): [1, 1], (1, 1, 2, 5, 5, 5): [2, 1, 3]}
+    assert df._jdf.queryExecution().analyzed().toString().count("filter(") == 1
