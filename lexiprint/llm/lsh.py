@@ -7,9 +7,11 @@ dimensions as buckets.  A query probes the buckets whose axes lie nearest to it
 in sum.  Vectors of a probed bucket are candidates and are ranked by their inner
 product with the query in double precision.
 
-The more vectors there are, the nearer the nearest of them lie, so the probes
-fall with the fourth root of their number (``probes_for``) and with them the
-share of vectors that a query meets.
+A query probes as many buckets whatever the number of vectors, so whether it
+meets a vector depends on these two alone and not on what else the table holds.
+The more evenly spread vectors there are, the nearer the nearest of them lie and
+the fewer probes would do: a caller whose vectors are known to be so may pass
+``probes_for`` their number.
 
 Buckets are dealt to tasks by cells of neighbouring buckets, more cells the more
 vectors there are; cells are cut in pieces of bounded size, so one of any
@@ -32,7 +34,7 @@ from lexiprint.llm.common import cut
 
 #: Tables, and functions strung together in each.
 TABLES, FUNCTIONS = 8, 2
-#: Buckets that a query probes in each table if there are 500 vectors, and the least whatever their number.
+#: Buckets that a query probes in each table, and the least that ``probes_for`` gives.
 PROBES, LEAST_PROBES = 1280, 32
 #: Nearest axes of one function that probes are made of.
 AXES = 64
@@ -47,7 +49,7 @@ SENT = 1_000_000
 
 
 def probes_for(n: int, probes: int = PROBES) -> int:
-    """Buckets to probe among ``n`` vectors."""
+    """Buckets that suffice among ``n`` evenly spread vectors if ``probes`` do among 500."""
     return max(LEAST_PROBES, round(probes * (500 / max(n, 1)) ** 0.25))
 
 
@@ -261,7 +263,7 @@ def _cut_up(hashed: DataFrame, probing: DataFrame) -> tuple[DataFrame, DataFrame
     return spread.drop("pieces", "parts"), sent.drop("pieces", "parts")
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, top: int = TOP, tables: int = TABLES, probes: int | None = None, functions: int = FUNCTIONS, seed: int = SEED) -> DataFrame:
+def neighbours(queries: DataFrame, vectors: DataFrame, top: int = TOP, tables: int = TABLES, probes: int = PROBES, functions: int = FUNCTIONS, seed: int = SEED) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found for each query.
 
     Both sides have ``vec_id`` and ``embedding``; vectors that are null, zero,
@@ -269,8 +271,8 @@ def neighbours(queries: DataFrame, vectors: DataFrame, top: int = TOP, tables: i
     are searched among themselves, a pass for each length.  A row is never a
     candidate of its own identifier.  Rows of one identifier count once, by the
     best score of their vectors, whether among the queries or the candidates.  A query with fewer
-    than ``top`` found candidates is answered from all vectors.  ``probes`` is
-    ``probes_for`` the number of vectors unless given.
+    than ``top`` found candidates is answered from all vectors.  ``probes`` are
+    the buckets that a query probes in each table.
     """
     all_rows, asked = usable(vectors), usable(queries)
     # a row for each length
@@ -284,7 +286,7 @@ def neighbours(queries: DataFrame, vectors: DataFrame, top: int = TOP, tables: i
 _RANKED = "query_id long, rank int, vec_id long, score double"
 
 
-def _of_length(queries: DataFrame, vectors: DataFrame, dim: int, n: int, top: int, tables: int, probes: int | None, functions: int, seed: int) -> DataFrame:
+def _of_length(queries: DataFrame, vectors: DataFrame, dim: int, n: int, top: int, tables: int, probes: int, functions: int, seed: int) -> DataFrame:
     """``neighbours`` among the ``n`` usable vectors of length ``dim``."""
     rows = vectors.filter(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
     asked = queries.filter(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
@@ -293,7 +295,7 @@ def _of_length(queries: DataFrame, vectors: DataFrame, dim: int, n: int, top: in
     width = buckets
     while width > 1 and (buckets // width < LEAST_CELLS or buckets // width * CELL < n):
         width //= 2
-    probes = min(probes or probes_for(n), buckets)
+    probes = min(probes, buckets)
     hashed = cut(rows.mapInPandas(_hashed(turns, width), "tab int, cell long, code int, vec_id long, v binary"))
     probing = cut(asked.mapInPandas(_probing(turns, width, probes), "tab int, cell long, codes binary, vec_id long, v binary"))
     spread, sent = _cut_up(hashed, probing)

@@ -141,3 +141,13 @@ def test_recall_of_many_vectors(spark, n):
         score[q] = -np.inf
         recall.append(len(got[q] & set(np.argpartition(-score, 20)[:20].tolist())) / 20)
     assert np.mean(recall) >= 0.9
+
+
+def test_rows_that_are_no_neighbours_change_nothing(spark):
+    """Vectors too short to be near any query raise the number of rows only."""
+    x = np.random.default_rng(6).normal(size=(500, 64))
+    short = 1e-6 * np.random.default_rng(7).normal(size=(4000, 64))
+    few, many = table(spark, x), table(spark, x, [(1000 + i, [float(np.float32(c)) for c in v]) for i, v in enumerate(short)])
+    asked = few.filter("vec_id % 20 = 0")
+    got, more = (sorted(map(tuple, lsh.neighbours(asked, t).collect())) for t in (few, many))
+    assert len(got) == 500 and more == got
