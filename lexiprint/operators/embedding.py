@@ -36,9 +36,13 @@ def clauses_of(text: Column) -> Column:
     return F.filter(parts, lambda c: F.size(T.ws_words(c)) >= LEAST_WORDS)
 
 
+#: Seeded anew for each clause: a new generator would first gather entropy that the seed then replaces, which takes far longer than the draw.
+_GENERATOR = np.random.RandomState(0)
+
+
 def hash_vector(clause: str, dim: int = DIM) -> np.ndarray:
-    seed = int(hashlib.md5(clause.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
-    return np.random.RandomState(seed).randn(dim)
+    _GENERATOR.seed(int(hashlib.md5(clause.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16))
+    return _GENERATOR.randn(dim)
 
 
 def path_features(x: np.ndarray) -> tuple[float, float, float, float, float]:

@@ -129,3 +129,15 @@ def test_named_vectors(spark):
         assert got == {i: {"fast": v[39:] + [v[2]], "medium": v[39:] + v[:20], "old": v[:5] + v[20:39], "long": v[:39], "full": v}[name] for i, v in whole.items()}
     plan = registry.view(docs, "old")._jdf.queryExecution().optimizedPlan().toString()
     assert "gzip" not in plan
+
+
+def test_hash_vectors_share_a_generator(monkeypatch):
+    """A generator of its own for each clause took ten times the draw; the vectors are those of one."""
+    own = {c: np.random.RandomState(int(hashlib.md5(c.encode()).hexdigest()[:8], 16)).randn(7) for c in ("a b c", "", "déjà vu")}
+
+    def refused(*_):
+        raise AssertionError("a new generator")
+
+    monkeypatch.setattr(embedding.np.random, "RandomState", refused)
+    for _ in range(2):
+        assert all((embedding.hash_vector(c, 7) == v).all() for c, v in own.items())
