@@ -3,7 +3,8 @@
 A feed is a folder of pages as an API hands them out: ``page=<n>/<any file>`` with
 ``entries`` of ``id, title, summary, published`` (an Atom document, or a JSON object),
 and below ``index`` JSON lines with ``page, first, last``, the times that a page
-spans.  Each page is a partition of its own; filters on ``page`` and
+spans.  A few pages are a partition each; more are read several by one task,
+neighbours by their size.  Filters on ``page`` and
 ``published`` reach the source, which leaves out pages that cannot hold a match.
 
     register(spark)
@@ -23,6 +24,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+#: Partitions that pages are not packed below, and bytes of pages that fill one; a task for each page costs more than most pages.
+LEAST, FULL = 64, 4 << 20
 ATOM = "{http://www.w3.org/2005/Atom}"
 SCHEMA = "id string, title string, summary string, published timestamp, page int"
 _ARROW = pa.schema([("id", pa.string()), ("title", pa.string()), ("summary", pa.string()), ("published", pa.timestamp("us", tz="UTC")), ("page", pa.int32())])
@@ -51,9 +54,24 @@ def json_entries(data: bytes) -> Iterator[tuple[str | None, ...]]:
 KINDS = {"atom": atom_entries, "json": json_entries}
 
 
-class Page(InputPartition):
-    def __init__(self, number: int, path: str) -> None:
-        self.number, self.path = number, path
+class Pages(InputPartition):
+    """Pages that one task reads, each by its number and path."""
+
+    def __init__(self, pages: list[tuple[int, str]]) -> None:
+        self.pages = pages
+
+
+def packed(pages: list[tuple[int, str, int]]) -> list[Pages]:
+    """Neighbours of ``number, path, bytes`` together until they fill a partition; each alone if there are few."""
+    full = min(FULL, sum(size for *_, size in pages) / LEAST) if len(pages) > LEAST else 0
+    out, last, done = [], -1, 0
+    for number, path, size in pages:
+        part = int(done / full) if full else last + 1
+        if part != last:
+            out.append(Pages([]))
+        out[-1].pages.append((number, path))
+        last, done = part, done + size
+    return out
 
 
 class FeedReader(DataSourceReader):
@@ -118,17 +136,18 @@ class FeedReader(DataSourceReader):
             if part and part[5:].isdigit():
                 number = int(part[5:])
                 if all(test(number, *spans.get(number, (None, None))) for test in self.tests):
-                    pages.append(Page(number, x.path))
-        return sorted(pages, key=lambda p: (p.number, p.path))
+                    pages.append((number, x.path, x.size))
+        return packed(sorted(pages))
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         files, _ = self._open(self.path)
-        with files.open_input_stream(partition.path) as f:
-            data = f.read()
-        rows = list(KINDS[self.kind](data)) if data.strip() else []
-        columns = [list(c) for c in zip(*rows)] or [[]] * 4
-        columns[3] = [_time(t) for t in columns[3]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [partition.number] * len(rows)], _ARROW)], schema=_ARROW)
+        for number, path in partition.pages:
+            with files.open_input_stream(path) as f:
+                data = f.read()
+            rows = list(KINDS[self.kind](data)) if data.strip() else []
+            columns = [list(c) for c in zip(*rows)] or [[]] * 4
+            columns[3] = [_time(t) for t in columns[3]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [number] * len(rows)], _ARROW)], schema=_ARROW)
 
 
 class PagedFeed(DataSource):

@@ -36,6 +36,18 @@ def test_filters_skip_pages(spark):
     assert "page" in found.filter("page = 2")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_pages_share_a_task(spark, tmp_path):
+    for n in range(300):
+        (tmp_path / f"page={n}").mkdir()
+        (tmp_path / f"page={n}" / "x.json").write_text(json.dumps({"entries": [{"id": str(n)}] * (n % 3)}))
+    found = feeds.feed(spark, str(tmp_path), "json")
+    assert paged.LEAST - 4 <= found.rdd.getNumPartitions() <= paged.LEAST + 1
+    assert sorted((int(r["id"]), r["page"]) for r in found.collect()) == [(n, n) for n in range(300) for _ in range(n % 3)]
+    sizes = [(n, str(n), 3 * paged.FULL if n == 5 else paged.FULL // 4) for n in range(1000)]
+    parts = [p.pages for p in paged.packed(sizes)]
+    assert [x for p in parts for x in p] == [x[:2] for x in sizes] and max(map(len, parts)) == 4 and len(parts) < 260
+
+
 def test_pages_without_entries_and_broken_parts(spark, tmp_path):
     for n, body in enumerate(['{"entries": [{"id": "1"}, {"id": "2", "published": "no time", "title": "t"}]}', "", '{"entries": null}']):
         (tmp_path / f"page={n}").mkdir()
