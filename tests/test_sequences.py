@@ -118,3 +118,12 @@ def test_a_long_path_is_not_compared_pair_by_pair(spark):
     points = spark.range(60_000).selectExpr("'p' as path", "id as pos", "array(id + 0.25D * (id % 2), 1D) as vec")
     row = sequences.returns(points).first()
     assert (row["n"], row["return_rate"], row["orbit_rate"]) == (60_000, 0.0, 0.0)
+
+
+def test_short_paths_need_no_cells(spark, monkeypatch):
+    """A group for each cell of each path grew with the number of paths; a short path is one row."""
+    monkeypatch.setattr(sequences, "_near", None)
+    points = spark.range(3000).selectExpr("id % 300 as path", "id as pos", "array(double((id div 300) % 2), 0D) as vec")
+    got = sequences.returns(points).collect()
+    # a path of ten points goes to and fro between two places
+    assert len(got) == 300 and {(r["n"], r["return_rate"], r["orbit_rate"]) for r in got} == {(10, 0.8, 1.0)}
