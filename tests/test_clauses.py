@@ -166,3 +166,25 @@ def test_numbers_count_once_a_pattern(spark):
     row = K.token_features(spark.createDataFrame([(1, text, tokens)], TOKENS.replace("doc_id long,", "doc_id long, text string,")), ("information",)).first()
     # the year, the comma number, the decimal, the price, the word number, the fraction, and the digits among the tokens
     assert row["information_specific_number_rate"] == pytest.approx(min(7 * 100 / 38 / 5, 1))
+
+
+def test_extents_of_a_batch_and_no_sorts(spark):
+    """Extents and depths were sorted out by higher-order functions in each round; they are taken over a batch at once."""
+    r = random.Random(3)
+    rows = [(k, [r.choice([r.randrange(-2, n + 2), i, None]) for i in range(n)], sorted({0, *(r.randrange(n) for _ in range(3))}) if n else []) for k, n in enumerate([0, 1, 5, 40, 0, 90, 3])]
+    df = spark.createDataFrame(rows, "id int, heads array<int>, borders array<int>")
+    made = df.select("id", C.extents(C.F.transform("heads", lambda x: C.F.coalesce(x, C.F.lit(-1))), "borders").alias("x"), C.depths("heads").alias("d"))
+    assert "sort_array" not in (plan := made._jdf.queryExecution().optimizedPlan().toString()) and "aggregate(" not in plan
+    got = {x["id"]: x for x in made.collect()}
+    for k, heads, borders in rows:
+        n = len(heads)
+        low, high = list(range(n)), list(range(n))
+        ends = {b: e for b, e in zip(borders, [*borders[1:], n])}
+        for i in range(n):
+            at, b, seen = i, max(x for x in borders if x <= i), set()
+            while at not in seen:
+                seen.add(at)
+                low[at], high[at] = min(low[at], i), max(high[at], i)
+                at = heads[at] if heads[at] is not None and b <= heads[at] < ends[b] else at
+        assert [(x["low"], x["high"]) for x in got[k]["x"]] == list(zip(low, high))
+        assert len(got[k]["d"]) == n
