@@ -108,7 +108,7 @@ def lexical() -> dict[str, Column]:
 
 def prepare_epistemic(df: DataFrame) -> DataFrame:
     """Places of hedges, as shares of the text; no two of them can overlap, so one pattern finds all."""
-    places = stance._positions(F.col("plain"), stance.pattern(HEDGES))
+    places = stance._positions(F.col("plain"), T.led(stance.pattern(HEDGES)))
     return df.withColumn("c_hedged", F.array_sort(F.transform(places, lambda p: p / F.length("text"))))
 
 

@@ -51,20 +51,20 @@ def _positions(text: Column, regex: str) -> Column:
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    places = F.concat(*(_positions(F.col("plain"), pattern(v)) for v in HEDGES.values()))
+    places = F.concat(*(_positions(F.col("plain"), T.led(pattern(v))) for v in HEDGES.values()))
     df = df.withColumn("hedged", F.transform(places, lambda p: p / F.length("text")))
     df = T.with_counts(df, hedge_bins=F.transform("hedged", lambda p: F.least(F.floor(p * BINS), F.lit(BINS - 1)).cast("int")))
-    hits = lambda s, sets: T.total([F.regexp_count(s, F.lit(pattern(v))) for v in sets])
+    hits = lambda s, sets: T.total([F.regexp_count(s, F.lit(T.led(pattern(v)))) for v in sets])
 
     def score(s: Column) -> Column:
-        high, medium, low = (F.regexp_count(s, F.lit(pattern(CONFIDENCE[k]))) for k in ("high", "medium", "low"))
+        high, medium, low = (F.regexp_count(s, F.lit(T.led(pattern(CONFIDENCE[k])))) for k in ("high", "medium", "low"))
         parts = F.struct(high.alias("a"), medium.alias("b"), low.alias("c"), hits(s, HEDGES.values()).alias("h"))
         return T.let(parts, lambda x: T.let(x["a"] + x["b"] + x["c"] + x["h"], lambda n: F.when(n > 0, T.clamp((x["a"] + 0.6 * x["b"] + 0.3 * x["c"] - 0.3 * x["h"]) / n, 0.0, 1.0)).otherwise(0.5)))
 
     df = df.withColumn("confident", F.transform(F.filter(F.split("plain", r"(?<=[.!?])\s+"), lambda s: T.strip(s) != ""), score))
     moved = F.col("plain")
     for k, phrases in enumerate(TRANSITIONS.values()):
-        moved = F.regexp_replace(moved, pattern(phrases, longest_first=True), _code(k))
+        moved = F.regexp_replace(moved, T.led(pattern(phrases, longest_first=True)), _code(k))
     df = df.withColumn("moves", F.regexp_extract_all(moved, F.lit(f"[{_code(0)}-{_code(len(TRANSITIONS) - 1)}]"), F.lit(0)))
     return T.with_counts(df, move_pairs=T.ngrams(F.col("moves"), 2))
 

@@ -130,3 +130,24 @@ def test_runs_look_for_their_edges_once(spark):
     df = spark.createDataFrame(rows, "a array<int>").select("a", T.runs(F.col("a")).alias("r"))
     assert {tuple(r["a"]): r["r"] for r in df.collect()} == {(): [], (1,): [1], (1, 1): [2], (1, 2): [1, 1], (1, 1, 2, 5, 5, 5): [2, 1, 3]}
     assert df._jdf.queryExecution().analyzed().toString().count("filter(") == 1
+
+
+def test_led_patterns_match_the_same():
+    """Each pattern looks at the next letter first and still finds what it found."""
+    import random
+    import re
+
+    from lexiprint.functions import text as T
+    from lexiprint.operators import lexicons, stance
+
+    listed = [p for k, v in vars(lexicons).items() if k.endswith("_PATTERNS") for p in v]
+    listed += [stance.pattern(v, long) for d in (stance.HEDGES, stance.CONFIDENCE, stance.TRANSITIONS) for v in d.values() for long in (False, True)]
+    led = [(p, T.led(p)) for p in listed]
+    assert sum(a != b for a, b in led) > len(led) * 0.7
+    assert T.led(r"\b(a?b)\b") == r"\b(a?b)\b" and T.led(r"\b(a)?b") == r"(?=[ab])\b(a)?b" and T.led(r"\b(a|)b") == r"\b(a|)b" and T.led(r"\b(a)|b") == r"\b(a)|b" and T.led(r"\b(x|(y|z) u)") == r"(?=[xyz])\b(x|(y|z) u)"
+    r = random.Random(4)
+    words = re.findall(r"[a-z']+|[ ,.!]", " ".join(p.replace("?:", "").replace("\\b", "") for p in listed))
+    texts = [" ".join(r.choice(words) for _ in range(4000)), *(re.sub(r"[|()?\\]", " ", p) for p in listed)]
+    for a, b in led:
+        for t in texts:
+            assert [m.span() for m in re.finditer(a, t)] == [m.span() for m in re.finditer(b, t)]
