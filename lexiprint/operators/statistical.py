@@ -80,8 +80,9 @@ ABSTRACT = "(tion|ness|ity|ism|ment|ence|ance)$"
 def syllables(word: Column) -> Column:
     """Vowel groups, less one for a final e, plus one for a consonant before a final le, one at least."""
     groups = F.regexp_count(word, F.lit("[aeiouy]+"))
-    n = groups - word.endswith("e").cast("int") + word.rlike("[^aeiouy]le$").cast("int")
-    return F.when(n == 0, 1).otherwise(n)
+    # n is not below 0, since a final e is in a group; mentioned once, as each mention counts the groups again
+    n = groups - word.endswith("e").cast("int") + (word.endswith("le") & word.rlike("[^aeiouy]le$")).cast("int")
+    return F.when(word.isNotNull(), F.greatest(n, F.lit(1)))
 
 
 def lexical() -> dict[str, Column]:

@@ -22,10 +22,9 @@ def _forest(spark, sf_dir):
 
 def _meanings(spark, sf_dir):
     """Pairs scored with word vectors: a word's is one of ``embeddings`` by its length and first letter; every third identifier has none."""
-    pairs = E.pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    v = _vectors(spark, sf_dir).select("id", "vec").filter("id % 3 <> 0")
-    words = pairs.select(F.explode(F.concat("zone_a", "zone_b")).alias("word")).distinct().withColumn("id", ((F.length("word") * 31 + F.ascii("word")) % 97).cast("long"))
-    return rounded(E.scored(E.zone_vectors(pairs, words.join(v, "id"))))
+    v = _vectors(spark, sf_dir).select(F.col("id").alias("key"), "vec").filter("key % 3 <> 0")
+    place = lambda w: ((F.length(w) * 31 + F.ascii(w)) % 97).cast("long")
+    return rounded(E.scored(E.meanings(E.pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")), v, place)))
 
 
 QUERIES = {
