@@ -40,7 +40,7 @@ for _group in (
     Group("structural", structure.structural, (structure.prepare,)),
     Group("punctuation", structure.punctuation),
     Group("connectors", structure.connectors, (structure.prepare,)),
-    Group("epistemic", structure.epistemic, (structure.prepare,)),
+    Group("epistemic", structure.epistemic, (structure.prepare, structure.prepare_epistemic)),
     Group("transitions", structure.transitions, (structure.prepare,)),
     Group("rhythm", structure.rhythm, (structure.prepare,)),
     Group("lightweight", structure.lightweight, (structure.prepare,)),

@@ -101,10 +101,15 @@ def connectors() -> dict[str, Column]:
     )
 
 
+def prepare_epistemic(df: DataFrame) -> DataFrame:
+    """Hedges and boosters as columns: several features mention them, and each mention would count all the phrases again."""
+    hits = lambda phrases: T.phrase_count(F.col("low"), F.col("word_runs"), phrases)
+    return df.withColumns({"hedges": hits(L.HEDGES), "boosters": hits(L.BOOSTERS)})
+
+
 def epistemic() -> dict[str, Column]:
-    n = F.col("n_ws")
+    n, h, b = F.col("n_ws"), F.col("hedges"), F.col("boosters")
     hits = lambda phrases: T.phrase_count(F.col("low"), F.col("word_runs"), phrases)
-    h, b = hits(L.HEDGES), hits(L.BOOSTERS)
     return _guard(
         {
             "hedge_density": h / n * 100,

@@ -1,9 +1,12 @@
 import gzip
 import math
+import re
 from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexiprint.functions import text as T
 from lexiprint.operators import corpus, layers, profiles, registry, style
 
@@ -151,3 +154,18 @@ def test_led_patterns_match_the_same():
     for a, b in led:
         for t in texts:
             assert [m.span() for m in re.finditer(a, t)] == [m.span() for m in re.finditer(b, t)]
+
+
+def test_epistemic_counts_each_phrase_once(spark):
+    """Several features mention the hedges and the boosters; the plan counts them once."""
+    docs = spark.createDataFrame([(1, "It seems that it seems so; perhaps I think it is clearly, in fact always, no doubt right. I think so. Maybe."), (2, None)], "doc_id long, text string")
+    found = registry.extract(docs, ["epistemic"], namespaced=False)
+    one, none = found.orderBy("doc_id").collect()
+    n = 22
+    # seems twice and "it seems" twice, perhaps, "i think" twice, maybe; clearly, "in fact", always, "no doubt"
+    assert (one["hedge_density"], one["booster_density"]) == pytest.approx((8 / n * 100, 4 / n * 100)) and (one["hedge_boost_ratio"], one["certainty_score"]) == pytest.approx((2.0, 4 / 12))
+    assert none["hedge_density"] == none["booster_density"] == 0.0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(low") and all(len(re.findall(rf"replace\(low#\d+, {p}, ", plan)) == 1 for p in ("i suppose", "without doubt"))
+    text = spark.createDataFrame([("a b a b a b", 1), ("aaaa", 2), (None, 3)], "t string, k int")
+    assert [r[0] for r in text.orderBy("k").select(T.count_of(F.col("t"), "a b")).collect()] == [3, 0, None]
