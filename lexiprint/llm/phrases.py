@@ -2,7 +2,7 @@
 
 Texts are cut at punctuation into pieces.  Equal pieces are dealt to the same
 block of bounded bytes and become one piece with a multiplicity, so a passage that stands
-everywhere is counted once.  A block counts its n-grams by multiplicity and sends
+everywhere is counted once.  A block counts its n-grams by multiplicity, as places in its sorted vocabulary, and sends
 them, packed, to buckets by hash; in a bucket duckdb sums them, on disk where they do not fit
 its memory, and answers each block which of its n-grams are frequent.  Frequent
 words come first, then pairs of such words, then longer phrases all whose pairs
@@ -25,6 +25,7 @@ from functools import reduce
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,9 @@ UNKNOWN = "und"
 #: A to Z in lower case, what ends a piece as a line's end, and tabs as spaces.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
+#: An odd number that spreads hashes.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 _SENT = "block long, bucket long, body binary"
 _ANSWER = "block long, body binary"
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("n", pa.int64())])
@@ -83,21 +87,26 @@ def _read(body: bytes) -> pa.Table:
     return pa.table([lang.cast(pa.string()), gram, pa.array(counts)], schema=_GRAMS)
 
 
+def _dealt(part: np.ndarray, rows: pa.Table, parts: int) -> tuple[list[int], list[bytes]]:
+    """``lang, gram, n`` rows by their parts: parts, and the body of each; within a part rows keep their order, which has each language together."""
+    small = part.astype(np.uint16) if parts <= 1 << 16 else part
+    order = np.argsort(small, kind="stable")
+    rows, part = rows.take(pa.array(order)).combine_chunks(), part[order]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
+    return part[starts].tolist(), [_body(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(part)])]
+
+
 def _parted(counts: dict[str, Counter[bytes]], parts: int) -> tuple[list[int], list[bytes]]:
-    """The n-grams or pieces by hash: parts, and what falls in each."""
-    found = {"part": [], "lang": [], "gram": [], "n": []}
-    for lang, c in counts.items():
+    """The pieces by hash: parts, and what falls in each."""
+    found, part = {k: [] for k in _GRAMS.names}, []
+    for lang, c in sorted(counts.items()):
         seed = zlib.crc32(lang.encode("utf-8", "replace"))
-        found["part"] += [zlib.crc32(g, seed) % parts for g in c]
+        ordered = sorted(c)
+        part += [zlib.crc32(g, seed) % parts for g in ordered]
         found["lang"] += [lang] * len(c)
-        found["gram"] += c.keys()
-        found["n"] += c.values()
-    if not found["n"]:
-        return [], []
-    rows = pa.table(found, schema=pa.schema([("part", pa.int64()), *_GRAMS])).sort_by([("part", "ascending"), ("lang", "ascending"), ("gram", "ascending")])
-    part = rows["part"].to_numpy()
-    starts = np.nonzero(np.append(True, part[1:] != part[:-1]))[0].tolist()
-    return part[starts].tolist(), [_body(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(part)])]
+        found["gram"] += ordered
+        found["n"] += [c[g] for g in ordered]
+    return _dealt(np.array(part, np.int64), pa.table(found, schema=_GRAMS), parts)
 
 
 def _pieces(blocks: int):
@@ -118,22 +127,72 @@ def _pieces(blocks: int):
     return run
 
 
-def _by_language(texts: pa.Table) -> dict[str, Counter[bytes]]:
-    """Multiplicity of each distinct piece of the block, by language."""
-    out: dict[str, Counter[bytes]] = {}
-    for body in texts.column("body").to_pylist():
-        t = _read(body)
-        for lang, piece, m in zip(*(t.column(c).to_pylist() for c in ("lang", "gram", "n"))):
-            c = out.get(lang)
-            if c is None:
-                c = out[lang] = Counter()
-            c[piece] = c.get(piece, 0) + m
-    return out
-
-
-def _packed(block: int, counts: dict[str, Counter[bytes]], buckets: int) -> pa.Table:
-    """A row for each bucket that the block's n-grams fall in."""
-    ids, bodies = _parted(counts, buckets)
+class _Words:
+    """The words of a block's distinct pieces in one language, as places in the sorted vocabulary."""
+
+    def __init__(self, lang: str, pieces: pa.Array, times: np.ndarray):
+        split = pc.split_pattern(pieces, b" ")
+        encoded = pc.list_flatten(split).dictionary_encode()
+        order = pc.sort_indices(encoded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        sizes = pc.list_value_length(split).to_numpy()
+        self.lang, self.vocabulary, self.ids = lang, encoded.dictionary.take(order), rank[encoded.indices.to_numpy()]
+        self.times = np.repeat(times, sizes)
+        #: whether the next word is of the same piece
+        self.goes_on = np.ones(len(self.ids), bool)
+        self.goes_on[np.cumsum(sizes) - 1] = False
+        seed = zlib.crc32(lang.encode("utf-8", "replace"))
+        self.seed, self.hashes = np.uint64(seed), np.array([zlib.crc32(w, seed) for w in self.vocabulary.to_pylist()], np.uint64)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of the ``words`` in the vocabulary, -1 where it lacks one."""
+        return pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy().astype(np.int64)
+
+    def counted(self, code: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+        """The n-grams of ``size`` words that begin ``at``, told apart by ``code``: the rank of each, hashes and rows of the distinct ones."""
+        _, first, rank = np.unique(code, return_index=True, return_inverse=True)
+        n = np.zeros(len(first), np.int64)
+        np.add.at(n, rank, self.times[at])
+        words = [self.ids[at[first] + k] for k in range(size)]
+        h = self.hashes[words[0]]
+        for w in words[1:]:
+            h = (h ^ (h >> np.uint64(29))) * _MIX + self.hashes[w]
+        gram = pc.binary_join_element_wise(*(self.vocabulary.take(pa.array(w)) for w in words), b" ") if size > 1 else self.vocabulary.take(pa.array(words[0]))
+        return rank, h, self.rows(gram, n)
+
+    def rows(self, gram: pa.Array, n: np.ndarray) -> pa.Table:
+        return pa.table([pa.array([self.lang]).take(pa.array(np.zeros(len(n), np.int64))), gram, pa.array(n)], schema=_GRAMS)
+
+
+def _languages(bodies: list[bytes]) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of ``bodies`` by language, equal n-grams or pieces once with the sum of their numbers."""
+    if not bodies:
+        return
+    t = pa.concat_tables(map(_read, bodies)).group_by(["lang", "gram"], use_threads=False).aggregate([("n", "sum")]).rename_columns(_GRAMS.names).combine_chunks()
+    langs = t["lang"].combine_chunks().dictionary_encode()
+    code = langs.indices.to_numpy()
+    order, ends = np.argsort(code, kind="stable"), np.cumsum(np.bincount(code)).tolist()
+    for lang, a, b in sorted(zip(langs.dictionary.to_pylist(), [0, *ends], ends)):
+        yield lang, t.take(pa.array(order[a:b])).combine_chunks()
+
+
+def _column(t: pa.Table, name: str) -> pa.Array:
+    return t[name].combine_chunks() if t[name].num_chunks else pa.array([], t.schema.field(name).type)
+
+
+def _by_language(texts: pa.Table) -> Iterator[_Words]:
+    for lang, t in _languages(texts.column("body").to_pylist()):
+        yield _Words(lang, _column(t, "gram"), t["n"].to_numpy())
+
+
+def _packed(block: int, found: list[tuple[np.ndarray, pa.Table]], buckets: int) -> pa.Table:
+    """A row for each bucket that the block's n-grams (hashes and rows, each language together) fall in."""
+    ids, bodies = [], []
+    if found:
+        h = np.concatenate([h for h, _ in found])
+        part = (((h ^ (h >> np.uint64(29))) * _MIX) >> np.uint64(24)) % np.uint64(buckets)
+        ids, bodies = _dealt(part.astype(np.int64), pa.concat_tables([t for _, t in found]), buckets)
     return pa.table({"block": pa.array([block] * len(ids), pa.int64()), "bucket": pa.array(ids, pa.int64()), "body": pa.array(bodies, pa.binary())})
 
 
@@ -141,58 +200,48 @@ def _words(buckets: int):
     """Words of a block, and how many there are in all."""
 
     def run(texts: pa.Table) -> pa.Table:
-        counts = {}
-        for lang, pieces in _by_language(texts).items():
-            c: Counter[bytes] = Counter()
-            for piece, m in pieces.items():
-                if m == 1:
-                    c.update(piece.split(b" "))
-                else:
-                    for w in piece.split(b" "):
-                        c[w] += m
-            c[ALL] = c.total()
-            counts[lang] = c
-        return _packed(texts.column("block")[0].as_py(), counts, buckets)
+        found = []
+        for w in _by_language(texts):
+            _, h, rows = w.counted(w.ids, np.arange(len(w.ids)), 1)
+            found += [(np.array([w.seed]), w.rows(pa.array([ALL], pa.binary()), np.array([w.times.sum()]))), (h, rows)]
+        return _packed(texts.column("block")[0].as_py(), found, buckets)
 
     return run
 
 
-def _longer(words: list[bytes], m: int, known: set[bytes], longest: int, out: Counter[bytes]) -> None:
-    """Adds the phrases of three words and more all whose pairs are ``known``."""
-    pairs = [a + b" " + b in known for a, b in zip(words, words[1:])]
-    for i in range(len(pairs) - 1):
-        j = i
-        while j < len(pairs) and pairs[j] and j - i < longest - 1:
-            j += 1
-            if j - i >= 2:
-                out[b" ".join(words[i : j + 1])] += m
-
-
 def _phrases(buckets: int, longest: int, pairs: bool):
-    """Pairs of frequent words, or longer phrases of frequent pairs, in a block."""
+    """Pairs of frequent words, or phrases of three words and more all whose pairs are frequent, in a block."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return _packed(-1, {}, buckets)
-        frequent: dict[str, set[bytes]] = {}
-        for body in answers.column("body").to_pylist():
-            t = _read(body)
-            for lang, gram in zip(t["lang"].to_pylist(), t["gram"].to_pylist()):
-                frequent.setdefault(lang, set()).add(gram)
-        counts = {}
-        for lang, pieces in _by_language(texts).items():
-            known, c = frequent.get(lang, set()), Counter()
-            for piece, m in pieces.items():
-                words = piece.split(b" ")
-                if not pairs:
-                    if len(words) > 2:
-                        _longer(words, m, known, longest, c)
-                    continue
-                for a, b in zip(words, words[1:]):
-                    if a in known and b in known:
-                        c[a + b" " + b] += m
-            counts[lang] = c
-        return _packed(texts.column("block")[0].as_py(), counts, buckets)
+            return _packed(-1, [], buckets)
+        frequent = {lang: _column(t, "gram") for lang, t in _languages(answers.column("body").to_pylist())}
+        found = []
+        for w in _by_language(texts):
+            if w.lang not in frequent:
+                continue
+            many = len(w.vocabulary)
+            if pairs:
+                known = np.zeros(many, bool)
+                places = w.places(frequent[w.lang])
+                known[places[places >= 0]] = True
+                at = np.flatnonzero(w.goes_on[:-1] & known[w.ids[:-1]] & known[w.ids[1:]])
+                found.append(w.counted(w.ids[at] * many + w.ids[at + 1], at, 2)[1:])
+                continue
+            halves = w.places(pc.list_flatten(pc.split_pattern(frequent[w.lang], b" "))).reshape(-1, 2)
+            known = halves[(halves >= 0).all(1)] @ np.array([many, 1])
+            at = np.flatnonzero(w.goes_on[:-1])
+            code = w.ids[at] * many + w.ids[at + 1]
+            inside = np.isin(code, known)
+            at, rank = at[inside], np.unique(code[inside], return_inverse=True)[1]
+            pair = np.zeros(len(w.ids) + longest, bool)
+            pair[at] = True
+            for size in range(3, longest + 1):
+                further = pair[at + size - 2]
+                at = at[further]
+                rank, h, rows = w.counted(rank[further] * many + w.ids[at + size - 1], at, size)
+                found.append((h, rows))
+        return _packed(texts.column("block")[0].as_py(), found, buckets)
 
     return run
 

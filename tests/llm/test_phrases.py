@@ -85,3 +85,29 @@ def test_query_against_sql_and_plain_counts(spark):
     db = duckdb.connect()
     db.execute(f"create view documents as from '{sf}/documents.parquet'")
     assert sorted(db.sql(ORACLES["op13_collocations"]).fetchall()) == want
+
+
+def test_a_block_counts_by_places_in_its_vocabulary():
+    """Distinct pieces with multiplicities, of two languages with the same words, against plain counting."""
+    rng = random.Random(5)
+    pieces = {(lang, b" ".join(rng.choices([b"a", b"b", b"\xff", "é".encode(), b"aa"], k=rng.randint(1, 9)))): rng.randint(1, 4) for lang in ("de", "und") for _ in range(300)}
+    body = phrases._body(phrases.pa.table([*map(list, zip(*((lang, p, m) for (lang, p), m in sorted(pieces.items()))))], schema=phrases._GRAMS))
+    texts = phrases.pa.table({"block": [7, 7], "body": phrases.pa.array([body, body], phrases.pa.binary())})
+    naive = Counter()
+    for (lang, p), m in pieces.items():
+        w = p.split(b" ")
+        naive.update({(lang, b""): 2 * m * len(w)})
+        for k in range(1, 6):
+            for i in range(len(w) - k + 1):
+                naive[lang, b" ".join(w[i : i + k])] += 2 * m
+    got, answer = {}, None
+    for run in (lambda t, _: phrases._words(3)(t), phrases._phrases(3, 5, True), phrases._phrases(3, 5, False)):
+        sent = run(texts, answer)
+        answer = sent.select(["block", "body"])
+        where = {}
+        for bucket, b in zip(sent["bucket"].to_pylist(), sent["body"].to_pylist()):
+            for row in phrases._read(b).to_pylist():
+                assert where.setdefault((row["lang"], row["gram"]), bucket) == bucket and (row["lang"], row["gram"]) not in got
+                got[row["lang"], row["gram"]] = row["n"]
+    assert got == naive
+    assert len({w.lang: w for w in phrases._by_language(texts)}["de"].vocabulary) == 5
