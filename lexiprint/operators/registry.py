@@ -44,7 +44,7 @@ for _group in (
     Group("transitions", structure.transitions, (structure.prepare,)),
     Group("rhythm", structure.rhythm, (structure.prepare,)),
     Group("lightweight", structure.lightweight, (structure.prepare,)),
-    Group("alignment", style.alignment, (structure.prepare,)),
+    Group("alignment", style.alignment, (structure.prepare, style.prepare_alignment)),
     Group("noise", style.noise, (statistical.prepare, style.prepare)),
     Group("tokenization", style.tokenization),
     Group("echo", style.echo, (structure.prepare, style.prepare_echo)),

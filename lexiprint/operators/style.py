@@ -12,21 +12,32 @@ from lexiprint.operators import lexicons as L
 COMMON = sorted({*L.COMMON, *L.FUNCTION_WORDS})
 
 
-def _hits(plain: Column, patterns: list[str]) -> Column:
+PATTERNS = [*L.HEDGE_PATTERNS, *L.BENEVOLENT_PATTERNS, *L.SYCOPHANCY_PATTERNS, *L.MORALIZING_PATTERNS, *L.NEUTRALITY_PATTERNS, *L.PREMISE_PATTERNS, *L.CONCLUSION_PATTERNS, *L.HUMAN_PATTERNS, *L.TYPO_PATTERNS]
+
+
+def _hits(plain: Column, patterns: list[str], found: str = "cues") -> Column:
     """Matches in a lower-case text whose letters and digits beyond ASCII are underscores.
 
     The patterns are ASCII; an underscore is a word character like the letter
-    it stands for, so word boundaries are where they were.
+    it stands for, so word boundaries are where they were.  ``found`` names the
+    cues among the text's words: texts hold few, so most patterns are not looked for.
     """
-    return T.matches(plain, patterns)
+    return T.matches(plain, patterns, F.col(found))
+
+
+def prepare_alignment(df: DataFrame) -> DataFrame:
+    """Listed words, cues of the patterns, and what several features mention; the text's last quarter may begin inside a word, which then is a cue of its own."""
+    df = df.withColumn("listed", F.filter("alpha", lambda x: x.isin(sorted(T.cue_words(PATTERNS).union(L.TELLS_STRONG, L.TELLS_MEDIUM)))))
+    df = df.withColumns({"cues": F.array_distinct("listed"), "coda": F.expr("substring(plain, cast(floor(length(text) * 0.75) as int) + 1)")})
+    df = df.withColumn("coda_cues", F.array_append("cues", F.regexp_extract("coda", "^[a-z]+", 0)))
+    low = F.col("plain")
+    return df.withColumns({"moral": _hits(low, L.MORALIZING_PATTERNS), "moral_end": _hits(F.col("coda"), L.MORALIZING_PATTERNS, "coda_cues"), "premise": _hits(low, L.PREMISE_PATTERNS), "conclusion": _hits(low, L.CONCLUSION_PATTERNS)})
 
 
 def alignment() -> dict[str, Column]:
     low, n, s = F.col("plain"), F.col("n_alpha"), F.col("per_sent")
-    coda = F.expr("substring(plain, cast(floor(length(text) * 0.75) as int) + 1)")
-    moral, moral_end = _hits(low, L.MORALIZING_PATTERNS), _hits(coda, L.MORALIZING_PATTERNS)
-    premise, conclusion = _hits(low, L.PREMISE_PATTERNS), _hits(low, L.CONCLUSION_PATTERNS)
-    tells = T.among(F.col("alpha"), L.TELLS_STRONG) * 2.0 + T.among(F.col("alpha"), L.TELLS_MEDIUM) * 0.5
+    moral, moral_end, premise, conclusion = map(F.col, ("moral", "moral_end", "premise", "conclusion"))
+    tells = T.among(F.col("listed"), L.TELLS_STRONG) * 2.0 + T.among(F.col("listed"), L.TELLS_MEDIUM) * 0.5
     starts = F.size("first_raw_c") / F.col("n_sents")
     even = 0.5 * F.greatest(F.lit(0.0), 1 - T.cv_of(F.col("sent_len"))) + 0.2 * F.greatest(F.lit(0.0), 1 - 2 * T.cv_of(F.col("alpha_len"))) + 0.3 * (1 - starts)
     flaws = _hits(low, L.HUMAN_PATTERNS) + _hits(low, L.TYPO_PATTERNS)
