@@ -22,8 +22,9 @@ from lexiprint.functions import text as T
 DIM = 384
 LEAST_WORDS = 3
 # What ends a sentence, and what parts clauses in it.
-SENTENCE = r"(?<=[.!?])\s+"
-CLAUSE = r"(?i)(?<=[,;:])\s+|\s*—\s*|\s+(?:but|and|or|yet|so|however|therefore|thus|although|while)\s+"
+# the look at the next character gives most places up at once
+SENTENCE = r"(?=\s)(?<=[.!?])\s+"
+CLAUSE = r"(?i)(?=[\s—])(?:(?<=[,;:])\s+|\s*—\s*|\s+(?:but|and|or|yet|so|however|therefore|thus|although|while)\s+)"
 #: Vectors that a worker keeps.
 KEPT = 20_000
 FEATURES = ["concept_jump_mean", "concept_jump_variance", "path_tortuosity", "turning_angle_mean", "return_rate"]

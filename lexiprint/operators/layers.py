@@ -25,26 +25,25 @@ REFERENCE = {
 MARKS = ".,;:!?-'\"()[]{}"
 V_FUNCTION_WORDS = "the of and to a in that is was for on with as it be at by this from or".split()
 V_MARKS = r"[.,;:!?\-()\[\]\"'…—–]"
-CLAUSE_CUT = r"(?i)(?<=[,;:])\s+|\s*[—–]\s*|\s+(?:but|and|or|yet|so|because|although|while|if|when|since|unless)\s+"
+#: What parts clauses in a ``flat`` text; it begins with its letters, so that most places are given up at once.
+CLAUSE_CUT = r"(?i)[ —–](?:(?<=[,;:] )|(?<= )[—–] ?|(?<= )(?:but|and|or|yet|so|because|although|while|if|when|since|unless) |(?<=[—–]) ?)"
 
 
-def _plain_sentences(text: Column, titles: str, more: str = "") -> Column:
-    """Sentences ended by a mark and white space; a full stop after a title ends none."""
-    kept = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_])({titles})\.\s", "$1\x01 ")
-    if more:
-        kept = F.regexp_replace(kept, rf"(?<![\p{{L}}\p{{N}}_])({more})\.\s", "$1\x01 ")
-    return F.filter(F.transform(F.split(kept, r"(?<=[.!?])\s+"), lambda s: T.strip(F.replace(s, F.lit("\x01"), F.lit(".")))), lambda s: s != "")
+def _lines(titles: str) -> Column:
+    """The ``flat`` text with a line for each sentence, ended by a mark and white space; a full stop after a title ends none."""
+    return F.regexp_replace("flat", rf" (?<=[.!?] )(?<!(?<![\p{{L}}\p{{N}}_])(?:{titles})\. )", "\n")
 
 
 def prepare_e(df: DataFrame) -> DataFrame:
     df = with_word_counts(df)
-    df = df.withColumns({"e_sents": _plain_sentences(F.col("text"), "Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Jr|Sr|vs"), "e_paras": F.transform(T.pieces(F.col("text"), r"\n\s*\n|\n{2,}"), lambda p: F.size(T.ws_words(p)))})
-    df = df.withColumns({"e_len": F.transform("e_sents", lambda s: F.size(T.ws_words(s))), "e_first": F.transform("e_sents", lambda s: F.lower(F.get(T.ws_words(s), F.lit(0))))})
+    words = F.transform(F.split(_lines("Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Jr|Sr|vs"), "\n"), T.flat_words)
+    df = df.withColumns({"e_sents": F.filter(words, lambda w: F.size(w) > 0), "e_paras": F.transform(T.pieces(F.col("text"), r"\n(?:\s*\n|\n+)"), lambda p: F.size(T.ws_words(p)))})
+    df = df.withColumns({"e_len": F.transform("e_sents", lambda w: F.size(w)), "e_first": F.transform("e_sents", lambda w: F.lower(F.replace(F.get(w, F.lit(0)), F.lit("\x01"), F.lit("."))))})
     return T.with_counts(df, e_first_c=T.hashes(F.col("e_first")))
 
 
 def _distinct_of(marks: str) -> Column:
-    return F.size(F.array_distinct(F.filter(F.split("text", ""), lambda c: c.isin(list(marks)))))
+    return T.total([F.contains("text", F.lit(m)).cast("int") for m in marks])
 
 
 def layer_e() -> dict[str, Column]:
@@ -53,7 +52,7 @@ def layer_e() -> dict[str, Column]:
         "sentence_length_cv": T.cv_of(F.col("e_len")),
         "paragraph_length_cv": T.cv_of(F.col("e_paras")),
         "type_token_ratio": T.ratio(V, n),
-        "list_marker_rate": F.regexp_count("text", F.lit(r"(?m)^[\s]*[-*•]\s|^\s*\d+\.\s")) / F.size(F.split("text", "\n")),
+        "list_marker_rate": F.regexp_count("text", F.lit(r"(?m)^(?:[\s]*[-*•]\s|\s*\d+\.\s)")) / F.size(F.split("text", "\n")),
         "hapax_legomena_ratio": T.ratio(F.col("n1"), V),
         "sentence_initial_entropy": T.entropy(F.col("e_first_c")),
         "avg_word_length": F.col("len_mean"),
@@ -107,7 +106,7 @@ def prepare_b(df: DataFrame) -> DataFrame:
     at = lambda c, i: F.get(c, i)
     beat = lambda i: 1 - F.abs(at("b_end", i) - at("b_start", i + 1)) / F.greatest(at("b_end", i), at("b_start", i + 1))
     length = lambda i: F.least(at("sent_len", i), at("sent_len", i + 1)) / F.greatest(at("sent_len", i), at("sent_len", i + 1))
-    shared = lambda i: F.size(F.array_intersect(at("b_set", i), at("b_set", i + 1))) / F.size(F.array_union(at("b_set", i), at("b_set", i + 1)))
+    shared = lambda i: T.let(F.size(F.array_intersect(at("b_set", i), at("b_set", i + 1))), lambda n: n / (F.size(at("b_set", i)) + F.size(at("b_set", i + 1)) - n))
     df = df.withColumns({"b_phonetic": F.transform(steps, beat), "b_structural": F.transform(steps, length), "b_semantic": F.transform(steps, shared)})
     df = df.withColumn("b_all", F.transform(F.arrays_zip("b_phonetic", "b_structural", "b_semantic"), lambda z: F.struct(((z["b_phonetic"] + z["b_structural"] + z["b_semantic"]) / 3).alias("mean"), F.pow(F.greatest(z["b_phonetic"] * z["b_structural"] * z["b_semantic"], F.lit(0.001)), F.lit(1 / 3)).alias("geo"))))
     return df.withColumn("b_mean", F.transform("b_all", lambda z: z["mean"]))
@@ -124,9 +123,10 @@ def layer_b() -> dict[str, Column]:
 
 
 def prepare_d(df: DataFrame) -> DataFrame:
-    df = df.withColumn("d_sents", _plain_sentences(F.col("text"), "Mr|Mrs|Ms|Dr|Prof|Sr|Jr", r"e\.g|i\.e|etc"))
-    cut = lambda s: F.filter(F.transform(F.split(s, CLAUSE_CUT), lambda c: F.size(T.ws_words(c))), lambda n: n >= 2)
-    whole = lambda s: F.array(F.size(T.ws_words(s)))
+    # what parts two clauses stands between carriage returns, of which a flat text has none
+    df = df.withColumn("d_sents", F.array_remove(F.split(F.regexp_replace(_lines(r"Mr|Mrs|Ms|Dr|Prof|Sr|Jr|e\.g|i\.e|etc"), CLAUSE_CUT, "\r$0\r"), "\n"), ""))
+    cut = lambda s: F.filter(F.transform(F.split(s, "\r"), lambda c, i: F.when(i % 2 == 0, F.size(T.flat_words(c)))), lambda n: n >= 2)
+    whole = lambda s: F.array(F.size(T.flat_words(F.replace(s, F.lit("\r"), F.lit("")))))
     return df.withColumn("d_clauses", F.flatten(F.transform("d_sents", lambda s: T.let(cut(s), lambda c: F.when(F.size(c) > 0, c).otherwise(whole(s))))))
 
 

@@ -50,22 +50,39 @@ def _positions(text: Column, regex: str) -> Column:
     return F.aggregate(F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))), start, step, lambda s: s["all"])
 
 
+PATTERNS = [pattern(v) for sets in (HEDGES, CONFIDENCE, TRANSITIONS) for v in sets.values()]
+
+
+def _cued(phrases: list[str]) -> Column:
+    """Whether a text has a cue of the phrases; texts hold few, so most lists are not looked for."""
+    words, parts = T.cues(pattern(phrases))
+    return F.arrays_overlap("stance_cues", F.array(*map(F.lit, sorted(words)))) if words and not parts else F.lit(True)
+
+
 def prepare(df: DataFrame) -> DataFrame:
-    places = F.concat(*(_positions(F.col("plain"), T.led(pattern(v))) for v in HEDGES.values()))
+    df = df.withColumn("stance_cues", F.array_distinct(F.filter("alpha", lambda x: x.isin(sorted(T.cue_words(PATTERNS))))))
+    none = F.array().cast("array<int>")
+    places = F.concat(*(F.when(_cued(v), _positions(F.col("plain"), T.led(pattern(v)))).otherwise(none) for v in HEDGES.values()))
     df = df.withColumn("hedged", F.transform(places, lambda p: p / F.length("text")))
     df = T.with_counts(df, hedge_bins=F.transform("hedged", lambda p: F.least(F.floor(p * BINS), F.lit(BINS - 1)).cast("int")))
-    hits = lambda s, sets: T.total([F.regexp_count(s, F.lit(T.led(pattern(v)))) for v in sets])
+    lists = {f"cued_{k}": v for k, v in enumerate([*CONFIDENCE.values(), *HEDGES.values()])}
+    sure = sorted(set().union(*(T.cues(pattern(v))[0] for v in lists.values())))
+    df = df.withColumns({"sure_cues": F.filter("stance_cues", lambda w: w.isin(sure)), **{c: _cued(v) for c, v in lists.items()}})
 
     def score(s: Column) -> Column:
-        high, medium, low = (F.regexp_count(s, F.lit(T.led(pattern(CONFIDENCE[k])))) for k in ("high", "medium", "low"))
-        parts = F.struct(high.alias("a"), medium.alias("b"), low.alias("c"), hits(s, HEDGES.values()).alias("h"))
+        high, medium, low, *hedges = (F.when(F.col(c), F.regexp_count(s, F.lit(T.led(pattern(v))))).otherwise(0) for c, v in lists.items())
+        parts = F.struct(high.alias("a"), medium.alias("b"), low.alias("c"), T.total(hedges).alias("h"))
         return T.let(parts, lambda x: T.let(x["a"] + x["b"] + x["c"] + x["h"], lambda n: F.when(n > 0, T.clamp((x["a"] + 0.6 * x["b"] + 0.3 * x["c"] - 0.3 * x["h"]) / n, 0.0, 1.0)).otherwise(0.5)))
 
-    df = df.withColumn("confident", F.transform(F.filter(F.split("plain", r"(?<=[.!?])\s+"), lambda s: T.strip(s) != ""), score))
-    moved = F.col("plain")
+    # a sentence without any cue of its text is neutral; a text without cues needs no sentences, since an empty series has the neutral mean, spread and arc
+    some = lambda s: F.when(F.exists("sure_cues", lambda w: F.contains(s, w)), score(s)).otherwise(0.5)
+    sentences = F.array_remove(F.split(T.strip(F.col("plain")), r"(?=\s)(?<=[.!?])\s+"), "")
+    df = df.withColumn("confident", F.when(F.size("sure_cues") > 0, F.transform(sentences, some)).otherwise(F.array().cast("array<double>")))
+    df = df.withColumn("moved", F.col("plain"))
     for k, phrases in enumerate(TRANSITIONS.values()):
-        moved = F.regexp_replace(moved, T.led(pattern(phrases, longest_first=True)), _code(k))
-    df = df.withColumn("moves", F.regexp_extract_all(moved, F.lit(f"[{_code(0)}-{_code(len(TRANSITIONS) - 1)}]"), F.lit(0)))
+        df = df.withColumn("moved", F.when(_cued(phrases), F.regexp_replace("moved", T.led(pattern(phrases, longest_first=True)), _code(k))).otherwise(F.col("moved")))
+    codes = F.regexp_extract_all("moved", F.lit(f"[{_code(0)}-{_code(len(TRANSITIONS) - 1)}]"), F.lit(0))
+    df = df.withColumn("moves", F.when(F.octet_length("moved") > F.length("moved"), codes).otherwise(F.array().cast("array<string>")))
     return T.with_counts(df, move_pairs=T.ngrams(F.col("moves"), 2))
 
 
