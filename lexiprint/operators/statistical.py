@@ -32,14 +32,14 @@ def zlib_ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_word_counts(df: DataFrame) -> DataFrame:
-    """``wc``: counts of the distinct words, and ``places``: hashed words with positions, sorted."""
-    df = df.withColumn("places", F.sort_array(F.transform("alpha", lambda w, i: F.struct(F.xxhash64(w).alias("w"), i.alias("i")))))
-    return df.withColumn("ordered", F.transform("places", lambda p: p["w"])).withColumn("wc", T.runs(F.col("ordered"))).withColumns({"V": F.size("wc"), "N": F.col("n_alpha"), "n1": F.size(F.filter("wc", lambda c: c == 1)), "n2": F.size(F.filter("wc", lambda c: c == 2))})
+    """``wc``: counts of the distinct words."""
+    df = T.with_counts(df, wc=T.hashes(F.col("alpha")))
+    return df.withColumns({"V": F.size("wc"), "N": F.col("n_alpha"), "n1": F.size(F.filter("wc", lambda c: c == 1)), "n2": F.size(F.filter("wc", lambda c: c == 2))})
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    df = with_word_counts(df)
-    df = T.with_counts(df, cc=F.transform(F.filter(F.split("low", ""), lambda x: x != ""), F.ascii), bc=T.ngram_hashes(F.col("alpha"), 2), tc=T.ngram_hashes(F.col("alpha"), 3))
+    df = with_word_counts(df).withColumn("places", F.sort_array(F.transform("alpha", lambda w, i: F.struct(F.xxhash64(w).alias("w"), i.alias("i")))))
+    df = T.with_counts(df, cc=F.transform(F.array_remove(F.split("low", ""), ""), F.ascii), bc=T.ngram_hashes(F.col("alpha"), 2), tc=T.ngram_hashes(F.col("alpha"), 3))
     gap = lambda i: F.when(F.get("places", i)["w"] == F.get("places", i - 1)["w"], F.get("places", i)["i"] - F.get("places", i - 1)["i"])
     gaps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.col("N") - 1, F.lit(1))), gap), lambda g: g.isNotNull())
     df = df.withColumns({"gaps": F.when(F.col("N") > 1, gaps).otherwise(F.array().cast("array<int>")), "top": F.slice(F.sort_array("wc", asc=False), 1, 100), "h_word": T.entropy(F.col("wc"))})

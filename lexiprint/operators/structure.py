@@ -22,7 +22,7 @@ def prepare(df: DataFrame) -> DataFrame:
             "clean": F.transform(T.ws_words(F.col("low")), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")),
             "word_runs": T.word_runs(F.col("text")),
             "lower_ws": F.transform("ws", F.lower),
-            "plain": F.regexp_replace("low", r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_"),
+            "plain": F.when(F.octet_length("low") > F.length("low"), F.regexp_replace("low", r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_")).otherwise(F.col("low")),
         }
     )
     df = T.with_counts(df, first_c=F.col("first"), last_c=F.col("last"), first_raw_c=F.col("first_raw"), ws_c=T.hashes(F.col("lower_ws")))
